@@ -29,16 +29,33 @@ def same_size(v1: ColumnOrName, v2: ColumnOrName, expr: Column,
         F.raise_error(F.lit(f"dimension mismatch between {what}")))
 
 
-def sq_euclidean(v1: ColumnOrName, v2: ColumnOrName, check: bool = False) -> Column:
-    """sum of squared component differences."""
+def sq_euclidean(v1: ColumnOrName, v2: ColumnOrName, check: bool = False,
+                 dim: int | None = None) -> Column:
+    """sum of squared component differences, summed left to right.
+
+    With ``dim`` known the sum is unrolled into plain indexed arithmetic,
+    which whole-stage codegen compiles (higher-order functions such as
+    ``zip_with``/``aggregate`` are evaluated interpreted, row by row);
+    without it, the higher-order form handles any length.  The unrolled form
+    takes the dimension as validated (``vector_dim`` over the table): a
+    per-row size check around 64 unrolled terms would push the generated
+    method past the codegen limit and fall back to interpretation."""
     a, b = _c(v1), _c(v2)
-    e = _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
+    if dim:
+        e = F.lit(0.0)
+        for i in range(dim):
+            d = a[i] - b[i]
+            e = e + d * d
+        return e
+    else:
+        e = _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
     return same_size(a, b, e) if check else e
 
 
-def euclidean(v1: ColumnOrName, v2: ColumnOrName, check: bool = True) -> Column:
+def euclidean(v1: ColumnOrName, v2: ColumnOrName, check: bool = True,
+              dim: int | None = None) -> Column:
     """Euclidean distance; raises on a dimension mismatch."""
-    return F.sqrt(sq_euclidean(v1, v2, check=check))
+    return F.sqrt(sq_euclidean(v1, v2, check=check, dim=dim))
 
 
 def weighted_sq_euclidean(v1: ColumnOrName, v2: ColumnOrName,

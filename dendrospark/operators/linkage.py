@@ -73,10 +73,20 @@ def _reciprocal_pairs(edges: DataFrame) -> DataFrame:
 
 def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-               max_rounds: int | None = None) -> tuple[DataFrame, int]:
+               max_rounds: int | None = None, cache_rows: int = 1_000_000,
+               durable_every: int = 6) -> tuple[DataFrame, int]:
     """Run RNN rounds until no edge is left.  Returns the raw merges
     ``(lo, hi, d, size, h, round)`` (n-1 rows for a connected input) and the
-    number of rounds."""
+    number of rounds.
+
+    Round state above ``cache_rows`` edges is written to the shared scratch
+    folder as Parquet every round (and the previous round's files dropped).
+    Below it (the tail, where the table has shrunk geometrically), state is
+    cut with a reliable ``checkpoint()`` into the same shared folder, and
+    rewritten as Parquet every ``durable_every`` rounds.  Merges found since
+    the last Parquet point stay cached (their plans start at checkpointed
+    state, so a lost executor recomputes them) and are flushed to Parquet
+    before older state is dropped."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     spark = pairs.sparkSession
@@ -84,22 +94,28 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
     nodes = scratch.put(
         spark.range(1, n + 1).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"),
                                      F.lit(0.0).alias("h")), "nodes-0")
+    n_edges = edges.count()
+    durable_round = 0          # round whose state sits in Parquet
+    pending: list[DataFrame] = []   # cached merges since the durable point
     r = 0
     while max_rounds is None or r < max_rounds:
         m = _reciprocal_pairs(edges)
         n1 = nodes.select(F.col("rep").alias("lo"), F.col("size").alias("s1"), F.col("h").alias("h1"))
         n2 = nodes.select(F.col("rep").alias("hi"), F.col("size").alias("s2"), F.col("h").alias("h2"))
-        m = (m.join(n1, "lo").join(n2, "hi")
-             .select("lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
-                     F.greatest("d", "h1", "h2").alias("h")))
-        merged = scratch.put(m, f"merges/round={r}")
+        merged = (m.join(n1, "lo").join(n2, "hi")
+                  .select("lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
+                          F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round"))
+                  .persist())
         cnt = merged.count()
         if cnt == 0:
+            merged.unpersist()
             break
+        pending.append(merged)
         # relabel map: both ends of a merge are now named by its lo
         t = (merged.select(F.col("lo").alias("node"), F.col("lo").alias("new"))
              .unionByName(merged.select(F.col("hi").alias("node"), F.col("lo").alias("new"))))
-        if fits_broadcast(2 * cnt, 32, broadcast_bytes):
+        small = fits_broadcast(2 * cnt, 32, broadcast_bytes)
+        if small:
             t = F.broadcast(t)
         ta = t.select(F.col("node").alias("a"), F.col("new").alias("na"))
         tb = t.select(F.col("node").alias("b"), F.col("new").alias("nb"))
@@ -114,18 +130,40 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
         new_edges = keep.unionByName(_reaggregate(moved, strategy))
         upd = merged.select(F.col("lo").alias("rep"), F.col("size").alias("ns"), F.col("h").alias("nh"))
         gone = merged.select(F.col("hi").alias("rep"))
-        if fits_broadcast(cnt, 32, broadcast_bytes):
+        if small:
             upd, gone = F.broadcast(upd), F.broadcast(gone)
         new_nodes = (nodes.join(gone, "rep", "left_anti").join(upd, "rep", "left")
                      .select("rep", F.coalesce("ns", "size").alias("size"),
                              F.coalesce("nh", "h").alias("h")))
-        edges = scratch.put(new_edges, f"edges-{r + 1}")
-        nodes = scratch.put(new_nodes, f"nodes-{r + 1}")
-        scratch.drop(f"edges-{r}")
-        scratch.drop(f"nodes-{r}")
         r += 1
-    raw = spark.read.parquet(scratch.path("merges"))
-    return raw, r
+        # edges only shrink: n_edges bounds the new table from above
+        if n_edges > cache_rows or r - durable_round >= durable_every:
+            scratch.append(_union(pending), "merges")
+            for df in pending:
+                df.unpersist()
+            pending = []
+            edges = scratch.put(new_edges, f"edges-{r}")
+            nodes = scratch.put(new_nodes, f"nodes-{r}")
+            n_edges = edges.count()
+            scratch.drop(f"edges-{durable_round}")
+            scratch.drop(f"nodes-{durable_round}")
+            durable_round = r
+        else:
+            # reliable checkpoint: same shared folder, truncated plan, no
+            # file-commit round trip
+            edges, nodes = new_edges.checkpoint(eager=True), new_nodes.checkpoint(eager=True)
+    if pending:
+        scratch.append(_union(pending), "merges")
+        for df in pending:
+            df.unpersist()
+    if r == 0:
+        empty = "lo LONG, hi LONG, d DOUBLE, size LONG, h DOUBLE, round INT"
+        return spark.createDataFrame([], empty), 0
+    return spark.read.parquet(scratch.path("merges")), r
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, dfs)
 
 
 def number_merges(raw: DataFrame, n: int) -> DataFrame:

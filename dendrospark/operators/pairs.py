@@ -30,20 +30,22 @@ def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "
     ``(bi, bj)``, so every task holds two blocks and the n^2/2 output is
     spread evenly, with no broadcast at all.
     """
+    if n is None or dim is None:
+        # one pass: the point count and the (checked) common dimension
+        r = points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).alias("lo"),
+                       F.max(F.size("features")).alias("hi")).first()
+        if r["lo"] != r["hi"]:
+            raise ValueError(f"dimension mismatch: vectors of size {r['lo']} and {r['hi']}")
+        n, dim = int(r["n"]), int(r["hi"] or 0)
     if method == "auto":
-        if n is None or dim is None:
-            r = points.agg(F.count(F.lit(1)).alias("n"),
-                           F.max(F.size("features")).alias("d")).first()
-            n, dim = int(r["n"]), int(r["d"] or 0)
         method = "broadcast" if n * (dim * 8 + 64) <= broadcast_bytes else "blocks"
-    metric = sq_euclidean if squared else euclidean
+    dist = sq_euclidean if squared else euclidean
+    metric = lambda x, y: dist(x, y, dim=dim)  # noqa: E731  (unrolled when dim is known)
     a = points.select(F.col("id").alias("id1"), F.col("features").alias("f1"))
     b = points.select(F.col("id").alias("id2"), F.col("features").alias("f2"))
     if method == "broadcast":
         j = a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
         return j.select("id1", "id2", metric("f1", "f2").alias("dist"))
-    if n is None:
-        n = points.count()
     nb = max(1, int(math.ceil(n / block_rows)))
     seq = F.sequence(F.lit(0), F.lit(nb - 1))
     la = a.withColumn("bi", F.pmod(F.col("id1"), F.lit(nb))).withColumn(
