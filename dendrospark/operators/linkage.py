@@ -8,15 +8,16 @@ every reciprocal pair in one round yields the same dendrogram as merging the
 single closest pair per step (Murtagh 1983; Muellner 2011), but in tens of
 rounds instead of n-1 steps.
 
-Round state, all DataFrames written to the scratch folder under
-``spark.checkpoint.dir`` and re-read (lineage cut, fresh size estimates):
+Round state is one table written to the scratch folder under
+``spark.checkpoint.dir`` (lineage cut, fresh size estimates):
 
-* edges ``(a, b, d[, s, c])`` with ``a < b``; a cluster is named by its
+* edge rows ``(a, b, d[, s, c])`` with ``a < b``; a cluster is named by its
   smallest leaf id during the rounds.  UPGMA edges carry the sum ``s`` of
   all cross-pair distances and their count ``c``, so merging is
   ``sum, sum`` with no weights.
-* nodes ``(rep, size, h)`` -- member count and effective height.
-* merges of round r ``(lo, hi, d, size, h)``.
+* node rows ``a = b = rep`` with ``d`` = effective height, ``c`` = size;
+  relabelling folds a merged pair's node rows and their edge into one.
+* merges of round r ``(lo, hi, d, size, h)``, appended to Parquet.
 
 Only the edges that touch a merged cluster are shuffled and re-aggregated;
 the rest pass through.  Nothing but counts reaches the driver.
@@ -37,32 +38,51 @@ from .pairs import STRATEGIES, pairwise_distances
 MERGE_COLS = ["cluster", "point1", "point2", "height", "size"]
 
 
-def _initial_edges(pairs: DataFrame, strategy: str) -> DataFrame:
+def _initial_state(pairs: DataFrame, n: int, strategy: str) -> DataFrame:
+    """Round state: edge rows ``a < b`` (``d``; UPGMA also ``s`` = sum of cross
+    distances and ``c`` = their count) and one node row ``a = b = rep`` per
+    cluster (``d`` = its height, ``c`` = its size)."""
     e = pairs.select(F.least("id1", "id2").cast("long").alias("a"),
                      F.greatest("id1", "id2").cast("long").alias("b"),
                      F.col("dist").cast("double").alias("d"))
     e = e.where(F.col("a") != F.col("b"))
     if strategy == "avg":
         e = e.select("a", "b", "d", F.col("d").alias("s"), F.lit(1).cast("long").alias("c"))
-    return e
+    else:
+        e = e.select("a", "b", "d", F.lit(None).cast("double").alias("s"),
+                     F.lit(None).cast("long").alias("c"))
+    nodes = pairs.sparkSession.range(1, n + 1).select(
+        F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"),
+        F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("c"))
+    return e.unionByName(nodes)
 
 
 def _reaggregate(rows: DataFrame, strategy: str) -> DataFrame:
-    g = rows.groupBy("a", "b")
+    """Regroup relabelled rows.  A group ``a = b`` is a merged cluster's node:
+    its old node rows and the merge edge; height = max, size = sum of the
+    node sizes.  A group ``a < b`` holds only edge rows: min, max, the mean of
+    2 or 4 child rows (wavg: equal to applying the two merges in turn) or
+    ``sum, sum`` (avg)."""
+    node = F.col("a") == F.col("b")
     if strategy == "min":
-        return g.agg(F.min("d").alias("d"))
-    if strategy == "max":
-        return g.agg(F.max("d").alias("d"))
-    if strategy == "wavg":
-        # 2 child rows (one side merged) or 4 (both sides merged in this
-        # round): their mean equals applying the two merges one by one.
-        return g.agg(F.avg("d").alias("d"))
-    agg = g.agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    return agg.select("a", "b", (F.col("s") / F.col("c")).alias("d"), "s", "c")
-
-
-def _reciprocal_pairs(edges: DataFrame) -> DataFrame:
+        d = F.min("d")
+    elif strategy == "max":
+        d = F.max("d")
+    elif strategy == "wavg":
+        d = F.avg("d")
+    else:
+        d = F.sum("s") / F.sum("c")
+    size = F.sum(F.when(F.col("was_node"), F.col("c")))
+    return rows.groupBy("a", "b").agg(
+        F.when(node, F.max("d")).otherwise(d).alias("d"),
+        (F.when(~node, F.sum("s")) if strategy == "avg" else F.lit(None).cast("double")).alias("s"),
+        F.when(node, size).otherwise(F.sum("c") if strategy == "avg" else F.lit(None).cast("long"))
+        .alias("c"))
+
+
+def _reciprocal_pairs(state: DataFrame) -> DataFrame:
     """Edges that are the nearest neighbour of both their ends."""
+    edges = state.where(F.col("a") < F.col("b"))
     e = F.struct("d", "a", "b")
     both = (edges.select(F.col("a").alias("x"), e.alias("e"))
             .unionByName(edges.select(F.col("b").alias("x"), e.alias("e"))))
@@ -79,30 +99,36 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
     ``(lo, hi, d, size, h, round)`` (n-1 rows for a connected input) and the
     number of rounds.
 
-    Round state above ``cache_rows`` edges is written to the shared scratch
-    folder as Parquet every round (and the previous round's files dropped).
-    Below it (the tail, where the table has shrunk geometrically), state is
-    cut with a reliable ``checkpoint()`` into the same shared folder, and
-    rewritten as Parquet every ``durable_every`` rounds.  Merges found since
-    the last Parquet point stay cached (their plans start at checkpointed
-    state, so a lost executor recomputes them) and are flushed to Parquet
-    before older state is dropped."""
+    Two jobs per round: find and record the reciprocal pairs, then rewrite
+    the state.  State above ``cache_rows`` rows is written to the shared
+    scratch folder as Parquet every round (and the previous round's files
+    dropped).  Below it (the tail, where the table has shrunk geometrically)
+    it is cut with a reliable ``checkpoint()`` into the same shared folder,
+    and re-written as Parquet every ``durable_every`` rounds: the re-read
+    packs the shrinking table into fewer partitions and resets size
+    estimates, which checkpointed plans otherwise carry forward.  Either way
+    every round starts from files in the shared folder, so a lost executor
+    costs a re-read, never earlier rounds.  Merges found since the last
+    Parquet state stay cached (their plans start at checkpointed state) and
+    are flushed to Parquet before that state is dropped."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     spark = pairs.sparkSession
-    edges = scratch.put(_initial_edges(pairs, strategy), "edges-0")
-    nodes = scratch.put(
-        spark.range(1, n + 1).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"),
-                                     F.lit(0.0).alias("h")), "nodes-0")
-    n_edges = edges.count()
-    durable_round = 0          # round whose state sits in Parquet
-    pending: list[DataFrame] = []   # cached merges since the durable point
+    state = scratch.put(_initial_state(pairs, n, strategy), "state-0")
+    nodes_fit = fits_broadcast(n, 32, broadcast_bytes)
+    n_rows = state.count()
+    durable_round = 0
+    pending: list[DataFrame] = []
     r = 0
     while max_rounds is None or r < max_rounds:
-        m = _reciprocal_pairs(edges)
-        n1 = nodes.select(F.col("rep").alias("lo"), F.col("size").alias("s1"), F.col("h").alias("h1"))
-        n2 = nodes.select(F.col("rep").alias("hi"), F.col("size").alias("s2"), F.col("h").alias("h2"))
-        merged = (m.join(n1, "lo").join(n2, "hi")
+        nodes = state.where(F.col("a") == F.col("b"))
+        n1 = nodes.select(F.col("a").alias("lo"), F.col("c").alias("s1"), F.col("d").alias("h1"))
+        n2 = nodes.select(F.col("a").alias("hi"), F.col("c").alias("s2"), F.col("d").alias("h2"))
+        if nodes_fit:
+            # at most n node rows: broadcast by this proven bound, not by
+            # size estimates (a checkpointed plan keeps stale, growing ones)
+            n1, n2 = F.broadcast(n1), F.broadcast(n2)
+        merged = (_reciprocal_pairs(state).join(n1, "lo").join(n2, "hi")
                   .select("lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
                           F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round"))
                   .persist())
@@ -114,44 +140,32 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
         # relabel map: both ends of a merge are now named by its lo
         t = (merged.select(F.col("lo").alias("node"), F.col("lo").alias("new"))
              .unionByName(merged.select(F.col("hi").alias("node"), F.col("lo").alias("new"))))
-        small = fits_broadcast(2 * cnt, 32, broadcast_bytes)
-        if small:
+        if fits_broadcast(2 * cnt, 32, broadcast_bytes):
             t = F.broadcast(t)
         ta = t.select(F.col("node").alias("a"), F.col("new").alias("na"))
         tb = t.select(F.col("node").alias("b"), F.col("new").alias("nb"))
-        tagged = edges.join(ta, "a", "left").join(tb, "b", "left")
+        tagged = state.join(ta, "a", "left").join(tb, "b", "left")
         touched = F.col("na").isNotNull() | F.col("nb").isNotNull()
-        extra = ["s", "c"] if strategy == "avg" else []
-        keep = tagged.where(~touched).select("a", "b", "d", *extra)
+        keep = tagged.where(~touched).select("a", "b", "d", "s", "c")
         ea = F.coalesce("na", "a")
         eb = F.coalesce("nb", "b")
-        moved = (tagged.where(touched & (ea != eb))
-                 .select(F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), "d", *extra))
-        new_edges = keep.unionByName(_reaggregate(moved, strategy))
-        upd = merged.select(F.col("lo").alias("rep"), F.col("size").alias("ns"), F.col("h").alias("nh"))
-        gone = merged.select(F.col("hi").alias("rep"))
-        if small:
-            upd, gone = F.broadcast(upd), F.broadcast(gone)
-        new_nodes = (nodes.join(gone, "rep", "left_anti").join(upd, "rep", "left")
-                     .select("rep", F.coalesce("ns", "size").alias("size"),
-                             F.coalesce("nh", "h").alias("h")))
+        moved = tagged.where(touched).select(
+            F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), "d", "s", "c",
+            (F.col("a") == F.col("b")).alias("was_node"))
+        new_state = keep.unionByName(_reaggregate(moved, strategy))
         r += 1
-        # edges only shrink: n_edges bounds the new table from above
-        if n_edges > cache_rows or r - durable_round >= durable_every:
+        if n_rows > cache_rows or r - durable_round >= durable_every:
             scratch.append(_union(pending), "merges")
             for df in pending:
                 df.unpersist()
             pending = []
-            edges = scratch.put(new_edges, f"edges-{r}")
-            nodes = scratch.put(new_nodes, f"nodes-{r}")
-            n_edges = edges.count()
-            scratch.drop(f"edges-{durable_round}")
-            scratch.drop(f"nodes-{durable_round}")
+            state = scratch.put(new_state, f"state-{r}")
+            n_rows = state.count()
+            scratch.drop(f"state-{durable_round}")
             durable_round = r
         else:
-            # reliable checkpoint: same shared folder, truncated plan, no
-            # file-commit round trip
-            edges, nodes = new_edges.checkpoint(eager=True), new_nodes.checkpoint(eager=True)
+            # reliable checkpoint: same shared folder, truncated plan
+            state = new_state.checkpoint(eager=True)
     if pending:
         scratch.append(_union(pending), "merges")
         for df in pending:
