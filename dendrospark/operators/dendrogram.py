@@ -22,21 +22,44 @@ def _child_parent(merges: DataFrame) -> DataFrame:
             .unionByName(merges.select(F.col("point2").alias("node"), F.col("cluster").alias("up"))))
 
 
-def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None) -> DataFrame:
+def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
+            hot_fraction: float = 0.05) -> DataFrame:
     """Topmost ancestor ``(keys..., node, up)`` of every node of a
-    ``(keys..., node, up)`` forest."""
+    ``(keys..., node, up)`` forest.
+
+    As pointers double, many nodes come to point at the same ancestor, so the
+    join on ``up`` grows a hot key (up to every row).  Each step therefore
+    splits it: targets holding more than ``hot_fraction`` of the rows (at
+    most 1/hot_fraction of them, a proven bound) are resolved through a
+    broadcast of their own few rows; only the rest go through the shuffle
+    join."""
     keys = keys or []
     tag = f"jump-{uuid.uuid4().hex[:8]}"
     p = scratch.put(edges.select(*keys, "node", "up"), f"{tag}-0")
+    rows = p.count()
     i = 0
     while True:
         q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        step = p.join(q, [*keys, "up"], "left").select(
-            *keys, "node", F.coalesce("up2", "up").alias("up"),
-            F.col("up2").isNotNull().alias("moved"))
+        hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
+               .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
+               .select(*keys, "up", F.lit(True).alias("hot")))
+        hot = scratch.put(hot, f"{tag}-hot-{i}")          # <= 1/hot_fraction rows
+        if hot.limit(1).count():
+            hot_b = F.broadcast(hot)
+            tagged = p.join(hot_b, [*keys, "up"], "left")
+            hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
+            cold = (tagged.where(F.col("hot").isNull()).drop("hot")
+                    .join(q.join(hot_b, [*keys, "up"], "left_anti"), [*keys, "up"], "left"))
+            warm = tagged.where(F.col("hot")).drop("hot").join(hot_q, [*keys, "up"], "left")
+            joined = cold.unionByName(warm)
+        else:
+            joined = p.join(q, [*keys, "up"], "left")
+        step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"),
+                             F.col("up2").isNotNull().alias("moved"))
         i += 1
         step = scratch.put(step, f"{tag}-{i}")
         scratch.drop(f"{tag}-{i - 1}")
+        scratch.drop(f"{tag}-hot-{i - 1}")
         p = step.select(*keys, "node", "up")
         if step.where("moved").limit(1).count() == 0:
             return p

@@ -229,6 +229,16 @@ def linkage(points: DataFrame, strategy: str = "avg", k: int = 1, n: int | None
     return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes)
 
 
+def linkage_with_assignments(points: DataFrame, strategy: str = "avg", k: int = 1,
+                             n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merge table down to k clusters and the final ``(id, cluster)``
+    assignment of every point."""
+    from .dendrogram import cut
+    n = n or points.count()
+    merges = linkage(points, strategy, k, n)
+    return merges, cut(merges, n, k)
+
+
 def singletons(spark, n: int) -> DataFrame:
     """Every point its own cluster."""
     return spark.range(1, n + 1).select(F.col("id"), F.col("id").alias("cluster"))

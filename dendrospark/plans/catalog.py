@@ -184,9 +184,9 @@ def q_members_supplier(spark, sf):
 
 def q_cluster_of_supplier(spark, sf):
     pts, n, m = _sup_model(spark, sf)
-    half = m.where(F.col("cluster") <= n + (n - 1) // 2)
-    base = (half.select(F.col("point1").alias("child"), "cluster")
-            .unionByName(half.select(F.col("point2").alias("child"), "cluster")))
+    level = m.where(F.col("cluster") <= 2 * n - CUT_K)   # the stored K-level model
+    base = (level.select(F.col("point1").alias("child"), "cluster")
+            .unionByName(level.select(F.col("point2").alias("child"), "cluster")))
     return cluster_of(pts, base)
 
 
@@ -482,7 +482,7 @@ ORACLE: dict[str, str] = {
         "dn(t, node) AS (SELECT t, t FROM tg UNION ALL SELECT dn.t, ch.child FROM dn JOIN ch ON ch.cluster = dn.node) "
         "SELECT t AS cluster, node AS id FROM dn, nn WHERE node <= nn.n"),
     "cluster_of_supplier": (
-        f"{_SUP_AVG}, half AS (SELECT mg.* FROM mg, nn WHERE cluster <= nn.n + (nn.n - 1) // 2), "
+        f"{_SUP_AVG}, half AS (SELECT mg.* FROM mg, nn WHERE cluster <= 2 * nn.n - {CUT_K}), "
         "hp AS (SELECT point1 AS node, cluster AS up FROM half UNION ALL SELECT point2, cluster FROM half), "
         "cl(id, node) AS (SELECT id, id FROM sp UNION ALL SELECT cl.id, hp.up FROM cl JOIN hp ON hp.node = cl.node) "
         "SELECT id, max(node) AS cluster FROM cl GROUP BY id"),

@@ -119,3 +119,12 @@ def test_sinks_round_trip(spark, tmp_path):
     io.write_assignments(spark.createDataFrame([(2, 5), (1, 5)], "id LONG, cluster LONG"), str(tmp_path / "a"))
     a = spark.read.csv(str(tmp_path / "a"), schema="id LONG, cluster LONG").collect()
     assert sorted(tuple(r) for r in a) == [(1, 5), (2, 5)]
+
+
+def test_write_report(spark, tmp_path):
+    rep = spark.createDataFrame([(3, 0.9, 2.0, 0.8, 1.5, 0.2, 10.0), (2, 0.5, 1.0, 0.4, 0.5, 0.9, 20.0)],
+                                "k INT, silhouette DOUBLE, dunn DOUBLE, silhouette_bd DOUBLE, dunn_bd DOUBLE, "
+                                "davis_bouldin DOUBLE, wssse DOUBLE")
+    io.write_report(rep, str(tmp_path / "r"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "r")).collect()
+    assert [int(r.k) for r in back] == [2, 3]

@@ -91,3 +91,11 @@ def test_singletons_members_midpoints(spark):
     pts = pts_df(spark, [[0.0, 0.0], [2.0, 0.0], [4.0, 4.0]])
     mp = {r.cluster: r.centroid for r in midpoints(merges, pts).collect()}
     assert mp[4] == [1.0, 0.0] and mp[5] == [2.5, 2.0]
+
+
+def test_linkage_with_assignments(spark):
+    from dendrospark.operators.linkage import linkage_with_assignments
+    merges, asg = linkage_with_assignments(pts_df(spark, [[0], [1], [10], [11], [30]]), "min", k=2)
+    assert merges.count() == 3
+    labels = {r.id: r.cluster for r in asg.collect()}
+    assert labels[1] == labels[2] == labels[3] == labels[4] != labels[5] == 5
