@@ -164,7 +164,8 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
             scratch.drop(f"state-{durable_round}")
             durable_round = r
         else:
-            # reliable checkpoint: same shared folder, truncated plan
+            # reliable checkpoint: same shared folder, truncated plan; held in
+            # memory meanwhile so the checkpoint writer does not recompute it
             state = new_state.checkpoint(eager=True)
     if pending:
         scratch.append(_union(pending), "merges")

@@ -18,7 +18,7 @@ STRATEGIES = ("min", "max", "avg", "wavg")
 
 def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "auto",
                        n: int | None = None, dim: int | None = None,
-                       block_rows: int = 2048,
+                       block_rows: int = 2048, pairs_per_task: int = 2_000_000,
                        broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """All pairs ``id1 < id2`` with their (squared) Euclidean distance.
 
@@ -44,6 +44,11 @@ def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "
     a = points.select(F.col("id").alias("id1"), F.col("features").alias("f1"))
     b = points.select(F.col("id").alias("id2"), F.col("features").alias("f2"))
     if method == "broadcast":
+        # the n^2/2 work follows the probe side's partitions: spread it by
+        # hash of id (a few points can carry the whole quadratic load)
+        parts = max(points.sparkSession.sparkContext.defaultParallelism,
+                    min(n, int(math.ceil(n * n / 2 / pairs_per_task))))
+        a = a.repartition(parts, "id1")
         j = a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
         return j.select("id1", "id2", metric("f1", "f2").alias("dist"))
     nb = max(1, int(math.ceil(n / block_rows)))
