@@ -23,7 +23,7 @@ def _child_parent(merges: DataFrame) -> DataFrame:
 
 
 def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
-            hot_fraction: float = 0.05) -> DataFrame:
+            hot_fraction: float = 0.05, hot_min_rows: int = 1_000_000) -> DataFrame:
     """Topmost ancestor ``(keys..., node, up)`` of every node of a
     ``(keys..., node, up)`` forest.
 
@@ -32,7 +32,8 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
     splits it: targets holding more than ``hot_fraction`` of the rows (at
     most 1/hot_fraction of them, a proven bound) are resolved through a
     broadcast of their own few rows; only the rest go through the shuffle
-    join."""
+    join.  Tables under ``hot_min_rows`` skip the split: no task can be
+    overloaded by them."""
     keys = keys or []
     tag = f"jump-{uuid.uuid4().hex[:8]}"
     p = scratch.put(edges.select(*keys, "node", "up"), f"{tag}-0")
@@ -40,11 +41,13 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
     i = 0
     while True:
         q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
-               .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
-               .select(*keys, "up", F.lit(True).alias("hot")))
-        hot = scratch.put(hot, f"{tag}-hot-{i}")          # <= 1/hot_fraction rows
-        if hot.limit(1).count():
+        hot = None
+        if rows > hot_min_rows:
+            hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
+                   .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
+                   .select(*keys, "up", F.lit(True).alias("hot")))
+            hot = scratch.put(hot, f"{tag}-hot-{i}")      # <= 1/hot_fraction rows
+        if hot is not None and hot.limit(1).count():
             hot_b = F.broadcast(hot)
             tagged = p.join(hot_b, [*keys, "up"], "left")
             hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
