@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import (mean_vectors, other_endpoint, sq_euclidean, sq_norm,
+from ..functions.vectors import (mean_vectors, other_endpoint, sq_norm,
                                  to_double_or_zero, weighted_sq_euclidean)
 from ..operators import indices as V
 from ..operators.centers import centers, compute_cost, group_by_center, predict

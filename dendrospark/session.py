@@ -9,7 +9,6 @@ unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -110,9 +109,3 @@ def fits_broadcast(rows: int, bytes_per_row: int,
                    limit: int = DEFAULT_BROADCAST_BYTES) -> bool:
     return rows * bytes_per_row <= limit
 
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
