@@ -25,6 +25,7 @@ the rest pass through.  Nothing but counts reaches the driver.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -260,28 +261,30 @@ def midpoints(merges: DataFrame, points: DataFrame, scratch: Scratch | None = No
     """Per merge, the unweighted midpoint of its two children's centroids
     (a leaf's centroid is its vector) -> (cluster, centroid).
 
-    Resolved frontier by frontier: each pass joins the merges whose two
-    children are known; passes = height of the tree."""
+    One table of known centroids grows level by level: each pass joins the
+    merges not yet known with the known table on both children, and writes
+    the union once.  Passes = height of the tree."""
     spark = merges.sparkSession
     scratch = scratch or Scratch(spark, "midpoints")
-    known = points.select(F.col("id").alias("node"), F.col("features").alias("centroid"))
-    todo = merges.select("cluster", "point1", "point2")
-    out = []
+    tag = f"mid-{uuid.uuid4().hex[:8]}"
+    m = merges.select("cluster", "point1", "point2")
+    known = scratch.put(points.select(F.col("id").alias("node"), F.col("features").alias("centroid")),
+                        f"{tag}-0")
+    size = known.count()
     i = 0
     while True:
+        todo = m.join(known.select(F.col("node").alias("cluster")), "cluster", "left_anti")
         k1 = known.select(F.col("node").alias("point1"), F.col("centroid").alias("v1"))
         k2 = known.select(F.col("node").alias("point2"), F.col("centroid").alias("v2"))
         ready = todo.join(k1, "point1").join(k2, "point2").select(
-            "cluster", vmid("v1", "v2").alias("centroid"))
-        ready = scratch.put(ready, f"mid-{i}")
-        if ready.limit(1).count() == 0:
-            break
-        out.append(ready)
-        todo = scratch.put(todo.join(ready.select("cluster"), "cluster", "left_anti"), f"todo-{i}")
-        known = ready.select(F.col("cluster").alias("node"), "centroid").unionByName(
-            known.join(ready.select(F.col("cluster").alias("node")), "node", "left_anti"))
-        known = scratch.put(known, f"known-{i}")
+            F.col("cluster").alias("node"), vmid("v1", "v2").alias("centroid"))
         i += 1
-    if not out:
-        return spark.createDataFrame([], "cluster LONG, centroid ARRAY<DOUBLE>")
-    return reduce(DataFrame.unionByName, out)
+        nxt = scratch.put(known.unionByName(ready), f"{tag}-{i}")
+        grown = nxt.count()
+        scratch.drop(f"{tag}-{i - 1}")
+        known = nxt
+        if grown == size:
+            break
+        size = grown
+    return known.join(m.select(F.col("cluster").alias("node")), "node", "left_semi").select(
+        F.col("node").alias("cluster"), "centroid")

@@ -498,6 +498,23 @@ ORACLE: dict[str, str] = {
                              "CAST(point1 AS VARCHAR), CAST(point2 AS VARCHAR)) AS line FROM mg"),
     "dendrogram_supplier": (f"{_SUP_AVG} SELECT point1 - 1 AS p1, point2 - 1 AS p2, round(height, 6) AS dist, "
                             "size AS count FROM mg"),
+    "midpoints_supplier": (
+        f"{_SUP_AVG}, "
+        "md(step, node, v) AS ("
+        "  SELECT 0, id, f FROM sp"
+        "  UNION ALL"
+        "  SELECT * FROM ("
+        "    WITH known AS (SELECT * FROM md),"
+        "    fresh AS (SELECT mg.cluster AS node,"
+        "                     list_transform(range(1, len(k1.v) + 1), lambda i: (k1.v[i] + k2.v[i]) / 2.0) AS v"
+        "              FROM mg JOIN known k1 ON k1.node = mg.point1 JOIN known k2 ON k2.node = mg.point2"
+        "              WHERE mg.cluster NOT IN (SELECT node FROM known))"
+        "    SELECT (SELECT max(step) FROM known) + 1, node, v FROM known"
+        "    WHERE EXISTS (SELECT 1 FROM fresh)"
+        "    UNION ALL SELECT (SELECT max(step) FROM known) + 1, node, v FROM fresh"
+        "  )"
+        "), fin AS (SELECT node, v FROM md WHERE step = (SELECT max(step) FROM md)) "
+        "SELECT node AS cluster, round(v[1], 6) AS c0, round(v[2], 6) AS c1 FROM fin, nn WHERE node > nn.n"),
     "centers_supplier": (f"{_SUP_CENTERS} SELECT center, cluster, size, round(c[1], 6) AS c0, "
                          "round(c[2], 6) AS c1 FROM cen"),
     "predict_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr",
