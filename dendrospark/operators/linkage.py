@@ -39,26 +39,29 @@ from .pairs import STRATEGIES, pairwise_distances
 MERGE_COLS = ["cluster", "point1", "point2", "height", "size"]
 
 
-def _initial_state(pairs: DataFrame, n: int, strategy: str) -> DataFrame:
+def _initial_state(pairs: DataFrame, n: int, strategy: str, keys: list[str],
+                   models: list | None) -> DataFrame:
     """Round state: edge rows ``a < b`` (``d``; UPGMA also ``s`` = sum of cross
     distances and ``c`` = their count) and one node row ``a = b = rep`` per
-    cluster (``d`` = its height, ``c`` = its size)."""
-    e = pairs.select(F.least("id1", "id2").cast("long").alias("a"),
+    cluster (``d`` = its height, ``c`` = its size), per model key if any."""
+    e = pairs.select(*keys, F.least("id1", "id2").cast("long").alias("a"),
                      F.greatest("id1", "id2").cast("long").alias("b"),
                      F.col("dist").cast("double").alias("d"))
     e = e.where(F.col("a") != F.col("b"))
     if strategy == "avg":
-        e = e.select("a", "b", "d", F.col("d").alias("s"), F.lit(1).cast("long").alias("c"))
+        e = e.select(*keys, "a", "b", "d", F.col("d").alias("s"), F.lit(1).cast("long").alias("c"))
     else:
-        e = e.select("a", "b", "d", F.lit(None).cast("double").alias("s"),
+        e = e.select(*keys, "a", "b", "d", F.lit(None).cast("double").alias("s"),
                      F.lit(None).cast("long").alias("c"))
-    nodes = pairs.sparkSession.range(1, n + 1).select(
-        F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"),
-        F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("c"))
+    nodes = pairs.sparkSession.range(1, n + 1)
+    if keys:
+        nodes = nodes.withColumn(keys[0], F.explode(F.array(*[F.lit(m) for m in models])))
+    nodes = nodes.select(*keys, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"),
+                         F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("c"))
     return e.unionByName(nodes)
 
 
-def _reaggregate(rows: DataFrame, strategy: str) -> DataFrame:
+def _reaggregate(rows: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
     """Regroup relabelled rows.  A group ``a = b`` is a merged cluster's node:
     its old node rows and the merge edge; height = max, size = sum of the
     node sizes.  A group ``a < b`` holds only edge rows: min, max, the mean of
@@ -74,31 +77,37 @@ def _reaggregate(rows: DataFrame, strategy: str) -> DataFrame:
     else:
         d = F.sum("s") / F.sum("c")
     size = F.sum(F.when(F.col("was_node"), F.col("c")))
-    return rows.groupBy("a", "b").agg(
+    return rows.groupBy(*keys, "a", "b").agg(
         F.when(node, F.max("d")).otherwise(d).alias("d"),
         (F.when(~node, F.sum("s")) if strategy == "avg" else F.lit(None).cast("double")).alias("s"),
         F.when(node, size).otherwise(F.sum("c") if strategy == "avg" else F.lit(None).cast("long"))
         .alias("c"))
 
 
-def _reciprocal_pairs(state: DataFrame) -> DataFrame:
+def _reciprocal_pairs(state: DataFrame, keys: list[str]) -> DataFrame:
     """Edges that are the nearest neighbour of both their ends."""
     edges = state.where(F.col("a") < F.col("b"))
     e = F.struct("d", "a", "b")
-    both = (edges.select(F.col("a").alias("x"), e.alias("e"))
-            .unionByName(edges.select(F.col("b").alias("x"), e.alias("e"))))
-    nn = both.groupBy("x").agg(F.min("e").alias("e"))
-    mutual = nn.groupBy("e").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
-    return mutual.select(F.col("e.a").alias("lo"), F.col("e.b").alias("hi"), F.col("e.d").alias("d"))
+    both = (edges.select(*keys, F.col("a").alias("x"), e.alias("e"))
+            .unionByName(edges.select(*keys, F.col("b").alias("x"), e.alias("e"))))
+    nn = both.groupBy(*keys, "x").agg(F.min("e").alias("e"))
+    mutual = nn.groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
+    return mutual.select(*keys, F.col("e.a").alias("lo"), F.col("e.b").alias("hi"),
+                         F.col("e.d").alias("d"))
 
 
 def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                max_rounds: int | None = None, cache_rows: int = 1_000_000,
-               durable_every: int = 6) -> tuple[DataFrame, int]:
+               durable_every: int = 6, model: str | None = None,
+               models: list | None = None) -> tuple[DataFrame, int]:
     """Run RNN rounds until no edge is left.  Returns the raw merges
-    ``(lo, hi, d, size, h, round)`` (n-1 rows for a connected input) and the
-    number of rounds.
+    ``([model,] lo, hi, d, size, h, round)`` (n-1 rows per model for a
+    connected input) and the number of rounds.
+
+    ``model`` names a key column of ``pairs`` that separates independent
+    dendrograms (e.g. one per feature prefix): they advance through the same
+    rounds and jobs, so M models cost about one model's rounds, not M.
 
     Two jobs per round: find and record the reciprocal pairs, then rewrite
     the state.  State above ``cache_rows`` rows is written to the shared
@@ -114,23 +123,27 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
     are flushed to Parquet before that state is dropped."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
+    keys = [model] if model else []
+    if model and not models:
+        raise ValueError("models: the list of model keys is required with model=")
     spark = pairs.sparkSession
-    state = scratch.put(_initial_state(pairs, n, strategy), "state-0")
-    nodes_fit = fits_broadcast(n, 32, broadcast_bytes)
+    state = scratch.put(_initial_state(pairs, n, strategy, keys, models), "state-0")
+    n_models = len(models) if model else 1
+    nodes_fit = fits_broadcast(n * n_models, 40, broadcast_bytes)
     n_rows = state.count()
     durable_round = 0
     pending: list[DataFrame] = []
     r = 0
     while max_rounds is None or r < max_rounds:
         nodes = state.where(F.col("a") == F.col("b"))
-        n1 = nodes.select(F.col("a").alias("lo"), F.col("c").alias("s1"), F.col("d").alias("h1"))
-        n2 = nodes.select(F.col("a").alias("hi"), F.col("c").alias("s2"), F.col("d").alias("h2"))
+        n1 = nodes.select(*keys, F.col("a").alias("lo"), F.col("c").alias("s1"), F.col("d").alias("h1"))
+        n2 = nodes.select(*keys, F.col("a").alias("hi"), F.col("c").alias("s2"), F.col("d").alias("h2"))
         if nodes_fit:
-            # at most n node rows: broadcast by this proven bound, not by
-            # size estimates (a checkpointed plan keeps stale, growing ones)
+            # at most n node rows per model: broadcast by this proven bound,
+            # not by size estimates (a checkpointed plan keeps stale ones)
             n1, n2 = F.broadcast(n1), F.broadcast(n2)
-        merged = (_reciprocal_pairs(state).join(n1, "lo").join(n2, "hi")
-                  .select("lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
+        merged = (_reciprocal_pairs(state, keys).join(n1, [*keys, "lo"]).join(n2, [*keys, "hi"])
+                  .select(*keys, "lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
                           F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round"))
                   .persist())
         cnt = merged.count()
@@ -139,21 +152,21 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
             break
         pending.append(merged)
         # relabel map: both ends of a merge are now named by its lo
-        t = (merged.select(F.col("lo").alias("node"), F.col("lo").alias("new"))
-             .unionByName(merged.select(F.col("hi").alias("node"), F.col("lo").alias("new"))))
-        if fits_broadcast(2 * cnt, 32, broadcast_bytes):
+        t = (merged.select(*keys, F.col("lo").alias("node"), F.col("lo").alias("new"))
+             .unionByName(merged.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("new"))))
+        if fits_broadcast(2 * cnt, 40, broadcast_bytes):
             t = F.broadcast(t)
-        ta = t.select(F.col("node").alias("a"), F.col("new").alias("na"))
-        tb = t.select(F.col("node").alias("b"), F.col("new").alias("nb"))
-        tagged = state.join(ta, "a", "left").join(tb, "b", "left")
+        ta = t.select(*keys, F.col("node").alias("a"), F.col("new").alias("na"))
+        tb = t.select(*keys, F.col("node").alias("b"), F.col("new").alias("nb"))
+        tagged = state.join(ta, [*keys, "a"], "left").join(tb, [*keys, "b"], "left")
         touched = F.col("na").isNotNull() | F.col("nb").isNotNull()
-        keep = tagged.where(~touched).select("a", "b", "d", "s", "c")
+        keep = tagged.where(~touched).select(*keys, "a", "b", "d", "s", "c")
         ea = F.coalesce("na", "a")
         eb = F.coalesce("nb", "b")
         moved = tagged.where(touched).select(
-            F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), "d", "s", "c",
+            *keys, F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), "d", "s", "c",
             (F.col("a") == F.col("b")).alias("was_node"))
-        new_state = keep.unionByName(_reaggregate(moved, strategy))
+        new_state = keep.unionByName(_reaggregate(moved, strategy, keys))
         r += 1
         if n_rows > cache_rows or r - durable_round >= durable_every:
             scratch.append(_union(pending), "merges")
@@ -165,15 +178,15 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
             scratch.drop(f"state-{durable_round}")
             durable_round = r
         else:
-            # reliable checkpoint: same shared folder, truncated plan; held in
-            # memory meanwhile so the checkpoint writer does not recompute it
+            # reliable checkpoint: same shared folder, truncated plan
             state = new_state.checkpoint(eager=True)
     if pending:
         scratch.append(_union(pending), "merges")
         for df in pending:
             df.unpersist()
     if r == 0:
-        empty = "lo LONG, hi LONG, d DOUBLE, size LONG, h DOUBLE, round INT"
+        key_ddl = f"{model} {dict(pairs.dtypes)[model]}, " if model else ""
+        empty = f"{key_ddl}lo LONG, hi LONG, d DOUBLE, size LONG, h DOUBLE, round INT"
         return spark.createDataFrame([], empty), 0
     return spark.read.parquet(scratch.path("merges")), r
 
@@ -182,43 +195,51 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
 
-def number_merges(raw: DataFrame, n: int) -> DataFrame:
+def number_merges(raw: DataFrame, n: int, model: str | None = None) -> DataFrame:
     """Turn raw round merges into the merge table.
 
     Rank by ``(h, round, lo, hi)`` (h is non-decreasing from child to parent,
     so a parent always ranks after its children); cluster id = n + rank.  A
     child is the latest earlier merge that kept its representative, or the
     leaf itself.  Children are stored (smaller, larger) for two leaves, else
-    (larger, smaller)."""
-    ranked = global_rank(raw, ["h", "round", "lo", "hi"], out="idx", start=n + 1)
-    ranked = ranked.withColumnRenamed("idx", "cluster")
+    (larger, smaller).  With a ``model`` key the rank runs within each model
+    (one distributed rank over (model, ...), minus each model's first rank)."""
+    keys = [model] if model else []
+    ranked = global_rank(raw, [*keys, "h", "round", "lo", "hi"], out="idx", start=0)
+    if keys:
+        first = ranked.groupBy(*keys).agg(F.min("idx").alias("first"))   # one row per model
+        ranked = ranked.join(F.broadcast(first), keys).withColumn(
+            "idx", F.col("idx") - F.col("first")).drop("first")
+    ranked = ranked.withColumn("cluster", F.col("idx") + F.lit(n + 1)).drop("idx")
     # a representative survives at most one merge per round, so these groups
     # are at most #rounds long
-    w = Window.partitionBy("lo").orderBy("round")
+    w = Window.partitionBy(*keys, "lo").orderBy("round")
     with_prev = ranked.withColumn("prev_lo", F.lag("cluster").over(w))
-    last = ranked.groupBy("lo").agg(F.max_by("cluster", "round").alias("last_c")) \
-        .withColumnRenamed("lo", "hi")
-    j = with_prev.join(last, "hi", "left")
+    last = (ranked.groupBy(*keys, "lo").agg(F.max_by("cluster", "round").alias("last_c"))
+            .withColumnRenamed("lo", "hi"))
+    j = with_prev.join(last, [*keys, "hi"], "left")
     c1 = F.coalesce("prev_lo", "lo")
     c2 = F.coalesce("last_c", "hi")
     leaves = (c1 <= n) & (c2 <= n)
     return j.select(
-        "cluster",
+        *keys, "cluster",
         F.when(leaves, F.least(c1, c2)).otherwise(F.greatest(c1, c2)).alias("point1"),
         F.when(leaves, F.greatest(c1, c2)).otherwise(F.least(c1, c2)).alias("point2"),
         F.col("h").alias("height"), "size")
 
 
 def linkage_from_pairs(pairs: DataFrame, n: int, strategy: str = "avg", k: int = 1,
-                       broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Merge table ``(cluster, point1, point2, height, size)`` from a
-    pair table ``(id1, id2, dist)`` over ids 1..n; the first n-k merges."""
+                       broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                       model: str | None = None, models: list | None = None) -> DataFrame:
+    """Merge table ``([model,] cluster, point1, point2, height,
+    size)`` from a pair table ``([model,] id1, id2, dist)`` over ids 1..n; the
+    first n-k merges of every model."""
     if not 1 <= k <= n:
         raise ValueError(f"k must lie in 1..{n}")
     spark = pairs.sparkSession
     scratch = Scratch(spark, f"linkage-{strategy}")
-    raw, _ = rnn_rounds(pairs, n, strategy, scratch, broadcast_bytes)
-    merges = number_merges(raw, n).where(F.col("cluster") <= 2 * n - k)
+    raw, _ = rnn_rounds(pairs, n, strategy, scratch, broadcast_bytes, model=model, models=models)
+    merges = number_merges(raw, n, model).where(F.col("cluster") <= 2 * n - k)
     return scratch.put(merges, "merge-table")
 
 
@@ -231,6 +252,22 @@ def linkage(points: DataFrame, strategy: str = "avg", k: int = 1, n: int | None
     return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes)
 
 
+def linkage_by_prefix(points: DataFrame, nvs: list[int], strategy: str = "avg", k: int = 1,
+                      n: int | None = None,
+                      broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """One dendrogram per feature prefix ``nv`` (the reference's grid), all
+    advancing through the same rounds -> ``(nv, cluster, point1, point2,
+    height, size)``."""
+    from ..sources.io import take_features
+    if n is None:
+        n = points.count()
+    pairs = reduce(DataFrame.unionByName, [
+        pairwise_distances(take_features(points, nv), broadcast_bytes=broadcast_bytes)
+        .withColumn("nv", F.lit(int(nv))) for nv in nvs])
+    return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes, model="nv",
+                              models=[int(v) for v in nvs])
+
+
 def linkage_with_assignments(points: DataFrame, strategy: str = "avg", k: int = 1,
                              n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The merge table down to k clusters and the final ``(id, cluster)``

@@ -99,3 +99,16 @@ def test_linkage_with_assignments(spark):
     assert merges.count() == 3
     labels = {r.id: r.cluster for r in asg.collect()}
     assert labels[1] == labels[2] == labels[3] == labels[4] != labels[5] == 5
+
+
+@pytest.mark.skipif(not os.path.exists(GOLDEN), reason="reference models absent")
+def test_prefix_models_share_rounds(spark):
+    """Two feature prefixes as one keyed linkage = the two shipped models."""
+    from dendrospark.operators.linkage import linkage_by_prefix
+    pts = io.read_points(spark, f"{REFERENCE}/data/C3-D20-I100")
+    m = linkage_by_prefix(pts, [1, 20], "avg", k=3).collect()
+    for nv in (1, 20):
+        got = sorted((r.cluster, r.point1, r.point2) for r in m if r.nv == nv)
+        with open(f"{GOLDEN}/Linkage-C3-300p-D{nv}/part-00000") as fh:
+            want = [tuple(int(x) for x in line.split(",")) for line in fh if line.strip()]
+        assert got == want
