@@ -99,7 +99,8 @@ def _reciprocal_pairs(state: DataFrame, keys: list[str]) -> DataFrame:
 def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
                max_rounds: int | None = None, cache_rows: int = 1_000_000,
-               durable_every: int = 6, model: str | None = None,
+               durable_every: int = 6, tail_rows_per_part: int = 250_000,
+               model: str | None = None,
                models: list | None = None) -> tuple[DataFrame, int]:
     """Run RNN rounds until no edge is left.  Returns the raw merges
     ``([model,] lo, hi, d, size, h, round)`` (n-1 rows per model for a
@@ -178,8 +179,10 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
             scratch.drop(f"state-{durable_round}")
             durable_round = r
         else:
-            # reliable checkpoint: same shared folder, truncated plan
-            state = new_state.checkpoint(eager=True)
+            # reliable checkpoint: same shared folder, truncated plan; the
+            # shrinking tail is packed into as many partitions as it needs
+            parts = max(1, n_rows // tail_rows_per_part)   # coalesce never grows
+            state = new_state.coalesce(parts).checkpoint(eager=True)
     if pending:
         scratch.append(_union(pending), "merges")
         for df in pending:
