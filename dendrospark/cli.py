@@ -1,10 +1,10 @@
 """Command line for the batch entry points (E1-E5), for spark-submit.
 
-    spark-submit -m dendrospark.cli linkage  POINTS OUT --k 3 --strategy avg
-    spark-submit -m dendrospark.cli evaluate POINTS MERGES OUT --k-min 2 --k-max 10
-    spark-submit -m dendrospark.cli build-evaluate POINTS OUT --strategy avg --k-min 2 --k-max 10
-    spark-submit -m dendrospark.cli grid OUT --data NAME=PATH ... --nv 1 20 --k 3 9
-    spark-submit -m dendrospark.cli bisecting-grid OUT --data NAME=PATH ... --nv 1 20 --k 3 9
+    spark-submit run_dendrospark.py linkage  POINTS OUT --k 3 --strategy avg
+    spark-submit run_dendrospark.py evaluate POINTS MERGES OUT --k-min 2 --k-max 10
+    spark-submit run_dendrospark.py build-evaluate POINTS OUT --strategy avg --k-min 2 --k-max 10
+    spark-submit run_dendrospark.py grid OUT --data NAME=PATH ... --nv 1 20 --k 3 9
+    spark-submit run_dendrospark.py bisecting-grid OUT --data NAME=PATH ... --nv 1 20 --k 3 9
 
 POINTS are header-less delimited numeric text (every column a feature);
 MERGES is a ``cluster,point1,point2`` table.  Iterative steps need
