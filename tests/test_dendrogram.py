@@ -40,3 +40,33 @@ def test_cluster_of_and_is_cluster(spark):
     assert {r.id: r.cluster for r in cluster_of(pts, base).collect()} == {1: 6, 2: 6, 3: 6, 4: 4}
     flags = {r.id: r.is_cluster for r in is_cluster(all_ids(spark, 4), merges).collect()}
     assert [i for i, f in sorted(flags.items()) if f] == [5, 6, 7]
+
+
+def test_hot_target_split_matches_plain_join(spark):
+    """A star: every node points at one hub; the split path must agree with
+    the plain join."""
+    from dendrospark.operators.dendrogram import root_of
+    from dendrospark.session import Scratch
+    rows = [(i, 100) for i in range(1, 60)] + [(100, 200), (200, 300)] + [(i, i + 1) for i in range(400, 420)]
+    edges = spark.createDataFrame(rows, "node LONG, up LONG")
+    sc = Scratch(spark, "t")
+    split = {r.node: r.up for r in root_of(edges, sc, hot_min_rows=0).collect()}
+    plain = {r.node: r.up for r in root_of(edges, sc, hot_min_rows=10 ** 9).collect()}
+    assert split == plain
+    assert split[5] == 300 and split[400] == 420
+
+
+def test_centers_fallback_moves_down_a_level(spark):
+    from dendrospark.operators.centers import LinkageModel, centers, predict
+    pts = pts_df(spark, [[0], [0.1], [0.2], [0.3], [100], [100.1], [100.2], [1000]])
+    m = linkage(pts, "avg")
+    # at k=2 only one cluster has >= 2 members; one level down both A and B do
+    c = centers(pts, m, 8, 2, min_size=2).collect()
+    assert sorted(r.size for r in c) == [3, 4]
+    with pytest.raises(ValueError):
+        centers(pts, m, 8, 2, min_size=5)
+    model = LinkageModel(m, 8).with_centers(centers(pts, m, 8, 3))
+    assert model.cut(3).select("cluster").distinct().count() == 3
+    assert model.predict(pts).select("center").distinct().count() == 3
+    assert model.compute_cost(pts).first().cost == pytest.approx(
+        sum((x - 0.15) ** 2 for x in (0, 0.1, 0.2, 0.3)) + sum((x - 100.1) ** 2 for x in (100, 100.1, 100.2)))
