@@ -9,6 +9,7 @@ unset.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -49,9 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return d or None
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it
+    (a cluster that installs it, or gets it by --py-files, is not affected)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder, setting a local one only when unset
     (local runs and tests; a cluster names its own shared folder)."""
+    share_package(spark)
     d = checkpoint_dir(spark)
     if d is None:
         d = fallback or tempfile.mkdtemp(prefix="dendrospark-ckpt-", dir="/tmp")
