@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import packing, sharding, simhash
+from . import langid, packing, sharding, simhash, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
+    toxicity.op2_toxicity,
     packing.op3_packing,
+    langid.op4_language_id,
     sharding.op8_jump_sharding,
 )}
 
