@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import langid, packing, sharding, simhash, toxicity
+from . import bpe, langid, packing, sharding, simhash, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -8,6 +8,7 @@ QUERIES = {f.__name__: f for f in (
     packing.op3_packing,
     langid.op4_language_id,
     sharding.op8_jump_sharding,
+    bpe.op9_byte_bpe,
 )}
 
 ORACLE = {"op8_jump_sharding": sharding.ORACLE}
