@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, langid, packing, sharding, simhash, toxicity
+from . import bpe, class_lm, langid, packing, sharding, simhash, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
     toxicity.op2_toxicity,
     packing.op3_packing,
     langid.op4_language_id,
+    class_lm.op5_class_lm,
     sharding.op8_jump_sharding,
     bpe.op9_byte_bpe,
 )}
