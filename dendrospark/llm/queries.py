@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, class_lm, langid, packing, sharding, simhash, toxicity
+from . import bpe, class_lm, langid, multi_index, packing, sharding, simhash, threshold, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -8,8 +8,10 @@ QUERIES = {f.__name__: f for f in (
     packing.op3_packing,
     langid.op4_language_id,
     class_lm.op5_class_lm,
+    multi_index.op6_multi_index_hashing,
     sharding.op8_jump_sharding,
     bpe.op9_byte_bpe,
+    threshold.op10_threshold_topk,
 )}
 
-ORACLE = {"op8_jump_sharding": sharding.ORACLE}
+ORACLE = {"op8_jump_sharding": sharding.ORACLE, "op10_threshold_topk": threshold.ORACLE}
