@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, class_lm, langid, multi_index, packing, sharding, simhash, threshold, toxicity
+from . import bpe, class_lm, langid, multi_index, packing, sharding, simhash, suffix_dedup, threshold, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -9,6 +9,7 @@ QUERIES = {f.__name__: f for f in (
     langid.op4_language_id,
     class_lm.op5_class_lm,
     multi_index.op6_multi_index_hashing,
+    suffix_dedup.op7_suffix_array_dedup,
     sharding.op8_jump_sharding,
     bpe.op9_byte_bpe,
     threshold.op10_threshold_topk,
