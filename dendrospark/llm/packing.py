@@ -15,6 +15,8 @@ without a shuffle.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -152,32 +154,78 @@ class Packer:
 
 
 # ------------------------------------------------------------------ token ids
+#: Letters of the Latin blocks whose lower case is one letter, then ASCII signs
+#: but the apostrophe, which may begin a contraction.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE files write for each byte: printable
+    bytes for themselves, the others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
     """Ids of a ``tokenizers`` file whose normaliser drops white space: texts
     are split at ASCII white space, and each distinct word is encoded once.
 
-    The words kept in mind are bounded by ``keep``; then they are forgotten."""
+    If the file lower-cases, splits letters from signs and maps bytes to
+    letters, a Latin word and the signs behind it are looked up separately, the
+    word straight in the BPE model.  Any other word goes through the whole
+    tokenizer.  The words kept in mind are bounded by ``keep``; then they are
+    forgotten."""
 
-    def __init__(self, path: str, end: int, keep: int = 1 << 18):
+    def __init__(self, path: str, end: int, keep: int = 1 << 19):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = np.array([end], dtype="<u4").tobytes()
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
+        self.plain = self._splits_plain_words(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _splits_plain_words(spec: dict) -> bool:
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+                and [x["type"] for x in pre] == ["Split", "ByteLevel"] and not pre[1]["add_prefix_space"]
+                and pre[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+                and spec["model"]["type"] == "BPE")
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word) if self.plain else None
+        if plain is None:
+            return self._whole(word)
+        core, signs = plain[1].lower(), plain[2]
+        a, b = self.parts.get(core), self.parts.get(signs)
+        if a is None:
+            spelt = core if core.isascii() else "".join([self.letters[c] for c in core.encode()])
+            a = self.parts[core] = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+        if b is None:
+            b = self.parts[signs] = self._whole(signs)
+        return a + b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        out, known = [], self.known
+        for t in texts:
+            words = t.encode().split()
+            for w in set(words).difference(known):
+                known[w] = self._word(w.decode())
+            out.append(b"".join([known[w] for w in words]) + self.end)
+            if len(known) > self.keep:
+                known.clear()
+            if len(self.parts) > self.keep:
+                self.parts = {"": b""}
+        return out
 
 
 PIECES = ("doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, "
