@@ -36,13 +36,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group whose SimHash
-    fingerprints (3-word shingles) are linked by at most 2 bits.  Rows that
-    repeat an id count as one document; of documents without an id, each group
-    that has no other keeps one."""
-    found = simhash.near_duplicates(docs, 3, 2)
-    chosen = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.first("fingerprint").alias("_fp"))
-    kept = docs.join(chosen.drop("_fp"), docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    fingerprints (3-word shingles) are linked by at most 2 bits.  A null id
+    counts as a large one made from the text, so any document with an id comes
+    first.  Rows that repeat an id and text count as one."""
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = simhash.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), 3, 2)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = named.join(first, "_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+    return kept.dropDuplicates(["_id", "_text"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,6 +290,50 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
     return texts.mapInArrow(run, PIECES)
 
 
+def pack_examples(examples: DataFrame, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS,
+                  loss: int = MAX_LOSS, window: int = 4096) -> DataFrame:
+    """Instruction data: whole examples ``(example_id, n_tokens, n_loss)`` in
+    sequences that keep all three limits -> ``example_id, n_tokens, n_loss,
+    sequence_id, slot, offset``.
+
+    Null counts are 0; loss-bearing tokens beyond ``n_tokens`` are an error,
+    and so is an example that fits no sequence.  Null ids and repeated rows are
+    packed like others; an empty table gives none.
+    """
+    names = ["example_id", "n_tokens", "n_loss", "sequence_id", "slot", "offset"]
+
+    def run(batches):
+        packer = Packer(tokens, segments, loss, cut=False)
+        task, count, kept = TaskContext.get().partitionId() << 32, 0, {}
+
+        def rows(sequences):
+            nonlocal count
+            out = []
+            for seq in sequences:
+                at = 0
+                for slot, x in enumerate(seq):
+                    out.append((kept.pop(x.ref), x.length, x.loss, task | count, slot, at))
+                    at += x.length
+                count += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 6)], names)
+
+        number = 0
+        for b in batches:
+            for ref, n, m in zip(*(b.column(c).to_pylist() for c in names[:3])):
+                if m > n:
+                    raise ValueError(f"example {ref}: {m} of {n} tokens bear loss")
+                kept[number] = ref
+                packer.add(Item(number, 0, n, m))
+                number += 1
+                if packer.waiting > window:
+                    yield rows([packer.sequence()])
+        yield rows(packer.last())
+
+    counts = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in names[1:3]]
+    return examples.select(F.col("example_id").cast("long").alias("example_id"), *counts).mapInArrow(
+        run, ", ".join(f"{n} LONG" for n in names))
+
+
 def op3_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""
     import public_tokenizers

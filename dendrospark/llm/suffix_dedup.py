@@ -321,9 +321,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = 4096) -> DataFra
     work = scratch(docs.sparkSession, "suffix-dedup")
     docs = docs.drop("spans")
     found = text_spans(docs, work, length, crowd)
-    hidden = ("_t1", "_t2")
+    hidden = ("_suffix_dedup_t1", "_suffix_dedup_t2")
     named = docs.withColumn(hidden[0], F.xxhash64(whole_text())).withColumn(hidden[1], F.xxhash64(F.lit(1), whole_text()))
-    found = found.select(F.col("t1").alias(hidden[0]), F.col("t2").alias(hidden[1]), F.col("spans").alias("_spans"))
+    found = found.select(F.col("t1").alias(hidden[0]), F.col("t2").alias(hidden[1]), F.col("spans").alias("_suffix_dedup_spans"))
     joined = _squeezed(named).join(found, list(hidden), "left").drop(*hidden)
     from pyspark.sql.types import ArrayType, LongType
     span = StructType([StructField("a", LongType()), StructField("b", LongType())])
@@ -334,7 +334,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = 4096) -> DataFra
         for b in batches:
             texts = [None if t is None else zlib.decompress(t).decode() for t in b.column("text").to_pylist()]
             spans = []
-            for xs in b.column("_spans").to_pylist():
+            for xs in b.column("_suffix_dedup_spans").to_pylist():
                 apart: list[dict] = []
                 for x in sorted(xs or [], key=lambda x: x["a"]):
                     if apart and x["a"] <= apart[-1]["b"]:
