@@ -1,23 +1,32 @@
 """Agglomerative hierarchical clustering (C1-C10) in distributed rounds.
 
 Reciprocal nearest neighbours (RNN): every round, each active cluster picks
-its nearest neighbour under the total order ``(dist, lo, hi)``; pairs that
+its nearest neighbour under a strict total order of cluster pairs; pairs that
 pick each other merge, all at once.  Single, complete, size-weighted average
 (UPGMA) and plain average (WPGMA) linkage are all *reducible*, so merging
 every reciprocal pair in one round yields the same dendrogram as merging the
 single closest pair per step (Murtagh 1983; Muellner 2011), but in tens of
 rounds instead of n-1 steps.
 
+The order, for ties and exact duplicates, does not depend on the rounds:
+
+* single linkage compares ``(d, p, q)``, where ``p < q`` is the smallest pair of
+  leaves that attains the distance d of two clusters (Kruskal's order);
+* the others compare ``(d, lo, hi)``, the smallest leaves of the two clusters.
+
+Under either, a merge's key exceeds those of the merges below it, and merges are
+numbered by that key: this is the sequence of the one-merge-per-step procedure.
+
 Round state is one table written to the scratch folder under
 ``spark.checkpoint.dir`` (lineage cut, fresh size estimates):
 
-* edge rows ``(a, b, d[, s, c])`` with ``a < b``; a cluster is named by its
-  smallest leaf id during the rounds.  UPGMA edges carry the sum ``s`` of
+* edge rows ``(a, b, d[, s, c | p, q])`` with ``a < b``; a cluster is named by
+  its smallest leaf id during the rounds.  UPGMA edges carry the sum ``s`` of
   all cross-pair distances and their count ``c``, so merging is
   ``sum, sum`` with no weights.
 * node rows ``a = b = rep`` with ``d`` = effective height, ``c`` = size;
   relabelling folds a merged pair's node rows and their edge into one.
-* merges of round r ``(lo, hi, d, size, h)``, appended to Parquet.
+* merges of round r ``(lo, hi, d, size, h, t1, t2)``, one folder per round.
 
 Only the edges that touch a merged cluster are shuffled and re-aggregated;
 the rest pass through.  Nothing but counts reaches the driver.
@@ -34,30 +43,38 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vmid
 from ..plans.ranking import global_rank
 from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
-from .pairs import STRATEGIES, pairwise_distances
+from .pairs import STRATEGIES, check_points, pairwise_distances
 
 MERGE_COLS = ["cluster", "point1", "point2", "height", "size"]
+#: Rows of round state to a partition.
+ROWS_A_PARTITION = 250_000
+
+
+def _leaf_pair(strategy: str) -> list[str]:
+    """Columns of the leaf pair that single linkage breaks ties by."""
+    return ["p", "q"] if strategy == "min" else []
 
 
 def _initial_state(pairs: DataFrame, n: int, strategy: str, keys: list[str],
                    models: list | None) -> DataFrame:
     """Round state: edge rows ``a < b`` (``d``; UPGMA also ``s`` = sum of cross
-    distances and ``c`` = their count) and one node row ``a = b = rep`` per
-    cluster (``d`` = its height, ``c`` = its size), per model key if any."""
+    distances and ``c`` = their count; single linkage ``p``, ``q``) and one node
+    row ``a = b = rep`` per cluster (``d`` = its height, ``c`` = its size), per
+    model key if any."""
     e = pairs.select(*keys, F.least("id1", "id2").cast("long").alias("a"),
                      F.greatest("id1", "id2").cast("long").alias("b"),
                      F.col("dist").cast("double").alias("d"))
     e = e.where(F.col("a") != F.col("b"))
-    if strategy == "avg":
-        e = e.select(*keys, "a", "b", "d", F.col("d").alias("s"), F.lit(1).cast("long").alias("c"))
-    else:
-        e = e.select(*keys, "a", "b", "d", F.lit(None).cast("double").alias("s"),
-                     F.lit(None).cast("long").alias("c"))
+    avg = strategy == "avg"
+    e = e.select(*keys, "a", "b", "d", (F.col("d") if avg else F.lit(None).cast("double")).alias("s"),
+                 (F.lit(1) if avg else F.lit(None)).cast("long").alias("c"),
+                 *[F.col(x).alias(y) for x, y in zip("ab", _leaf_pair(strategy))])
     nodes = pairs.sparkSession.range(1, n + 1)
     if keys:
         nodes = nodes.withColumn(keys[0], F.explode(F.array(*[F.lit(m) for m in models])))
     nodes = nodes.select(*keys, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d"),
-                         F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("c"))
+                         F.lit(None).cast("double").alias("s"), F.lit(1).cast("long").alias("c"),
+                         *[F.lit(None).cast("long").alias(y) for y in _leaf_pair(strategy)])
     return e.unionByName(nodes)
 
 
@@ -66,17 +83,23 @@ def _reaggregate(rows: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
     its old node rows and the merge edge; height = max, size = sum of the
     node sizes.  A group ``a < b`` holds only edge rows: min, max, the mean of
     2 or 4 child rows (wavg: equal to applying the two merges in turn) or
-    ``sum, sum`` (avg)."""
+    ``sum, sum`` (avg).  A mean is never below its smallest part, whatever the
+    rounding."""
     node = F.col("a") == F.col("b")
+    size = F.sum(F.when(F.col("was_node"), F.col("c")))
     if strategy == "min":
-        d = F.min("d")
-    elif strategy == "max":
+        near = F.min(F.struct("d", "p", "q"))
+        out = rows.groupBy(*keys, "a", "b").agg(near.alias("near"), F.max("d").alias("far"), size.alias("c"))
+        return out.select(
+            *keys, "a", "b", F.when(node, F.col("far")).otherwise(F.col("near.d")).alias("d"),
+            F.lit(None).cast("double").alias("s"), F.when(node, F.col("c")).alias("c"),
+            F.when(~node, F.col("near.p")).alias("p"), F.when(~node, F.col("near.q")).alias("q"))
+    if strategy == "max":
         d = F.max("d")
     elif strategy == "wavg":
-        d = F.avg("d")
+        d = F.greatest(F.avg("d"), F.min("d"))
     else:
-        d = F.sum("s") / F.sum("c")
-    size = F.sum(F.when(F.col("was_node"), F.col("c")))
+        d = F.greatest(F.sum("s") / F.sum("c"), F.min("d"))
     return rows.groupBy(*keys, "a", "b").agg(
         F.when(node, F.max("d")).otherwise(d).alias("d"),
         (F.when(~node, F.sum("s")) if strategy == "avg" else F.lit(None).cast("double")).alias("s"),
@@ -84,44 +107,43 @@ def _reaggregate(rows: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
         .alias("c"))
 
 
-def _reciprocal_pairs(state: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges that are the nearest neighbour of both their ends."""
+def _reciprocal_pairs(state: DataFrame, keys: list[str], strategy: str, small: bool) -> DataFrame:
+    """Edges that are the nearest neighbour of both their ends, with the key
+    ``t1, t2`` that breaks ties.  The distance to the nearest neighbour is a
+    hash aggregate over primitive values; only edges that attain it at one end
+    are compared by the whole key."""
     edges = state.where(F.col("a") < F.col("b"))
-    e = F.struct("d", "a", "b")
-    both = (edges.select(*keys, F.col("a").alias("x"), e.alias("e"))
-            .unionByName(edges.select(*keys, F.col("b").alias("x"), e.alias("e"))))
-    nn = both.groupBy(*keys, "x").agg(F.min("e").alias("e"))
+    t1, t2 = _leaf_pair(strategy) or ("a", "b")
+    edges = edges.select(*keys, "a", "b", "d", F.col(t1).alias("t1"), F.col(t2).alias("t2"))
+    ends = lambda df, *cols: (df.select(*keys, F.col("a").alias("x"), *cols)
+                              .unionByName(df.select(*keys, F.col("b").alias("x"), *cols)))
+    least = ends(edges, "d").groupBy(*keys, "x").agg(F.min("d").alias("least"))
+    near = F.broadcast(least) if small else least
+    na = near.select(*keys, F.col("x").alias("a"), F.col("least").alias("da"))
+    nb = near.select(*keys, F.col("x").alias("b"), F.col("least").alias("db"))
+    few = edges.join(na, [*keys, "a"]).join(nb, [*keys, "b"]).where("d = da OR d = db")
+    e = F.struct("d", "t1", "t2", "a", "b").alias("e")
+    nn = ends(few, e).groupBy(*keys, "x").agg(F.min("e").alias("e"))
     mutual = nn.groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
     return mutual.select(*keys, F.col("e.a").alias("lo"), F.col("e.b").alias("hi"),
-                         F.col("e.d").alias("d"))
+                         F.col("e.d").alias("d"), F.col("e.t1").alias("t1"), F.col("e.t2").alias("t2"))
 
 
 def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
-               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-               max_rounds: int | None = None, cache_rows: int = 1_000_000,
-               durable_every: int = 6, tail_rows_per_part: int = 250_000,
-               model: str | None = None,
+               broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, model: str | None = None,
                models: list | None = None) -> tuple[DataFrame, int]:
     """Run RNN rounds until no edge is left.  Returns the raw merges
-    ``([model,] lo, hi, d, size, h, round)`` (n-1 rows per model for a
-    connected input) and the number of rounds.
+    ``([model,] lo, hi, d, t1, t2, size, h, round)``, n-1 rows per model, and
+    the number of rounds.
 
     ``model`` names a key column of ``pairs`` that separates independent
     dendrograms (e.g. one per feature prefix): they advance through the same
     rounds and jobs, so M models cost about one model's rounds, not M.
 
-    Two jobs per round: find and record the reciprocal pairs, then rewrite
-    the state.  State above ``cache_rows`` rows is written to the shared
-    scratch folder as Parquet every round (and the previous round's files
-    dropped).  Below it (the tail, where the table has shrunk geometrically)
-    it is cut with a reliable ``checkpoint()`` into the same shared folder,
-    and re-written as Parquet every ``durable_every`` rounds: the re-read
-    packs the shrinking table into fewer partitions and resets size
-    estimates, which checkpointed plans otherwise carry forward.  Either way
-    every round starts from files in the shared folder, so a lost executor
-    costs a re-read, never earlier rounds.  Merges found since the last
-    Parquet state stay cached (their plans start at checkpointed state) and
-    are flushed to Parquet before that state is dropped."""
+    Each round writes its merges, then the relabelled state, as Parquet in the
+    scratch folder, and drops the state before it: a lost executor costs a
+    re-read, never earlier rounds.  The state shrinks geometrically and is
+    packed into as many partitions as its rows need."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     keys = [model] if model else []
@@ -131,27 +153,24 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
     state = scratch.put(_initial_state(pairs, n, strategy, keys, models), "state-0")
     n_models = len(models) if model else 1
     nodes_fit = fits_broadcast(n * n_models, 40, broadcast_bytes)
-    n_rows = state.count()
-    durable_round = 0
-    pending: list[DataFrame] = []
+    found: list[str] = []
     r = 0
-    while max_rounds is None or r < max_rounds:
+    while True:
         nodes = state.where(F.col("a") == F.col("b"))
         n1 = nodes.select(*keys, F.col("a").alias("lo"), F.col("c").alias("s1"), F.col("d").alias("h1"))
         n2 = nodes.select(*keys, F.col("a").alias("hi"), F.col("c").alias("s2"), F.col("d").alias("h2"))
         if nodes_fit:
-            # at most n node rows per model: broadcast by this proven bound,
-            # not by size estimates (a checkpointed plan keeps stale ones)
+            # at most n node rows per model: broadcast by this proven bound
             n1, n2 = F.broadcast(n1), F.broadcast(n2)
-        merged = (_reciprocal_pairs(state, keys).join(n1, [*keys, "lo"]).join(n2, [*keys, "hi"])
-                  .select(*keys, "lo", "hi", "d", (F.col("s1") + F.col("s2")).alias("size"),
-                          F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round"))
-                  .persist())
+        merged = (_reciprocal_pairs(state, keys, strategy, nodes_fit)
+                  .join(n1, [*keys, "lo"]).join(n2, [*keys, "hi"])
+                  .select(*keys, "lo", "hi", "d", "t1", "t2", (F.col("s1") + F.col("s2")).alias("size"),
+                          F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round")))
+        merged = scratch.put(merged.coalesce(4), f"merges-{r}")
         cnt = merged.count()
         if cnt == 0:
-            merged.unpersist()
             break
-        pending.append(merged)
+        found.append(scratch.path(f"merges-{r}"))
         # relabel map: both ends of a merge are now named by its lo
         t = (merged.select(*keys, F.col("lo").alias("node"), F.col("lo").alias("new"))
              .unionByName(merged.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("new"))))
@@ -161,54 +180,36 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
         tb = t.select(*keys, F.col("node").alias("b"), F.col("new").alias("nb"))
         tagged = state.join(ta, [*keys, "a"], "left").join(tb, [*keys, "b"], "left")
         touched = F.col("na").isNotNull() | F.col("nb").isNotNull()
-        keep = tagged.where(~touched).select(*keys, "a", "b", "d", "s", "c")
+        own = ["d", "s", "c", *_leaf_pair(strategy)]
+        keep = tagged.where(~touched).select(*keys, "a", "b", *own)
         ea = F.coalesce("na", "a")
         eb = F.coalesce("nb", "b")
         moved = tagged.where(touched).select(
-            *keys, F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), "d", "s", "c",
+            *keys, F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), *own,
             (F.col("a") == F.col("b")).alias("was_node"))
-        new_state = keep.unionByName(_reaggregate(moved, strategy, keys))
+        parts = max(1, -(-state.count() // ROWS_A_PARTITION))       # a count from the files' footers
         r += 1
-        if n_rows > cache_rows or r - durable_round >= durable_every:
-            scratch.append(_union(pending), "merges")
-            for df in pending:
-                df.unpersist()
-            pending = []
-            state = scratch.put(new_state, f"state-{r}")
-            n_rows = state.count()
-            scratch.drop(f"state-{durable_round}")
-            durable_round = r
-        else:
-            # reliable checkpoint: same shared folder, truncated plan; the
-            # shrinking tail is packed into as many partitions as it needs
-            parts = max(1, n_rows // tail_rows_per_part)   # coalesce never grows
-            state = new_state.coalesce(parts).checkpoint(eager=True)
-    if pending:
-        scratch.append(_union(pending), "merges")
-        for df in pending:
-            df.unpersist()
-    if r == 0:
+        state = scratch.put(keep.unionByName(_reaggregate(moved, strategy, keys)).coalesce(parts), f"state-{r}")
+        scratch.drop(f"state-{r - 1}")
+    scratch.drop(f"state-{r}")
+    if not found:
         key_ddl = f"{model} {dict(pairs.dtypes)[model]}, " if model else ""
-        empty = f"{key_ddl}lo LONG, hi LONG, d DOUBLE, size LONG, h DOUBLE, round INT"
+        empty = (f"{key_ddl}lo LONG, hi LONG, d DOUBLE, t1 LONG, t2 LONG, size LONG, h DOUBLE, round INT")
         return spark.createDataFrame([], empty), 0
-    return spark.read.parquet(scratch.path("merges")), r
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)
+    return spark.read.parquet(*found), r
 
 
 def number_merges(raw: DataFrame, n: int, model: str | None = None) -> DataFrame:
     """Turn raw round merges into the merge table.
 
-    Rank by ``(h, round, lo, hi)`` (h is non-decreasing from child to parent,
-    so a parent always ranks after its children); cluster id = n + rank.  A
-    child is the latest earlier merge that kept its representative, or the
-    leaf itself.  Children are stored (smaller, larger) for two leaves, else
-    (larger, smaller).  With a ``model`` key the rank runs within each model
-    (one distributed rank over (model, ...), minus each model's first rank)."""
+    Rank by ``(h, t1, t2)``, the order of the one-merge-per-step procedure;
+    cluster id = n + rank.  A child is the latest earlier merge that kept its
+    representative, or the leaf itself.  Children are stored (smaller, larger)
+    for two leaves, else (larger, smaller).  With a ``model`` key the rank runs
+    within each model (one distributed rank over (model, ...), minus each
+    model's first rank)."""
     keys = [model] if model else []
-    ranked = global_rank(raw, [*keys, "h", "round", "lo", "hi"], out="idx", start=0)
+    ranked = global_rank(raw, [*keys, "h", "t1", "t2"], out="idx", start=0)
     if keys:
         first = ranked.groupBy(*keys).agg(F.min("idx").alias("first"))   # one row per model
         ranked = ranked.join(F.broadcast(first), keys).withColumn(
@@ -236,22 +237,28 @@ def linkage_from_pairs(pairs: DataFrame, n: int, strategy: str = "avg", k: int =
                        model: str | None = None, models: list | None = None) -> DataFrame:
     """Merge table ``([model,] cluster, point1, point2, height,
     size)`` from a pair table ``([model,] id1, id2, dist)`` over ids 1..n; the
-    first n-k merges of every model."""
+    first n-k merges of every model.  A null or NaN distance, an id outside
+    1..n or a pair table that leaves points unconnected is an error."""
     if not 1 <= k <= n:
         raise ValueError(f"k must lie in 1..{n}")
-    spark = pairs.sparkSession
-    scratch = Scratch(spark, f"linkage-{strategy}")
-    raw, _ = rnn_rounds(pairs, n, strategy, scratch, broadcast_bytes, model=model, models=models)
+    bad = F.col("dist").isNull() | F.isnan("dist") | ~F.col("id1").between(1, n) | ~F.col("id2").between(1, n)
+    scratch = Scratch(pairs.sparkSession, f"linkage-{strategy}")
+    checked = pairs.withColumn("dist", F.when(~F.coalesce(bad, F.lit(True)), F.col("dist")).otherwise(
+        F.raise_error(F.lit(f"a pair needs ids from 1 to {n} and a distance")).cast("double")))
+    raw, _ = rnn_rounds(checked, n, strategy, scratch, broadcast_bytes, model=model, models=models)
+    want = (n - 1) * (len(models) if model else 1)
+    if (got := raw.count()) != want:
+        raise ValueError(f"{got} merges of {want}: the pairs do not connect all points 1..{n}")
     merges = number_merges(raw, n, model).where(F.col("cluster") <= 2 * n - k)
     return scratch.put(merges, "merge-table")
 
 
 def linkage(points: DataFrame, strategy: str = "avg", k: int = 1, n: int | None = None,
             broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """E1 core: points ``(id, features)`` with ids 1..n -> merge table."""
-    if n is None:
-        n = points.count()
-    pairs = pairwise_distances(points, broadcast_bytes=broadcast_bytes)
+    """E1 core: points ``(id, features)`` with ids 1..n -> merge table.  Ids
+    with gaps or repeats, and null or NaN components, are errors."""
+    n, dim = check_points(points, dense=True)
+    pairs = pairwise_distances(points, n=n, dim=dim, broadcast_bytes=broadcast_bytes)
     return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes)
 
 
@@ -260,15 +267,12 @@ def linkage_by_prefix(points: DataFrame, nvs: list[int], strategy: str = "avg",
                       broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """One dendrogram per feature prefix ``nv`` (the reference's grid), all
     advancing through the same rounds -> ``(nv, cluster, point1, point2,
-    height, size)``."""
-    from ..sources.io import take_features
-    if n is None:
-        n = points.count()
-    pairs = reduce(DataFrame.unionByName, [
-        pairwise_distances(take_features(points, nv), broadcast_bytes=broadcast_bytes)
-        .withColumn("nv", F.lit(int(nv))) for nv in nvs])
-    return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes, model="nv",
-                              models=[int(v) for v in nvs])
+    height, size)``.  One pair join serves all prefixes: their squared
+    distances are sums over consecutive ranges of components."""
+    n, dim = check_points(points, dense=True)
+    nvs = sorted({int(v) for v in nvs})
+    pairs = pairwise_distances(points, n=n, dim=dim, prefixes=nvs, broadcast_bytes=broadcast_bytes)
+    return linkage_from_pairs(pairs, n, strategy, k, broadcast_bytes, model="nv", models=nvs)
 
 
 def linkage_with_assignments(points: DataFrame, strategy: str = "avg", k: int = 1,
@@ -277,7 +281,7 @@ def linkage_with_assignments(points: DataFrame, strategy: str = "avg", k: int =
     assignment of every point."""
     from .dendrogram import cut
     n = n or points.count()
-    merges = linkage(points, strategy, k, n)
+    merges = linkage(points, strategy, k)
     return merges, cut(merges, n, k)
 
 

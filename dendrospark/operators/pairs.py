@@ -6,20 +6,42 @@ Pairs are ``(id1 LONG, id2 LONG, dist DOUBLE)`` with ``id1 < id2``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean, sq_euclidean
+from ..functions.vectors import sq_euclidean
 from ..session import DEFAULT_BROADCAST_BYTES
 
 STRATEGIES = ("min", "max", "avg", "wavg")
 
 
+def check_points(points: DataFrame, dense: bool = False) -> tuple[int, int]:
+    """Number of points and their common dimension, in one aggregate.  Vectors
+    that are null, hold a null or NaN, or differ in size are errors; so are,
+    with ``dense``, ids other than 1..n once each."""
+    whole = F.coalesce(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    r = points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).alias("lo"),
+                   F.max(F.size("features")).alias("hi"), F.count_if(~whole).alias("gaps"),
+                   *([F.min("id").alias("first"), F.max("id").alias("last"),
+                      F.count_distinct("id").alias("ids")] if dense else [])).first()
+    n = int(r["n"])
+    if r["gaps"]:
+        raise ValueError(f"{r['gaps']} vectors are null or hold a null or NaN component")
+    if r["lo"] != r["hi"]:
+        raise ValueError(f"dimension mismatch: vectors of size {r['lo']} and {r['hi']}")
+    if dense and n and (r["first"], r["last"], r["ids"]) != (1, n, n):
+        raise ValueError(f"{n} points need the ids 1..{n}, once each; found {r['ids']} from {r['first']} to "
+                         f"{r['last']} (with_point_ids ranks any key)")
+    return n, int(r["hi"] or 0)
+
+
 def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "auto",
                        n: int | None = None, dim: int | None = None,
                        block_rows: int = 2048, pairs_per_task: int = 2_000_000,
-                       broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                       broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                       prefixes: list[int] | None = None, label: str | None = None) -> DataFrame:
     """All pairs ``id1 < id2`` with their (squared) Euclidean distance.
 
     ``broadcast``: the point table is broadcast once and joined with the
@@ -29,20 +51,32 @@ def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "
     to the B block pairs it belongs to and the join is an equi-join on
     ``(bi, bj)``, so every task holds two blocks and the n^2/2 output is
     spread evenly, with no broadcast at all.
+
+    ``prefixes``: ascending numbers of leading components; one row per pair and
+    prefix, named ``nv``, from one join.  ``label`` names a column of both
+    points to carry along as ``c1`` and ``c2``.
     """
     if n is None or dim is None:
-        # one pass: the point count and the (checked) common dimension
-        r = points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("features")).alias("lo"),
-                       F.max(F.size("features")).alias("hi")).first()
-        if r["lo"] != r["hi"]:
-            raise ValueError(f"dimension mismatch: vectors of size {r['lo']} and {r['hi']}")
-        n, dim = int(r["n"]), int(r["hi"] or 0)
+        n, dim = check_points(points)   # one pass: count, dimension, gaps
     if method == "auto":
         method = "broadcast" if n * (dim * 8 + 64) <= broadcast_bytes else "blocks"
-    dist = sq_euclidean if squared else euclidean
-    metric = lambda x, y: dist(x, y, dim=dim)  # noqa: E731  (unrolled when dim is known)
-    a = points.select(F.col("id").alias("id1"), F.col("features").alias("f1"))
-    b = points.select(F.col("id").alias("id2"), F.col("features").alias("f2"))
+    out = lambda d: (d if squared else F.sqrt(d)).alias("dist")
+    carried = ["c1", "c2"] if label else []
+
+    def measured(j: DataFrame, ids: list) -> DataFrame:
+        if not prefixes:
+            return j.select(*ids, out(sq_euclidean("f1", "f2", dim=dim)), *carried)
+        # running sums over the ranges between prefixes
+        parts = [sq_euclidean(F.slice("f1", lo + 1, hi - lo), F.slice("f2", lo + 1, hi - lo))
+                 for lo, hi in zip([0, *prefixes[:-1]], prefixes)]
+        sums = [reduce(lambda x, y: x + y, parts[:i + 1]) for i in range(len(parts))]
+        rows = F.explode(F.array(*[F.struct(F.lit(nv).alias("nv"), d.alias("d2"))
+                                   for nv, d in zip(prefixes, sums)]))
+        return j.select(*ids, *carried, rows.alias("r")).select(
+            F.col("r.nv").alias("nv"), "id1", "id2", out(F.col("r.d2")), *carried)
+
+    a = points.select(F.col("id").alias("id1"), F.col("features").alias("f1"), *([F.col(label).alias("c1")] if label else []))
+    b = points.select(F.col("id").alias("id2"), F.col("features").alias("f2"), *([F.col(label).alias("c2")] if label else []))
     if method == "broadcast":
         # the n^2/2 work follows the probe side's partitions: spread it by
         # hash of id (a few points can carry the whole quadratic load)
@@ -50,7 +84,7 @@ def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "
                     min(n, int(math.ceil(n * n / 2 / pairs_per_task))))
         a = a.repartition(parts, "id1")
         j = a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
-        return j.select("id1", "id2", metric("f1", "f2").alias("dist"))
+        return measured(j, ["id1", "id2"])
     nb = max(1, int(math.ceil(n / block_rows)))
     seq = F.sequence(F.lit(0), F.lit(nb - 1))
     la = a.withColumn("bi", F.pmod(F.col("id1"), F.lit(nb))).withColumn(
@@ -59,8 +93,11 @@ def pairwise_distances(points: DataFrame, squared: bool = False, method: str = "
         "bi", F.explode(F.filter(seq, lambda x: x <= F.pmod(F.col("id2"), F.lit(nb)))))
     j = la.join(lb, ["bi", "bj"]).where(
         (F.col("bi") < F.col("bj")) | (F.col("id1") < F.col("id2")))
-    return j.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"),
-                    metric("f1", "f2").alias("dist"))
+    if label:
+        swap = F.col("id1") > F.col("id2")
+        j = j.withColumns({"c1": F.when(swap, F.col("c2")).otherwise(F.col("c1")),
+                           "c2": F.when(swap, F.col("c1")).otherwise(F.col("c2"))})
+    return measured(j, [F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")])
 
 
 def nearest_pair(pairs: DataFrame) -> DataFrame:

@@ -25,19 +25,23 @@ def r6(x: str) -> str:
 
 def greedy_linkage(pts: str, strategy: str) -> str:
     """CTEs ``nn(n)``, ``lk`` (recursive) and ``mg(cluster, point1, point2,
-    height, size)``: merge the closest pair under (d, a, b), one per step;
-    clusters are named by their smallest leaf while the steps run."""
+    height, size)``: merge the closest pair, one per step; clusters are named
+    by their smallest leaf while the steps run.  Ties go to the smallest pair
+    of such names (d, a, b); under single linkage to the smallest pair of leaves
+    at that distance, kept in c as p * 2^32 + q."""
     agg = {
-        "min": "min(t.d), NULL::DOUBLE, NULL::BIGINT",
+        "min": "min(t.d), NULL::DOUBLE, arg_min(t.c, {'d': t.d, 'c': t.c})",
         "max": "max(t.d), NULL::DOUBLE, NULL::BIGINT",
         "wavg": "avg(t.d), NULL::DOUBLE, NULL::BIGINT",
         "avg": "sum(t.s) / sum(t.c), sum(t.s), sum(t.c)",
     }[strategy]
     dist = f"sqrt({sqd('x.f', 'y.f')})"
+    first_c = "x.id * 4294967296 + y.id" if strategy == "min" else "1"
+    order = "d, c" if strategy == "min" else "d, a, b"
     return f"""
 nn AS (SELECT count(*) AS n FROM {pts}),
 lk(step, kind, a, b, d, s, c, sz, h, cid, p1, p2) AS (
-  SELECT 0, 'E', x.id, y.id, {dist}, {dist}, 1::BIGINT, NULL::BIGINT, NULL::DOUBLE,
+  SELECT 0, 'E', x.id, y.id, {dist}, {dist}, ({first_c})::BIGINT, NULL::BIGINT, NULL::DOUBLE,
          NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
   FROM {pts} x JOIN {pts} y ON x.id < y.id
   UNION ALL
@@ -46,7 +50,7 @@ lk(step, kind, a, b, d, s, c, sz, h, cid, p1, p2) AS (
   SELECT * FROM (
     WITH cur AS (SELECT * FROM lk WHERE kind <> 'M'),
     bst AS (SELECT a AS ba, b AS bb, d AS bd, step AS bstep FROM cur WHERE kind = 'E'
-            ORDER BY d, a, b LIMIT 1),
+            ORDER BY {order} LIMIT 1),
     na AS (SELECT cur.sz AS sa, cur.h AS ha, cur.cid AS ca FROM cur, bst
            WHERE cur.kind = 'N' AND cur.a = bst.ba),
     nb AS (SELECT cur.sz AS sb, cur.h AS hb, cur.cid AS cb FROM cur, bst

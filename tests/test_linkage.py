@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from brute import greedy_linkage
 from conftest import REFERENCE, pts_df
-from dendrospark.operators.linkage import linkage, merge_members, midpoints, singletons
+from dendrospark.operators.linkage import (linkage, linkage_by_prefix, linkage_from_pairs, merge_members,
+                                            midpoints, singletons)
 from dendrospark.sources import io
 
 GOLDEN = f"{REFERENCE}/linkageModels"
@@ -56,6 +57,44 @@ def test_ties_are_deterministic(spark):
     assert [g[:3] for g in got] == [(5, 1, 2), (6, 5, 3), (7, 6, 4)]
 
 
+TIED = {
+    "duplicates": [[0], [0], [0], [9], [9], [30], [35], [31], [33]],
+    "random integers": np.random.default_rng(2).integers(0, 4, (16, 2)).tolist(),
+}
+
+
+@pytest.mark.parametrize("strategy", ["min", "max", "avg", "wavg"])
+@pytest.mark.parametrize("name", TIED)
+def test_ties_follow_the_greedy_procedure(spark, strategy, name):
+    got = merges_of(linkage(pts_df(spark, TIED[name]), strategy))
+    want = greedy_linkage(TIED[name], strategy)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_gaps_in_ids_and_components_are_errors(spark):
+    ddl = "id LONG, features ARRAY<DOUBLE>"
+    for rows in ([(1, [0.0]), (2, [1.0]), (10, [2.0])], [(1, [0.0]), (1, [1.0])], [(0, [0.0]), (1, [1.0])],
+                 [(1, [0.0]), (2, [None])], [(1, [0.0]), (2, None)], [(1, [0.0]), (2, [float("nan")])],
+                 [(1, [0.0]), (2, [1.0, 2.0])]):
+        with pytest.raises(ValueError):
+            linkage(spark.createDataFrame(rows, ddl), "avg")
+    pairs = "id1 LONG, id2 LONG, dist DOUBLE"
+    with pytest.raises(ValueError):                      # 3 and 4 are cut off
+        linkage_from_pairs(spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], pairs), 4, "avg")
+    for row in ((1, 2, None), (1, 2, float("nan")), (1, 5, 1.0)):
+        with pytest.raises(Exception, match="a pair needs ids"):
+            linkage_from_pairs(spark.createDataFrame([row], pairs), 2, "min")
+
+
+def test_one_pair_join_serves_all_prefixes(spark):
+    X = np.random.default_rng(3).normal(size=(14, 5))
+    got = linkage_by_prefix(pts_df(spark, X), [2, 5], "avg").collect()
+    for nv in (2, 5):
+        rows = sorted((r.cluster, r.point1, r.point2) for r in got if r.nv == nv)
+        assert rows == [w[:3] for w in greedy_linkage(X[:, :nv], "avg")]
+
+
 def test_duplicates_merge_first(spark):
     got = merges_of(linkage(pts_df(spark, [[0.0], [5.0], [9.0], [5.0]]), "max"))
     assert got[0][:4] == (5, 2, 4, 0.0)
