@@ -67,22 +67,10 @@ def weighted_sq_euclidean(v1: ColumnOrName, v2: ColumnOrName,
     return _sum(F.zip_with(w, d, lambda wi, di: wi.cast("double") * di))
 
 
-def dot(v1: ColumnOrName, v2: ColumnOrName) -> Column:
-    return _sum(F.zip_with(_c(v1), _c(v2), lambda x, y: x * y))
-
-
 def sq_norm(v: ColumnOrName) -> Column:
     return _sum(F.transform(_c(v), lambda x: x * x))
 
 
-def vsub(v1: ColumnOrName, v2: ColumnOrName) -> Column:
-    return F.zip_with(_c(v1), _c(v2), lambda x, y: x - y)
-
-
-def vscale(v: ColumnOrName, s: Column) -> Column:
-    return F.transform(_c(v), lambda x: x * s)
-
-
 def vmid(v1: ColumnOrName, v2: ColumnOrName) -> Column:
     """Unweighted midpoint of two vectors (used by C7)."""
     return F.zip_with(_c(v1), _c(v2), lambda x, y: (x + y) / 2.0)
@@ -105,10 +93,6 @@ def other_endpoint(id1: ColumnOrName, id2: ColumnOrName,
             .otherwise(F.lit(0).cast("long")))
 
 
-def as_double_array(v: ColumnOrName) -> Column:
-    return F.transform(_c(v), lambda x: x.cast("double"))
-
-
 def vector_dim(df: DataFrame, col: str = "features") -> int:
     """Dimension of a vector column, checked to be the same on every row."""
     r = df.agg(F.min(F.size(col)).alias("lo"), F.max(F.size(col)).alias("hi")).first()

@@ -23,7 +23,7 @@ def _child_parent(merges: DataFrame) -> DataFrame:
 
 
 def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
-            hot_fraction: float = 0.05, hot_min_rows: int = 1_000_000) -> DataFrame:
+            hot_fraction: float = 0.05) -> DataFrame:
     """Topmost ancestor ``(keys..., node, up)`` of every node of a
     ``(keys..., node, up)`` forest.
 
@@ -32,8 +32,7 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
     splits it: targets holding more than ``hot_fraction`` of the rows (at
     most 1/hot_fraction of them, a proven bound) are resolved through a
     broadcast of their own few rows; only the rest go through the shuffle
-    join.  Tables under ``hot_min_rows`` skip the split: no task can be
-    overloaded by them."""
+    join."""
     keys = keys or []
     tag = f"jump-{uuid.uuid4().hex[:8]}"
     p = scratch.put(edges.select(*keys, "node", "up"), f"{tag}-0")
@@ -41,22 +40,16 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
     i = 0
     while True:
         q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        hot = None
-        if rows > hot_min_rows:
-            hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
-                   .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
-                   .select(*keys, "up", F.lit(True).alias("hot")))
-            hot = scratch.put(hot, f"{tag}-hot-{i}")      # <= 1/hot_fraction rows
-        if hot is not None and hot.limit(1).count():
-            hot_b = F.broadcast(hot)
-            tagged = p.join(hot_b, [*keys, "up"], "left")
-            hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
-            cold = (tagged.where(F.col("hot").isNull()).drop("hot")
-                    .join(q.join(hot_b, [*keys, "up"], "left_anti"), [*keys, "up"], "left"))
-            warm = tagged.where(F.col("hot")).drop("hot").join(hot_q, [*keys, "up"], "left")
-            joined = cold.unionByName(warm)
-        else:
-            joined = p.join(q, [*keys, "up"], "left")
+        hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
+               .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
+               .select(*keys, "up", F.lit(True).alias("hot")))
+        hot_b = F.broadcast(scratch.put(hot.coalesce(1), f"{tag}-hot-{i}"))      # <= 1/hot_fraction rows
+        tagged = p.join(hot_b, [*keys, "up"], "left")
+        hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
+        cold = (tagged.where(F.col("hot").isNull()).drop("hot")
+                .join(q.join(hot_b, [*keys, "up"], "left_anti"), [*keys, "up"], "left"))
+        warm = tagged.where(F.col("hot")).drop("hot").join(hot_q, [*keys, "up"], "left")
+        joined = cold.unionByName(warm)
         step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"),
                              F.col("up2").isNotNull().alias("moved"))
         i += 1
@@ -144,10 +137,5 @@ def is_cluster(ids: DataFrame, merges: DataFrame, col: str = "id") -> DataFrame:
     return ids.join(m, col, "left").withColumn("is_cluster", F.coalesce("is_cluster", F.lit(False)))
 
 
-def is_cluster_id(col: str, n: int):
-    """D1 (id form): ids above n are clusters."""
-    return F.col(col) > n
-
-
 def all_ids(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, 2 * n).select(F.col("id"))

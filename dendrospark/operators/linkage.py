@@ -37,7 +37,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vmid
@@ -109,24 +109,30 @@ def _reaggregate(rows: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
 
 def _reciprocal_pairs(state: DataFrame, keys: list[str], strategy: str, small: bool) -> DataFrame:
     """Edges that are the nearest neighbour of both their ends, with the key
-    ``t1, t2`` that breaks ties.  The distance to the nearest neighbour is a
-    hash aggregate over primitive values; only edges that attain it at one end
-    are compared by the whole key."""
-    edges = state.where(F.col("a") < F.col("b"))
+    ``t1, t2`` that breaks ties, and the merged cluster's size and height.  The
+    distance to the nearest neighbour is a hash aggregate over primitive values;
+    only edges that attain it at one end are compared by the whole key."""
     t1, t2 = _leaf_pair(strategy) or ("a", "b")
-    edges = edges.select(*keys, "a", "b", "d", F.col(t1).alias("t1"), F.col(t2).alias("t2"))
-    ends = lambda df, *cols: (df.select(*keys, F.col("a").alias("x"), *cols)
-                              .unionByName(df.select(*keys, F.col("b").alias("x"), *cols)))
-    least = ends(edges, "d").groupBy(*keys, "x").agg(F.min("d").alias("least"))
-    near = F.broadcast(least) if small else least
-    na = near.select(*keys, F.col("x").alias("a"), F.col("least").alias("da"))
-    nb = near.select(*keys, F.col("x").alias("b"), F.col("least").alias("db"))
-    few = edges.join(na, [*keys, "a"]).join(nb, [*keys, "b"]).where("d = da OR d = db")
-    e = F.struct("d", "t1", "t2", "a", "b").alias("e")
-    nn = ends(few, e).groupBy(*keys, "x").agg(F.min("e").alias("e"))
+    is_edge = F.col("a") < F.col("b")
+    edges = state.where(is_edge).select(*keys, "a", "b", "d", F.col(t1).alias("t1"), F.col(t2).alias("t2"))
+    # both ends of each edge; a node row once
+    at = F.explode(F.when(is_edge, F.array("a", "b")).otherwise(F.array("a"))).alias("x")
+    near = state.select(*keys, at, "d", "c", is_edge.alias("e")).groupBy(*keys, "x").agg(
+        F.min(F.when(F.col("e"), F.col("d"))).alias("least"),
+        F.max(F.when(~F.col("e"), F.col("c"))).alias("size"), F.max(F.when(~F.col("e"), F.col("d"))).alias("h"))
+    near = F.broadcast(near) if small else near
+    na = near.select(*keys, F.col("x").alias("a"), F.col("least").alias("da"), F.col("size").alias("sa"), F.col("h").alias("ha"))
+    nb = near.select(*keys, F.col("x").alias("b"), F.col("least").alias("db"), F.col("size").alias("sb"), F.col("h").alias("hb"))
+    few = edges.join(na, [*keys, "a"]).join(nb, [*keys, "b"]).where("d = da OR d = db").select(
+        *keys, F.struct("d", "t1", "t2", "a", "b", (F.col("sa") + F.col("sb")).alias("size"),
+                        F.greatest("d", "ha", "hb").alias("h")).alias("e"),
+        F.explode(F.filter(F.array(F.struct(F.col("a").alias("x"), F.col("da").alias("least")),
+                                   F.struct(F.col("b").alias("x"), F.col("db").alias("least"))),
+                           lambda y: y["least"] == F.col("d"))).alias("y"))
+    nn = few.groupBy(*keys, "y.x").agg(F.min("e").alias("e"))
     mutual = nn.groupBy(*keys, "e").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
-    return mutual.select(*keys, F.col("e.a").alias("lo"), F.col("e.b").alias("hi"),
-                         F.col("e.d").alias("d"), F.col("e.t1").alias("t1"), F.col("e.t2").alias("t2"))
+    return mutual.select(*keys, F.col("e.a").alias("lo"), F.col("e.b").alias("hi"), "e.d", "e.t1", "e.t2",
+                         "e.size", "e.h")
 
 
 def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
@@ -153,24 +159,17 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
     state = scratch.put(_initial_state(pairs, n, strategy, keys, models), "state-0")
     n_models = len(models) if model else 1
     nodes_fit = fits_broadcast(n * n_models, 40, broadcast_bytes)
-    found: list[str] = []
-    r = 0
+    found: list[DataFrame] = []
+    r, left = 0, n * n_models
     while True:
-        nodes = state.where(F.col("a") == F.col("b"))
-        n1 = nodes.select(*keys, F.col("a").alias("lo"), F.col("c").alias("s1"), F.col("d").alias("h1"))
-        n2 = nodes.select(*keys, F.col("a").alias("hi"), F.col("c").alias("s2"), F.col("d").alias("h2"))
-        if nodes_fit:
-            # at most n node rows per model: broadcast by this proven bound
-            n1, n2 = F.broadcast(n1), F.broadcast(n2)
-        merged = (_reciprocal_pairs(state, keys, strategy, nodes_fit)
-                  .join(n1, [*keys, "lo"]).join(n2, [*keys, "hi"])
-                  .select(*keys, "lo", "hi", "d", "t1", "t2", (F.col("s1") + F.col("s2")).alias("size"),
-                          F.greatest("d", "h1", "h2").alias("h"), F.lit(r).alias("round")))
-        merged = scratch.put(merged.coalesce(4), f"merges-{r}")
-        cnt = merged.count()
+        seen = Observation()
+        merged = (_reciprocal_pairs(state, keys, strategy, nodes_fit).withColumn("round", F.lit(r))
+                  .coalesce(4).observe(seen, F.count(F.lit(1)).alias("n")))
+        merged = scratch.put(merged, f"merges-{r}")
+        cnt = seen.get["n"]
         if cnt == 0:
             break
-        found.append(scratch.path(f"merges-{r}"))
+        found.append(merged)
         # relabel map: both ends of a merge are now named by its lo
         t = (merged.select(*keys, F.col("lo").alias("node"), F.col("lo").alias("new"))
              .unionByName(merged.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("new"))))
@@ -187,7 +186,9 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
         moved = tagged.where(touched).select(
             *keys, F.least(ea, eb).alias("a"), F.greatest(ea, eb).alias("b"), *own,
             (F.col("a") == F.col("b")).alias("was_node"))
-        parts = max(1, -(-state.count() // ROWS_A_PARTITION))       # a count from the files' footers
+        left -= cnt                                     # clusters, of all models
+        rows = (left // n_models + 1) ** 2 // 2 * n_models      # as many edges at most
+        parts = max(1, -(-rows // ROWS_A_PARTITION))
         r += 1
         state = scratch.put(keep.unionByName(_reaggregate(moved, strategy, keys)).coalesce(parts), f"state-{r}")
         scratch.drop(f"state-{r - 1}")
@@ -196,7 +197,7 @@ def rnn_rounds(pairs: DataFrame, n: int, strategy: str, scratch: Scratch,
         key_ddl = f"{model} {dict(pairs.dtypes)[model]}, " if model else ""
         empty = (f"{key_ddl}lo LONG, hi LONG, d DOUBLE, t1 LONG, t2 LONG, size LONG, h DOUBLE, round INT")
         return spark.createDataFrame([], empty), 0
-    return spark.read.parquet(*found), r
+    return reduce(DataFrame.unionByName, found), r
 
 
 def number_merges(raw: DataFrame, n: int, model: str | None = None) -> DataFrame:
@@ -290,15 +291,26 @@ def singletons(spark, n: int) -> DataFrame:
     return spark.range(1, n + 1).select(F.col("id"), F.col("id").alias("cluster"))
 
 
-def merge_members(clusters: DataFrame, merges: DataFrame) -> DataFrame:
-    """Members of each merge = union of its two children's lists.
-    ``clusters`` is ``(cluster, members ARRAY<LONG>)`` for the children; a
-    child missing from it is a leaf, i.e. ``[child]``."""
-    c1 = clusters.select(F.col("cluster").alias("point1"), F.col("members").alias("m1"))
-    c2 = clusters.select(F.col("cluster").alias("point2"), F.col("members").alias("m2"))
-    j = merges.select("cluster", "point1", "point2").join(c1, "point1", "left").join(c2, "point2", "left")
-    return j.select("cluster", F.concat(
-        F.coalesce("m1", F.array("point1")), F.coalesce("m2", F.array("point2"))).alias("members"))
+def merge_members(merges: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame:
+    """Members of every merge, one row ``(cluster, id)`` for each leaf
+    below it.  Paths double: a step joins the pairs at the largest distance so
+    far with all pairs found, so the steps are the logarithm of the height."""
+    scratch = scratch or Scratch(merges.sparkSession, "members")
+    tag = f"members-{uuid.uuid4().hex[:8]}"
+    one = (merges.select(F.col("point1").alias("node"), F.col("cluster").alias("up"))
+           .unionByName(merges.select(F.col("point2").alias("node"), F.col("cluster").alias("up"))))
+    paths = scratch.put(one.withColumn("steps", F.lit(1).cast("long")), f"{tag}-1")
+    reach = 1
+    while True:
+        ends = paths.where(F.col("steps") == reach).select("node", F.col("up").alias("mid"))
+        on = paths.select(F.col("node").alias("mid"), "up", F.col("steps").alias("more"))
+        longer = ends.join(on, "mid").select("node", "up", (F.col("more") + reach).alias("steps"))
+        reach *= 2
+        grown = scratch.put(paths.unionByName(longer), f"{tag}-{reach}")
+        scratch.drop(f"{tag}-{reach // 2}")
+        if grown.where(F.col("steps") > reach // 2).limit(1).count() == 0:
+            return grown.where(F.col("node") <= n).select(F.col("up").alias("cluster"), F.col("node").alias("id"))
+        paths = grown
 
 
 def midpoints(merges: DataFrame, points: DataFrame, scratch: Scratch | None = None) -> DataFrame:

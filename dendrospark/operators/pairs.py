@@ -106,44 +106,44 @@ def nearest_pair(pairs: DataFrame) -> DataFrame:
     return m.select("m.id1", "m.id2", "m.dist")
 
 
-def cluster_linkage_distance(pairs: DataFrame, assignments: DataFrame,
+def cluster_linkage_distance(pairs: DataFrame, assignments: DataFrame | None = None,
                              strategy: str = "min") -> DataFrame:
     """Distance between every two clusters over all their cross pairs
-    -> (cluster1, cluster2, dist) with cluster1 < cluster2."""
+    -> (cluster1, cluster2, dist) with cluster1 < cluster2.  Pairs that carry
+    their clusters (``pairwise_distances(label=...)``) need no join: the
+    aggregate is partial on the map side."""
     agg = {"min": F.min, "max": F.max, "avg": F.avg}[strategy]
-    a1 = assignments.select(F.col("id").alias("id1"), F.col("cluster").alias("c1"))
-    a2 = assignments.select(F.col("id").alias("id2"), F.col("cluster").alias("c2"))
-    j = pairs.join(a1, "id1").join(a2, "id2").where(F.col("c1") != F.col("c2"))
-    return (j.groupBy(F.least("c1", "c2").alias("cluster1"), F.greatest("c1", "c2").alias("cluster2"))
+    if assignments is not None:
+        a1 = assignments.select(F.col("id").alias("id1"), F.col("cluster").alias("c1"))
+        a2 = assignments.select(F.col("id").alias("id2"), F.col("cluster").alias("c2"))
+        pairs = pairs.join(a1, "id1").join(a2, "id2")
+    return (pairs.where(F.col("c1") != F.col("c2"))
+            .groupBy(F.least("c1", "c2").alias("cluster1"), F.greatest("c1", "c2").alias("cluster2"))
             .agg(agg("dist").alias("dist")))
 
 
-def merge_pair(pairs: DataFrame, p1: int, p2: int, new_id: int, strategy: str,
-               size1: int = 1, size2: int = 1) -> DataFrame:
-    """One Lance-Williams step.  Rows of p1/p2 are dropped; every other
+def merge_pair(pairs: DataFrame, pair: DataFrame, new_id: int, strategy: str) -> DataFrame:
+    """One Lance-Williams step.  ``pair`` is one row ``(p1, p2[, size1,
+    size2])``, the clusters to merge.  Their rows are dropped; every other
     cluster k gets one row ``(k, new_id)`` whose distance is min, max,
     size-weighted average (avg) or plain average (wavg) of d(k,p1), d(k,p2).
     ``new_id`` is larger than every id, so ``id1 < id2`` holds."""
-    touch = F.col("id1").isin(p1, p2) | F.col("id2").isin(p1, p2)
-    keep = pairs.where(~touch)
-    rows = pairs.where(touch & ~((F.col("id1") == min(p1, p2)) & (F.col("id2") == max(p1, p2))))
-    other = F.when(F.col("id1").isin(p1, p2), F.col("id2")).otherwise(F.col("id1"))
-    w = F.when((F.col("id1") == p1) | (F.col("id2") == p1), F.lit(float(size1))).otherwise(
-        F.lit(float(size2)))
-    rows = rows.select(other.alias("other"), "dist", w.alias("w"))
-    if strategy == "min":
-        d = F.min("dist")
-    elif strategy == "max":
-        d = F.max("dist")
-    elif strategy == "avg":
-        d = F.sum(F.col("dist") * F.col("w")) / F.sum("w")
-    elif strategy == "wavg":
-        d = F.avg("dist")
-    else:
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
+    sizes = [F.col(c) if c in pair.columns else F.lit(1).alias(c) for c in ("size1", "size2")]
+    one = pair.select(F.least("p1", "p2").alias("lo"), F.greatest("p1", "p2").alias("hi"), "p1", *sizes)
+    near = pairs.crossJoin(F.broadcast(one))                  # one row
+    first, second = F.col("id1").isin(F.col("lo"), F.col("hi")), F.col("id2").isin(F.col("lo"), F.col("hi"))
+    keep = near.where(~(first | second)).select("id1", "id2", "dist")
+    rows = near.where((first | second) & ~(first & second))
+    own = F.when(first, F.col("id1")).otherwise(F.col("id2"))
+    rows = rows.select(F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("other"), "dist",
+                       F.when(own == F.col("p1"), F.col("size1")).otherwise(F.col("size2")).cast("double").alias("w"))
+    d = {"min": F.min("dist"), "max": F.max("dist"), "wavg": F.avg("dist"),
+         "avg": F.sum(F.col("dist") * F.col("w")) / F.sum("w")}[strategy]
     new = rows.groupBy("other").agg(d.alias("dist")).select(
         F.col("other").alias("id1"), F.lit(new_id).cast("long").alias("id2"), "dist")
-    return keep.select("id1", "id2", "dist").unionByName(new)
+    return keep.unionByName(new)
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:

@@ -19,18 +19,21 @@ from ..functions.vectors import (mean_vectors, other_endpoint, sq_norm,
 from ..operators import indices as V
 from ..operators.centers import centers, compute_cost, group_by_center, predict
 from ..operators.dendrogram import all_ids, cluster_members, cluster_of, cut, is_cluster
-from ..operators.linkage import linkage, merge_members, midpoints, singletons
+from ..operators.linkage import linkage, linkage_with_assignments, merge_members, midpoints, singletons
 from ..operators.pairs import (cluster_linkage_distance, cluster_sizes, median_by, merge_pair,
                                nearest_pair, pairwise_distances)
-from ..sources.io import merge_lines, points_from_table, scipy_dendrogram, take_features
+from ..session import Scratch
+from ..sources.io import (merge_lines, points_from_table, read_merges, scipy_dendrogram, take_features,
+                          write_assignments, write_merges)
 from . import oracle_sql as O
-from .pipelines import best_k, bisecting_report, evaluate_grid, evaluate_model
+from .pipelines import best_k, bisecting_grid, bisecting_report, evaluate_grid, evaluate_model
 
 REPORT_KS = list(range(2, 9))
 CUT_K = 5
 PREFIX_NV = 8
-# F3 weights: 1,2,3 repeating over the first 16 components
-WEIGHTS = [1 + (i % 3) for i in range(16)]
+GRID_NVS, GRID_KS = [4, 8], [2, 3, 4]
+# F3 weights: 1,2,3 repeating over the 64 components
+WEIGHTS = [1 + (i % 3) for i in range(64)]
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +44,11 @@ def sup_points(spark, sf):
     return points_from_table(_t(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
 
 
+def tied_points(spark, sf):
+    """Integers with many duplicates: ties at every distance."""
+    return points_from_table(_t(spark, sf, "supplier"), "s_suppkey", ["s_nationkey"])
+
+
 def emb_points(spark, sf):
     return points_from_table(_t(spark, sf, "embeddings"), "vec_id", vector_col="embedding")
 
@@ -82,24 +90,44 @@ def q_nearest_pair_supplier(spark, sf):
         "id1", "id2", r6("dist").alias("dist"))
 
 
+def q_pairwise_blocks_supplier(spark, sf):
+    p = pairwise_distances(sup_points(spark, sf), method="blocks", block_rows=64)
+    return p.select("id1", "id2", r6("dist").alias("dist"))
+
+
+def _one_nearest(pairs):
+    """The merged pair, as a table of one row."""
+    return nearest_pair(pairs).select(F.col("id1").alias("p1"), F.col("id2").alias("p2"))
+
+
 def q_other_endpoint(spark, sf):
     pairs = pairwise_distances(sup_points(spark, sf))
-    best = nearest_pair(pairs).first()  # the merged pair: two ids
-    p1, p2 = F.lit(best["id1"]), F.lit(best["id2"])
-    return pairs.select("id1", "id2", other_endpoint("id1", "id2", p1, p2).alias("other"))
+    j = pairs.crossJoin(F.broadcast(_one_nearest(pairs)))
+    return j.select("id1", "id2", other_endpoint("id1", "id2", F.col("p1"), F.col("p2")).alias("other"))
 
 
 def _merge_step(strategy):
     def q(spark, sf):
         pts = sup_points(spark, sf)
-        n = _n(pts)
         pairs = pairwise_distances(pts)
-        best = nearest_pair(pairs).first()
-        out = merge_pair(pairs, best["id1"], best["id2"], n + 1, strategy)
+        out = merge_pair(pairs, _one_nearest(pairs), _n(pts) + 1, strategy)
         return out.select("id1", "id2", r6("dist").alias("dist"))
     return q
 
 
+def _second_step(strategy):
+    """The pair that merged first, of size 2, merges with its nearest."""
+    def q(spark, sf):
+        pts = sup_points(spark, sf)
+        n = _n(pts)
+        pairs = pairwise_distances(pts)
+        once = merge_pair(pairs, _one_nearest(pairs), n + 1, strategy)
+        near = nearest_pair(once.where(F.col("id2") == n + 1)).select(
+            F.col("id1").alias("p1"), F.col("id2").alias("p2"), F.lit(1).alias("size1"), F.lit(2).alias("size2"))
+        return merge_pair(once, near, n + 2, strategy).select("id1", "id2", r6("dist").alias("dist"))
+    return q
+
+
 # ------------------------------------------------------- vector functions --
 
 def q_weighted_sq_embeddings(spark, sf):
@@ -140,9 +168,8 @@ def q_label_sizes(spark, sf):
 
 def _label_linkage(strategy):
     def q(spark, sf):
-        pts = emb_labelled(spark, sf)
-        d = cluster_linkage_distance(pairwise_distances(pts.select("id", "features")),
-                                     pts.select("id", "cluster"), strategy)
+        d = cluster_linkage_distance(pairwise_distances(emb_labelled(spark, sf), label="cluster"),
+                                     strategy=strategy)
         return d.select("cluster1", "cluster2", r6("dist").alias("dist"))
     return q
 
@@ -159,6 +186,33 @@ def _linkage_supplier(strategy):
     return q
 
 
+def _linkage_tied(strategy):
+    def q(spark, sf):
+        return _merges_out(linkage(tied_points(spark, sf), strategy))
+    return q
+
+
+def q_ranked_ids_customer(spark, sf):
+    """S2 over a key with gaps."""
+    c = _t(spark, sf, "customer").select((F.col("c_custkey") * 3 + 5).alias("key"), "c_acctbal")
+    p = points_from_table(c, "key", ["c_acctbal"], dense_key=False)
+    return p.select("id", r6(F.col("features")[0]).alias("x"))
+
+
+def q_stored_merges_supplier(spark, sf):
+    """The merge table, written and read again."""
+    path = Scratch(spark, "stored").path("merges")
+    write_merges(_sup_model(spark, sf)[2], path)
+    return read_merges(spark, path)
+
+
+def q_stored_assignments_supplier(spark, sf):
+    """The assignments, written and read again."""
+    path = Scratch(spark, "stored").path("assignments")
+    write_assignments(linkage_with_assignments(sup_points(spark, sf), "avg", CUT_K)[1], path)
+    return spark.read.csv(path, schema="id LONG, cluster LONG")
+
+
 def q_linkage_avg_embeddings(spark, sf):
     return _merges_out(linkage(emb_points(spark, sf), "avg"))
 
@@ -200,12 +254,9 @@ def q_singletons_supplier(spark, sf):
 
 
 def q_merge_members_supplier(spark, sf):
-    """C10 on the first-level merges: both children leaves (members as
-    a sorted list, exploded for comparison)."""
+    """The members of every merge."""
     _, n, m = _sup_model(spark, sf)
-    leaves = m.where((F.col("point1") <= n) & (F.col("point2") <= n))
-    mm = merge_members(spark.createDataFrame([], "cluster LONG, members ARRAY<LONG>"), leaves)
-    return mm.select("cluster", F.explode("members").alias("id"))
+    return merge_members(m, n)
 
 
 def q_merge_lines_supplier(spark, sf):
@@ -241,6 +292,12 @@ def q_predict_supplier(spark, sf):
     return predict(pts, c).select("id", "center", r6("d2").alias("d2"))
 
 
+def q_predict_blocks_supplier(spark, sf):
+    """Centers above the limit: blocks of one center each."""
+    pts, c = _sup_centers(spark, sf)
+    return predict(pts, c, broadcast_bytes=64).select("id", "center", r6("d2").alias("d2"))
+
+
 def q_cost_supplier(spark, sf):
     pts, c = _sup_centers(spark, sf)
     return compute_cost(predict(pts, c)).select(r6("cost").alias("cost"))
@@ -258,6 +315,12 @@ def q_silhouette_labels(spark, sf):
     return s.select(r6("b").alias("b"), r6("a").alias("a"), r6("silhouette").alias("silhouette"))
 
 
+def q_silhouette_blocks_labels(spark, sf):
+    """Clusters above the limit: blocks of a few clusters each."""
+    s = V.silhouette(emb_labelled(spark, sf), dim=64, broadcast_bytes=2048)
+    return s.select(r6("b").alias("b"), r6("a").alias("a"), r6("silhouette").alias("silhouette"))
+
+
 def _ratio_q(fn, name):
     def q(spark, sf):
         d = fn(emb_labelled(spark, sf))
@@ -301,7 +364,12 @@ def q_bisecting_report_embeddings(spark, sf):
 
 
 def q_grid_embeddings(spark, sf):
-    g = evaluate_grid({"embeddings": emb_points(spark, sf)}, [4, 8], [2, 3, 4])
+    g = evaluate_grid({"embeddings": emb_points(spark, sf)}, GRID_NVS, GRID_KS)
+    return g.select("dataset", "nv", *_report_cols(g).columns)
+
+
+def q_bisecting_grid_embeddings(spark, sf):
+    g = bisecting_grid({"embeddings": emb_points(spark, sf)}, GRID_NVS, GRID_KS)
     return g.select("dataset", "nv", *_report_cols(g).columns)
 
 
@@ -310,11 +378,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairwise_embeddings": q_pairwise_embeddings,
     "nearest_pair_embeddings": q_nearest_pair_embeddings,
     "nearest_pair_supplier": q_nearest_pair_supplier,
+    "pairwise_blocks_supplier": q_pairwise_blocks_supplier,
     "other_endpoint": q_other_endpoint,
     "merge_step_min": _merge_step("min"),
     "merge_step_max": _merge_step("max"),
     "merge_step_avg": _merge_step("avg"),
     "merge_step_wavg": _merge_step("wavg"),
+    "second_step_avg": _second_step("avg"),
+    "second_step_wavg": _second_step("wavg"),
     "weighted_sq_embeddings": q_weighted_sq_embeddings,
     "feature_prefix": q_feature_prefix,
     "to_double": q_to_double,
@@ -328,6 +399,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linkage_max_supplier": _linkage_supplier("max"),
     "linkage_avg_supplier": _linkage_supplier("avg"),
     "linkage_wavg_supplier": _linkage_supplier("wavg"),
+    "linkage_min_tied": _linkage_tied("min"),
+    "linkage_max_tied": _linkage_tied("max"),
+    "linkage_avg_tied": _linkage_tied("avg"),
+    "linkage_wavg_tied": _linkage_tied("wavg"),
+    "ranked_ids_customer": q_ranked_ids_customer,
+    "stored_merges_supplier": q_stored_merges_supplier,
+    "stored_assignments_supplier": q_stored_assignments_supplier,
     "linkage_avg_embeddings": q_linkage_avg_embeddings,
     "cut_supplier": q_cut_supplier,
     "members_supplier": q_members_supplier,
@@ -340,9 +418,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "midpoints_supplier": q_midpoints_supplier,
     "centers_supplier": q_centers_supplier,
     "predict_supplier": q_predict_supplier,
+    "predict_blocks_supplier": q_predict_blocks_supplier,
     "cost_supplier": q_cost_supplier,
     "group_by_center_supplier": q_group_by_center_supplier,
     "silhouette_labels": q_silhouette_labels,
+    "silhouette_blocks_labels": q_silhouette_blocks_labels,
     "dunn_labels": _ratio_q(lambda d: V.dunn(d, dim=64), "dunn"),
     "dunn_average_labels": _ratio_q(lambda d: V.dunn_average(d, dim=64), "dunn_average"),
     "dunn_min_max_labels": _ratio_q(lambda d: V.dunn_min_max(d), "dunn_min_max"),
@@ -353,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_embeddings": q_report_embeddings,
     "bisecting_report_embeddings": q_bisecting_report_embeddings,
     "grid_embeddings": q_grid_embeddings,
+    "bisecting_grid_embeddings": q_bisecting_grid_embeddings,
 }
 
 
@@ -392,6 +473,21 @@ def _merge_step_sql(strategy):
             "FROM t GROUP BY o")
 
 
+def _second_step_sql(strategy):
+    agg = {"avg": "sum(dist * w) / sum(w)", "wavg": "avg(dist)"}[strategy]
+    return (f"WITH {_SUP_PAIRS}, nn AS (SELECT count(*) AS n FROM sp), "
+            "t AS (SELECT CASE WHEN id1 IN (np.p1, np.p2) THEN id2 ELSE id1 END AS o, dist FROM pr, np "
+            "WHERE (id1 IN (np.p1, np.p2) OR id2 IN (np.p1, np.p2)) AND NOT (id1 = np.p1 AND id2 = np.p2)), "
+            "once AS (SELECT id1, id2, dist FROM pr, np WHERE id1 NOT IN (np.p1, np.p2) AND id2 NOT IN (np.p1, np.p2) "
+            "UNION ALL SELECT o, n + 1, avg(dist) FROM t, nn GROUP BY o, n), "
+            "m AS (SELECT id1 AS q1, id2 AS q2 FROM once, nn WHERE id2 = n + 1 ORDER BY dist, id1 LIMIT 1), "
+            "u AS (SELECT CASE WHEN id1 IN (m.q1, m.q2) THEN id2 ELSE id1 END AS o, dist, "
+            "CASE WHEN id1 = m.q2 OR id2 = m.q2 THEN 2 ELSE 1 END AS w FROM once, m "
+            "WHERE (id1 IN (m.q1, m.q2) OR id2 IN (m.q1, m.q2)) AND NOT (id1 = m.q1 AND id2 = m.q2)) "
+            "SELECT id1, id2, round(dist, 6) AS dist FROM once, m WHERE id1 NOT IN (m.q1, m.q2) AND id2 NOT IN (m.q1, m.q2) "
+            f"UNION ALL SELECT o AS id1, n + 2 AS id2, round({agg}, 6) AS dist FROM u, nn GROUP BY o, n")
+
+
 def _label_linkage_sql(agg):
     return (f"WITH {O.EMB_PTS} SELECT CAST(least(a.label, b.label) AS BIGINT) AS cluster1, "
             "CAST(greatest(a.label, b.label) AS BIGINT) AS cluster2, "
@@ -436,6 +532,19 @@ SELECT
 
 _SUP_CENTERS = (f"{_SUP_AVG}, {O.climb('sp', [CUT_K])}, {O.long_points('sp')}, {O.centers_of('lab')}")
 
+
+
+def _grid_sql():
+    """Per prefix, the report over points cut to that many components."""
+    parts = []
+    for nv in GRID_NVS:
+        pts = (f"ep AS (SELECT vec_id + 1 AS id, list_transform(embedding[1:{nv}], lambda x: CAST(x AS DOUBLE)) AS f "
+               "FROM embeddings)")
+        rep = _report_sql(pts, "ep", GRID_KS, f"WITH RECURSIVE {pts}, {O.greedy_linkage('ep', 'avg')}")
+        parts.append(f"SELECT 'embeddings' AS dataset, {nv} AS nv, * FROM ({rep}{_REPORT_SEL})")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE: dict[str, str] = {
     "pairwise_supplier": _PAIR_SUP,
     "pairwise_embeddings": _PAIR_EMB,
@@ -447,6 +556,11 @@ ORACLE: dict[str, str] = {
     "merge_step_max": _merge_step_sql("max"),
     "merge_step_avg": _merge_step_sql("avg"),
     "merge_step_wavg": _merge_step_sql("wavg"),
+    "pairwise_blocks_supplier": _PAIR_SUP,
+    "second_step_avg": _second_step_sql("avg"),
+    "second_step_wavg": _second_step_sql("wavg"),
+    "ranked_ids_customer": ("SELECT row_number() OVER (ORDER BY c_custkey) AS id, "
+                            "round(CAST(c_acctbal AS DOUBLE), 6) AS x FROM customer"),
     "weighted_sq_embeddings": (
         f"WITH {O.EMB_PTS}, {O.long_points('ep')}, "
         "cl AS (SELECT e.label, pl.pos, avg(pl.x) AS v FROM ep e JOIN pl ON pl.id = e.id GROUP BY e.label, pl.pos), "
@@ -473,6 +587,12 @@ ORACLE: dict[str, str] = {
     "linkage_max_supplier": _linkage_sql(O.SUP_PTS, "sp", "max"),
     "linkage_avg_supplier": _linkage_sql(O.SUP_PTS, "sp", "avg"),
     "linkage_wavg_supplier": _linkage_sql(O.SUP_PTS, "sp", "wavg"),
+    "linkage_min_tied": _linkage_sql(O.TIED_PTS, "tp", "min"),
+    "linkage_max_tied": _linkage_sql(O.TIED_PTS, "tp", "max"),
+    "linkage_avg_tied": _linkage_sql(O.TIED_PTS, "tp", "avg"),
+    "linkage_wavg_tied": _linkage_sql(O.TIED_PTS, "tp", "wavg"),
+    "stored_merges_supplier": f"{_SUP_AVG} SELECT cluster, point1, point2 FROM mg",
+    "stored_assignments_supplier": f"{_SUP_AVG}, {O.climb('sp', [CUT_K])} SELECT id, cluster FROM lab",
     "linkage_avg_embeddings": _linkage_sql(O.EMB_PTS, "ep", "avg"),
     "cut_supplier": f"{_SUP_AVG}, {O.climb('sp', [CUT_K])} SELECT id, cluster FROM lab",
     "members_supplier": (
@@ -492,8 +612,10 @@ ORACLE: dict[str, str] = {
         f"AND mg.cluster <= 2 * nn.n - {CUT_K}) AS is_cluster FROM ids"),
     "singletons_supplier": "SELECT s_suppkey + 1 AS id, s_suppkey + 1 AS cluster FROM supplier",
     "merge_members_supplier": (
-        f"{_SUP_AVG} SELECT cluster, point1 AS id FROM mg, nn WHERE point1 <= nn.n AND point2 <= nn.n "
-        "UNION ALL SELECT cluster, point2 FROM mg, nn WHERE point1 <= nn.n AND point2 <= nn.n"),
+        f"{_SUP_AVG}, ch AS (SELECT cluster, point1 AS child FROM mg UNION ALL SELECT cluster, point2 FROM mg), "
+        "dn(cluster, node) AS (SELECT cluster, child FROM ch "
+        "UNION ALL SELECT dn.cluster, ch.child FROM dn JOIN ch ON ch.cluster = dn.node) "
+        "SELECT cluster, node AS id FROM dn, nn WHERE node <= nn.n"),
     "merge_lines_supplier": (f"{_SUP_AVG} SELECT cluster, concat_ws(',', CAST(cluster AS VARCHAR), "
                              "CAST(point1 AS VARCHAR), CAST(point2 AS VARCHAR)) AS line FROM mg"),
     "dendrogram_supplier": (f"{_SUP_AVG} SELECT point1 - 1 AS p1, point2 - 1 AS p2, round(height, 6) AS dist, "
@@ -518,11 +640,15 @@ ORACLE: dict[str, str] = {
     "centers_supplier": (f"{_SUP_CENTERS} SELECT center, cluster, size, round(c[1], 6) AS c0, "
                          "round(c[2], 6) AS c1 FROM cen"),
     "predict_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr",
+    "predict_blocks_supplier": (f"{_SUP_CENTERS}, {O.predict_sql('sp')} "
+                                "SELECT id, center, round(d2, 6) AS d2 FROM pr"),
     "cost_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT round(sum(d2), 6) AS cost FROM pr",
     "group_by_center_supplier": (f"{_SUP_CENTERS}, {O.predict_sql('sp')} "
                                  "SELECT center, count(*) AS size FROM pr GROUP BY center"),
     "silhouette_labels": (f"WITH {O.EMB_PTS}, {O.long_points('ep')}, {_LAB_LABELS}, {O.indices_sql('ep', 'asg')} "
                           "SELECT round(b, 6) AS b, round(a, 6) AS a, round(silhouette, 6) AS silhouette FROM sil"),
+    "silhouette_blocks_labels": (f"WITH {O.EMB_PTS}, {O.long_points('ep')}, {_LAB_LABELS}, {O.indices_sql('ep', 'asg')} "
+                                 "SELECT round(b, 6) AS b, round(a, 6) AS a, round(silhouette, 6) AS silhouette FROM sil"),
     "dunn_labels": _ratio_sql("dn", "dunn"),
     "dunn_average_labels": _ratio_sql("dav", "dunn_average"),
     "dunn_min_max_labels": _ratio_sql("mm", "dunn_min_max"),
@@ -542,4 +668,5 @@ ORACLE: dict[str, str] = {
     "report_embeddings": (_report_sql(O.EMB_PTS, "ep", REPORT_KS,
                                       f"WITH RECURSIVE {O.EMB_PTS}, {O.greedy_linkage('ep', 'avg')}")
                           + _REPORT_SEL),
+    "grid_embeddings": _grid_sql(),
 }

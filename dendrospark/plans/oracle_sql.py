@@ -9,6 +9,7 @@ from __future__ import annotations
 
 SUP_PTS = ("sp AS (SELECT s_suppkey + 1 AS id, "
            "[CAST(s_acctbal AS DOUBLE), CAST(s_nationkey AS DOUBLE)] AS f FROM supplier)")
+TIED_PTS = "tp AS (SELECT s_suppkey + 1 AS id, [CAST(s_nationkey AS DOUBLE)] AS f FROM supplier)"
 EMB_PTS = ("ep AS (SELECT vec_id + 1 AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f, "
            "label FROM embeddings)")
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound, in bytes, for anything this package broadcasts explicitly.
@@ -61,12 +63,15 @@ def share_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the checkpoint folder, setting a local one only when unset
-    (local runs and tests; a cluster names its own shared folder)."""
+    """Return the checkpoint folder.  Where it is unset, ``fallback`` is set,
+    or a temporary folder if the master is local; executors of a cluster could
+    not see one, so there it is an error."""
     share_package(spark)
     d = checkpoint_dir(spark)
     if d is None:
-        d = fallback or tempfile.mkdtemp(prefix="dendrospark-ckpt-", dir="/tmp")
+        if not fallback and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = fallback or tempfile.mkdtemp(prefix="dendrospark-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d
     elif not spark.sparkContext.getCheckpointDir():
@@ -98,7 +103,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         p = self.path(name)
         df.write.mode("overwrite").parquet(p)
-        return self.spark.read.parquet(p)
+        return self.spark.read.schema(df.schema).parquet(p)      # no job to infer it
 
     def append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(self.path(name))
@@ -109,13 +114,13 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Delete a finished round's table through the Hadoop FileSystem of
         the checkpoint folder (keeps scratch space O(one round))."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         try:
-            jvm = self.spark.sparkContext._jvm
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
-        except Exception:  # best effort; leftover scratch is harmless
-            pass
+        except Py4JJavaError as e:      # left behind, but results do not depend on it
+            warnings.warn(f"could not delete {self.path(name)}: {e.java_exception}", stacklevel=2)
 
 
 def fits_broadcast(rows: int, bytes_per_row: int,

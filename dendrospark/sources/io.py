@@ -17,24 +17,26 @@ MERGE_SCHEMA = "cluster LONG, point1 LONG, point2 LONG"
 def read_points(spark: SparkSession, path: str, delimiter: str = ",",
                 order_by: str | None = None) -> DataFrame:
     """S1 + S2: header-less delimited text, every column numeric, packed into
-    one ``features`` array.  Ids follow the file's line order (the scan keeps
-    split order) unless ``order_by`` names a column to number by."""
-    raw = (spark.read.option("header", "false").option("inferSchema", "true")
-           .option("delimiter", delimiter).csv(path))
+    one ``features`` array.  Ids follow the files' names and, within a file,
+    its lines, however the scan is split; ``order_by`` names a column (``_c0``,
+    ``_c1``, ...) to number by instead.  A field that is no number is an error
+    (ANSI cast); an empty one is null."""
+    raw = spark.read.option("header", "false").option("delimiter", delimiter).csv(path)
     cols = raw.columns
-    packed = raw.select(
-        F.array(*[F.col(c).cast("double") for c in cols]).alias("features"),
-        *([F.col(order_by)] if order_by else []))
-    if order_by:
-        return with_point_ids(packed, [order_by]).drop(order_by)
-    return with_point_ids(packed, None)
+    # a split's rows are numbered in the order of its lines
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+             F.monotonically_increasing_id().alias("_line")]
+    packed = raw.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("features"),
+                        *([F.col(order_by).cast("double").alias("_key")] if order_by else []), *place)
+    keys = [*(["_key"] if order_by else []), "_file", "_block", "_line"]
+    return with_point_ids(packed, keys).select("id", "features")
 
 
 def points_from_table(df: DataFrame, key: str, feature_cols: list[str] | None = None,
                       vector_col: str | None = None, dense_key: bool = True) -> DataFrame:
     """Points from a table with a key column.  ``dense_key`` means the key
-    already runs 0..n-1 (id = key + 1, no ranking pass); otherwise ids are
-    assigned by a distributed rank over the key."""
+    already runs 0..n-1 (id = key + 1, no ranking pass; ``linkage`` checks it);
+    otherwise ids are assigned by a distributed rank over the key."""
     if vector_col is not None:
         feats = F.transform(vector_col, lambda x: x.cast("double"))
     else:
@@ -63,18 +65,16 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=MERGE_SCHEMA, header=False)
 
 
-def merge_lines(merges: DataFrame, sep: str = ",") -> DataFrame:
+def merge_lines(merges: DataFrame) -> DataFrame:
     """K1 formatter: one ``cluster,point1,point2`` line per merge."""
-    return merges.select(
-        "cluster",
-        F.concat_ws(sep, F.col("cluster").cast("string"), F.col("point1").cast("string"),
-                    F.col("point2").cast("string")).alias("line"))
+    return merges.select("cluster", F.concat_ws(",", "cluster", "point1", "point2").alias("line"))
 
 
-def write_merges(merges: DataFrame, path: str, sep: str = ",") -> None:
-    """K1: sorted by cluster id, one part file (the merge table has n-1 rows)."""
-    (merges.select("cluster", "point1", "point2").orderBy("cluster").coalesce(1)
-     .write.mode("overwrite").option("sep", sep).csv(path))
+def write_merges(merges: DataFrame, path: str, line_sep: str = "\n") -> None:
+    """K1: ``cluster,point1,point2`` lines in the order of cluster ids, through
+    a range-partitioned sort: the part files follow one another."""
+    (merges.select("cluster", "point1", "point2").orderBy("cluster")
+     .write.mode("overwrite").option("lineSep", line_sep).csv(path))
 
 
 def write_assignments(assignments: DataFrame, path: str) -> None:
@@ -90,8 +90,8 @@ def scipy_dendrogram(merges: DataFrame) -> DataFrame:
 
 
 def write_dendrogram(merges: DataFrame, path: str) -> None:
-    """K3: SciPy 4-column linkage matrix as CSV."""
-    scipy_dendrogram(merges).coalesce(1).write.mode("overwrite").csv(path)
+    """K3: SciPy 4-column linkage matrix as CSV, part files in order."""
+    scipy_dendrogram(merges).write.mode("overwrite").csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

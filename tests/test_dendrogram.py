@@ -50,8 +50,8 @@ def test_hot_target_split_matches_plain_join(spark):
     rows = [(i, 100) for i in range(1, 60)] + [(100, 200), (200, 300)] + [(i, i + 1) for i in range(400, 420)]
     edges = spark.createDataFrame(rows, "node LONG, up LONG")
     sc = Scratch(spark, "t")
-    split = {r.node: r.up for r in root_of(edges, sc, hot_min_rows=0).collect()}
-    plain = {r.node: r.up for r in root_of(edges, sc, hot_min_rows=10 ** 9).collect()}
+    split = {r.node: r.up for r in root_of(edges, sc).collect()}
+    plain = {r.node: r.up for r in root_of(edges, sc, hot_fraction=1.0).collect()}
     assert split == plain
     assert split[5] == 300 and split[400] == 420
 

@@ -74,9 +74,10 @@ def test_nearest_pair_ties_and_merge_step(spark):
     pairs = pairwise_distances(pts)
     best = nearest_pair(pairs).first()
     assert (best.id1, best.id2, best.dist) == (1, 2, 1.0)
-    step = {(r.id1, r.id2): r.dist for r in merge_pair(pairs, 1, 2, 5, "max").collect()}
+    pair = spark.createDataFrame([(1, 2, 3, 1)], "p1 LONG, p2 LONG, size1 INT, size2 INT")
+    step = {(r.id1, r.id2): r.dist for r in merge_pair(pairs, pair.select("p1", "p2"), 5, "max").collect()}
     assert step == {(3, 4): 1.0, (3, 5): pytest.approx(2 ** 0.5), (4, 5): pytest.approx(2 ** 0.5)}
-    avg = {(r.id1, r.id2): r.dist for r in merge_pair(pairs, 1, 2, 5, "avg", 3, 1).collect()}
+    avg = {(r.id1, r.id2): r.dist for r in merge_pair(pairs, pair, 5, "avg").collect()}
     assert avg[(3, 5)] == pytest.approx((3 * 1.0 + 2 ** 0.5) / 4)
 
 
@@ -86,6 +87,19 @@ def test_cluster_linkage_distance(spark):
     pairs = pairwise_distances(pts)
     got = {s: cluster_linkage_distance(pairs, asg, s).first().dist for s in ("min", "max", "avg")}
     assert got == {"min": 4.0, "max": 9.0, "avg": pytest.approx((5 + 9 + 4 + 8) / 4)}
+    labelled = pts.join(asg, "id")
+    for method in ("broadcast", "blocks"):
+        carried = pairwise_distances(labelled, method=method, block_rows=2, label="cluster")
+        assert cluster_linkage_distance(carried, strategy="max").first().dist == 9.0
+
+
+def test_read_points_numbers_by_file_and_line(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("7,70\n")
+    (tmp_path / "part-1.csv").write_text("".join(f"{i},{-i}\n" for i in range(28)))
+    rows = [(r.id, r.features) for r in io.read_points(spark, str(tmp_path)).orderBy("id").collect()]
+    assert rows == [(1, [7.0, 70.0])] + [(i + 2, [float(i), float(-i)]) for i in range(28)]
+    by_key = [r.features[1] for r in io.read_points(spark, str(tmp_path), order_by="_c1").orderBy("id").collect()]
+    assert by_key == sorted(by_key)
 
 
 @pytest.mark.skipif(not os.path.exists(f"{REFERENCE}/data/C3-D20-I100"), reason="reference data absent")

@@ -124,9 +124,10 @@ def test_singletons_members_midpoints(spark):
     assert sorted(tuple(r) for r in singletons(spark, 3).collect()) == [(1, 1), (2, 2), (3, 3)]
     merges = spark.createDataFrame([(4, 1, 2, 1.0, 2), (5, 4, 3, 2.0, 3)],
                                    "cluster LONG, point1 LONG, point2 LONG, height DOUBLE, size LONG")
-    lvl1 = merge_members(spark.createDataFrame([], "cluster LONG, members ARRAY<LONG>"), merges.where("cluster = 4"))
-    both = merge_members(lvl1, merges.where("cluster = 5"))
-    assert sorted(both.first().members) == [1, 2, 3]
+    assert sorted(tuple(r) for r in merge_members(merges, 3).collect()) == [(4, 1), (4, 2), (5, 1), (5, 2), (5, 3)]
+    chain = [(8 + i, 7 + i if i else 1, i + 2 if i else 2, 1.0 + i, i + 2) for i in range(6)]
+    rows = merge_members(spark.createDataFrame(chain, merges.schema), 7).collect()
+    assert sorted(tuple(r) for r in rows) == [(8 + i, x) for i in range(6) for x in range(1, i + 3)]
     pts = pts_df(spark, [[0.0, 0.0], [2.0, 0.0], [4.0, 4.0]])
     mp = {r.cluster: r.centroid for r in midpoints(merges, pts).collect()}
     assert mp[4] == [1.0, 0.0] and mp[5] == [2.5, 2.0]
