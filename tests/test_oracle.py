@@ -8,7 +8,8 @@ import pytest
 from conftest import TESTDATA
 
 SF = f"{TESTDATA}/sf0.001"
-FAST = ["pairwise_supplier", "nearest_pair_supplier", "other_endpoint", "merge_step_avg",
+FAST = ["pairwise_supplier", "nearest_pair_supplier", "other_endpoint", "merge_step_avg", "second_step_avg",
+        "ranked_ids_customer", "silhouette_blocks_labels", "linkage_min_tied", "linkage_avg_tied",
         "weighted_sq_embeddings", "feature_prefix", "to_double", "median_acctbal",
         "label_centroids", "label_sizes", "label_linkage_avg", "linkage_min_supplier",
         "linkage_max_supplier", "linkage_avg_supplier", "linkage_wavg_supplier", "cut_supplier",
