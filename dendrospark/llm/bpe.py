@@ -1,12 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens.  A batch of documents keeps, for each text, the
-sequence of its pre-tokens as ranks in the batch's list of distinct words: the
-positions.  The distinct words alone are shuffled by hash, each word is encoded
-once however many batches hold it, and its ids go back to those batches, where
-the sequences are put together again by position.  Words of one batch and one
-hash bucket travel as one compressed row, so a word that fills a third of all
-texts is one entry per batch.
+Texts are cut at spaces into words of one or a few pre-tokens.  A batch of
+documents keeps, for each text, the sequence of its words as ranks in the
+batch's list of distinct words: the positions.  The distinct words alone are
+shuffled by hash, each is encoded once, pre-token by pre-token, however many
+batches hold it, and its ids go back to those batches, where the sequences are
+put together again by position.  Words of one batch and one hash bucket travel
+as one compressed row, so a word that fills a third of all texts is one entry
+per batch.
 
 Decoding joins ids with the table of token bytes, whose size the vocabulary
 bounds.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, scratch, table, whole_text
+from .common import blocks_for, table, whole_text
 
 #: A space amid white space, before which a text can't be cut on its own.
 UNSAFE = re.compile(r"\s (?=\s|\Z)")
-BATCH_ROWS, BATCH_CHARS = 2000, 8_000_000
+BATCH_ROWS, BATCH_CHARS = 1000, 4_000_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -38,36 +40,32 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-# ------------------------------------------------------------------ pre-tokens
+# ----------------------------------------------------------------------- words
 class Splitter:
-    """Pre-tokens of texts as indices of distinct words.
+    """Texts as indices of distinct words: stretches that start at a space.
 
     A single space starts a new pre-token unless it stands amid white space, so
-    a text is cut at its spaces and each distinct stretch is matched once."""
+    the pre-tokens of a text are those of its words, one after another.  A text
+    with such a space is cut into its pre-tokens instead."""
 
     def __init__(self, pattern: str):
         import regex
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, int] = {}
-        self.after_space: dict[str, tuple[int, ...]] = {}
-
-    def _indices(self, text: str) -> tuple[int, ...]:
-        words = self.words
-        return tuple([words.setdefault(w, len(words)) for w in self.find(text)])
+        #: a key in a tuple stands for itself, any other for itself behind a space
+        self.index: dict[str | tuple[str], int] = {}
 
     def split(self, text: str) -> list[int]:
+        index = self.index
         if UNSAFE.search(text):
-            return list(self._indices(text))
+            return [index.setdefault((w,), len(index)) for w in self.find(text)]
         first, *rest = text.split(" ")
-        out = list(self._indices(first))
-        known = self.after_space
-        for part in rest:
-            got = known.get(part)
-            if got is None:
-                got = known[part] = self._indices(" " + part)
-            out += got
+        out = [index.setdefault((first,), len(index))] if first else []
+        out += [index.setdefault(w, len(index)) for w in rest]
         return out
 
+    def words(self) -> list[bytes]:
+        return [(k[0] if isinstance(k, tuple) else " " + k).encode() for k in self.index]
+
 
 def _pack(a: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, one byte plane after another, entropy coded."""
@@ -91,42 +89,47 @@ def _unpack_list(lengths: bytes, joined: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-#: One row per batch holds its documents: their ids, how many pre-tokens each
-#: has (``lengths``), all pre-tokens as frequency ranks (``body``), and where a
-#: rank's word stands among the batch's words by bucket (``places``).  One row
-#: per batch and bucket holds words (``lengths``, ``body``).
-SPLIT = "batch LONG, bucket INT, doc_ids ARRAY<LONG>, places BINARY, lengths BINARY, body BINARY"
+#: Of each batch, one row for its documents: their ids, how many words each has
+#: (``lengths``), all words as frequency ranks (``body``), and where a rank's
+#: word stands among the batch's words by bucket (``places``).  One row for each
+#: of its buckets holds words (``lengths``, ``body``).  ``sign`` is a checksum of
+#: the batch's words in that order.
+SPLIT = "batch LONG, sign LONG, bucket INT, doc_ids ARRAY<LONG>, places BINARY, lengths BINARY, body BINARY"
 
 
-def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def split_words(docs: DataFrame, pattern: str, buckets: int, of_documents: bool) -> DataFrame:
+    """The documents' rows of every batch, or its buckets' rows.  Batches
+    follow from the order of a task's rows, which the files fix."""
     def run(batches):
         task, number = TaskContext.get().partitionId() << 32, 0
-        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
-                            ("places", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
+        schema = pa.schema([("batch", pa.int64()), ("sign", pa.int64()), ("bucket", pa.int32()),
+                            ("doc_ids", pa.list_(pa.int64())), ("places", pa.binary()), ("lengths", pa.binary()),
+                            ("body", pa.binary())])
 
-        def rows(ids, sequences, words):
+        def rows(ids, sequences, raw):
             nonlocal number
             batch = task | number
             number += 1
-            flat = np.fromiter((i for s in sequences for i in s), np.int64, sum(map(len, sequences)))
-            by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), dtype=np.int64)
-            rank[by_count] = np.arange(len(words))
-            raw = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             by_bucket = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), dtype=np.int64)
-            place[by_bucket] = np.arange(len(words))
-            yield {"batch": batch, "doc_ids": ids, "places": _pack(place[by_count]),
-                   "lengths": _pack(np.fromiter(map(len, sequences), np.int64, len(sequences))),
-                   "body": _pack(rank[flat])}
-            cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
-            for part in np.split(by_bucket, cuts) if len(words) else []:
-                lengths, body = _pack_list([raw[i] for i in part])
-                yield {"batch": batch, "bucket": int(bucket[part[0]]), "lengths": lengths, "body": body}
+            ordered = [raw[i] for i in by_bucket.tolist()]
+            sign = zlib.crc32(b"\0".join(ordered))
+            if of_documents:
+                n = np.fromiter(map(len, sequences), np.int64, len(sequences))
+                flat = np.fromiter(chain.from_iterable(sequences), np.int64, n.sum())
+                by_count = np.argsort(-np.bincount(flat, minlength=len(raw)), kind="stable")
+                rank, place = np.empty((2, len(raw)), dtype=np.int64)
+                rank[by_count] = place[by_bucket] = np.arange(len(raw))
+                yield {"batch": batch, "sign": sign, "doc_ids": ids, "places": _pack(place[by_count]),
+                       "lengths": _pack(n), "body": _pack(rank[flat])}
+                return
+            bounds = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1)).tolist()
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                lengths, body = _pack_list(ordered[a:b])
+                yield {"batch": batch, "sign": sign, "bucket": int(bucket[by_bucket[a]]), "lengths": lengths, "body": body}
 
         def closed(ids, sequences, splitter):
-            return pa.RecordBatch.from_pylist(list(rows(ids, sequences, list(splitter.words))), schema=schema)
+            return pa.RecordBatch.from_pylist(list(rows(ids, sequences, splitter.words())), schema=schema)
 
         ids, sequences, chars, splitter = [], [], 0, Splitter(pattern)
         for b in batches:
@@ -147,7 +150,9 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 # -------------------------------------------------------------------- encoding
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``(doc_id, ids ARRAY<INT>)`` of every whole text; each match of
-    ``pattern`` is encoded on its own, without special tokens.
+    ``pattern`` is encoded on its own, without special tokens.  ``docs`` is
+    read twice and must give its rows in the same order, as files do; write a
+    result whose order may change to a table first.
 
     Null or empty text: no ids.  Null doc_ids and repeated rows are encoded
     like others; other columns are ignored; an empty table gives an empty
@@ -156,7 +161,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(ranks)     # as large as the vocabulary
     buckets = blocks_for(docs.count(), 1024)
-    split = scratch(spark, "bpe").put(split_words(docs, pattern, buckets), "split")
 
     def once(key, rows):
         """All batches' words of one bucket: ids of each row's words."""
@@ -172,12 +176,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             coded = [known[w] for w in words]
             ids = np.frombuffer(b"".join(coded), dtype="<u4")
             out.append((_pack(np.fromiter(map(len, coded), np.int64, len(coded)) // 4), _pack(ids)))
-        return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"),
+        return pa.table({"batch": rows.column("batch"), "sign": rows.column("sign"), "bucket": rows.column("bucket"),
                          "lengths": pa.array([x for x, _ in out], pa.binary()),
                          "body": pa.array([x for _, x in out], pa.binary())})
 
-    coded = (split.where("bucket IS NOT NULL").select("batch", "bucket", "lengths", "body")
-             .groupBy("bucket").applyInArrow(once, "batch LONG, bucket INT, lengths BINARY, body BINARY"))
+    coded = (split_words(docs, pattern, buckets, False).select("batch", "sign", "bucket", "lengths", "body")
+             .groupBy("bucket").applyInArrow(once, "batch LONG, sign LONG, bucket INT, lengths BINARY, body BINARY"))
 
     def joined(key, left, right):
         """A batch's documents and its words' ids, in the order of buckets."""
@@ -187,7 +191,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         n = np.concatenate([_unpack(lengths[i]) for i in order] or empty).astype(np.int64)
         ids = np.concatenate([_unpack(bodies[i]) for i in order] or empty)
         docs_, out = [], []
+        signs = set(right.column("sign").to_pylist())
         for r in left.to_pylist():
+            if signs - {r["sign"]}:
+                raise ValueError("the documents came in another order when they were read again")
             place = _unpack(r["places"]).astype(np.int64)
             count = n[place]                                 # ids of each rank's word
             first = (np.cumsum(n) - n)[place]                # where they start
@@ -201,7 +208,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         return pa.table({"doc_id": pa.array(docs_, pa.int64()),
                          "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
 
-    return (split.where("bucket IS NULL").select("batch", "doc_ids", "places", "lengths", "body").groupBy("batch")
+    return (split_words(docs, pattern, buckets, True).drop("bucket").groupBy("batch")
             .cogroup(coded.groupBy("batch")).applyInArrow(joined, "doc_id LONG, ids ARRAY<INT>"))
 
 
@@ -216,7 +223,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         get = token_bytes.value.__getitem__
-        for b in batches:
+        for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
             raw = [None if x is None else b"".join(map(get, x)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in own], pa.array(raw, pa.binary())],
                                              schema.names)
