@@ -31,14 +31,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from ..session import Scratch
 from .common import blocks_for, scratch, table, whole_text
 
 LENGTH, GRAM = 200, 32
 #: Bytes looked through at a time; longer texts go in overlapping segments.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: 8-byte words that the multikey quicksort looks at before the blind tries.
 SHALLOW = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -247,12 +247,16 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("t1", F.xxhash64(whole_text())).withColumn("t2", F.xxhash64(F.lit(1), whole_text()))
 
 
+#: Rows that a Python function looks at together.
+ROWS = 256
+
+
 def _squeezed(df: DataFrame) -> DataFrame:
     """``text`` as compressed bytes, for shuffles (null stays null)."""
     schema = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in df.schema.fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             raw = [None if t is None else zlib.compress(t.encode(), 1) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(raw, pa.binary()) if n == "text" else b.column(n) for n in schema.names], schema.names)
@@ -260,6 +264,12 @@ def _squeezed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batches, rows: int = ROWS):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _contexts(squeezed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of ``wanted`` contexts ``(key, ctx, rep)``, each read once from
     one copy of its text."""
@@ -269,14 +279,18 @@ def _contexts(squeezed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     places = places.groupBy("t1", "t2").agg(F.collect_list("x").alias("xs"))     # at most a text's anchors
 
     def run(batches):
-        for b in batches:
-            for text, xs in zip(b.column("text").to_pylist(), b.column("xs").to_pylist()):
-                raw = zlib.decompress(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["key"] for x in xs]), pa.array([x["ctx"] for x in xs]),
-                     pa.array([x["crowded"] for x in xs]),
-                     pa.array([raw[x["start"]:x["start"] + x["more"] + length] for x in xs], pa.binary())],
-                    ["key", "ctx", "crowded", "bytes"])
+        for b in slices(batches):
+            texts_, found = b.column("text"), b.column("xs").flatten()
+            owner = np.repeat(np.arange(b.num_rows), np.array(b.column("xs").value_lengths()))
+            start, more = found.field("start").to_pylist(), found.field("more").to_pylist()
+            out, last, raw = [], -1, b""
+            for i, at, n in zip(owner.tolist(), start, more):
+                if i != last:
+                    last, raw = i, zlib.decompress(texts_[i].as_py())
+                out.append(raw[at:at + n + length])
+            yield pa.RecordBatch.from_arrays(
+                [found.field("key"), found.field("ctx"), found.field("crowded"), pa.array(out, pa.binary())],
+                ["key", "ctx", "crowded", "bytes"])
 
     return texts.join(places, ["t1", "t2"]).select("text", "xs").mapInArrow(
         run, "key LONG, ctx LONG, crowded BOOLEAN, bytes BINARY")
@@ -308,6 +322,43 @@ def text_spans(docs: DataFrame, work: Scratch, length: int = LENGTH, crowd: int
         (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))).alias("spans"))
 
 
+def _joined(docs: DataFrame, length: int, crowd: int) -> DataFrame:
+    """``docs`` with compressed ``text`` and ``_suffix_dedup_spans``, which may
+    overlap."""
+    work = scratch(docs.sparkSession, "suffix-dedup")
+    found = text_spans(docs, work, length, crowd)
+    hidden = ["_suffix_dedup_t1", "_suffix_dedup_t2"]
+    named = docs.withColumn(hidden[0], F.xxhash64(whole_text())).withColumn(hidden[1], F.xxhash64(F.lit(1), whole_text()))
+    found = found.select(F.col("t1").alias(hidden[0]), F.col("t2").alias(hidden[1]), F.col("spans").alias(SPANS))
+    return _squeezed(named).join(found, hidden, "left").drop(*hidden)
+
+
+SPANS = "_suffix_dedup_spans"
+
+
+def _apart(spans: list[dict] | None) -> list[dict]:
+    out: list[dict] = []
+    for x in sorted(spans or [], key=lambda x: x["a"]):
+        if out and x["a"] <= out[-1]["b"]:
+            out[-1]["b"] = max(out[-1]["b"], x["b"])
+        else:
+            out.append(x)
+    return out
+
+
+def each_text(joined: DataFrame, schema: StructType, columns) -> DataFrame:
+    """``columns(raw, spans, batch)`` gives the columns that ``schema`` has
+    beside those of ``joined``, from the bytes (None: null) and spans of the
+    texts of a batch."""
+    def run(batches):
+        for b in slices(batches):
+            raw = [None if t is None else zlib.decompress(t) for t in b.column("text").to_pylist()]
+            made = columns(raw, [_apart(x) for x in b.column(SPANS).to_pylist()], b)
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else b.column(n) for n in schema.names], schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = 4096) -> DataFrame:
     """All columns of ``docs`` with ``spans ARRAY<STRUCT<a, b>>``, the byte
     ranges of ``text`` (UTF-8) that repeated strings of ``length`` bytes cover,
@@ -318,35 +369,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, crowd: int = 4096) -> DataFra
     ``length`` bytes that occurs twice is covered.  Null ids and repeated rows
     are documents like others; an empty table gives an empty result.
     """
-    work = scratch(docs.sparkSession, "suffix-dedup")
     docs = docs.drop("spans")
-    found = text_spans(docs, work, length, crowd)
-    hidden = ("_suffix_dedup_t1", "_suffix_dedup_t2")
-    named = docs.withColumn(hidden[0], F.xxhash64(whole_text())).withColumn(hidden[1], F.xxhash64(F.lit(1), whole_text()))
-    found = found.select(F.col("t1").alias(hidden[0]), F.col("t2").alias(hidden[1]), F.col("spans").alias("_suffix_dedup_spans"))
-    joined = _squeezed(named).join(found, list(hidden), "left").drop(*hidden)
-    from pyspark.sql.types import ArrayType, LongType
     span = StructType([StructField("a", LongType()), StructField("b", LongType())])
     schema = StructType([*docs.schema.fields, StructField("spans", ArrayType(span))])
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
-    def run(batches):
-        for b in batches:
-            texts = [None if t is None else zlib.decompress(t).decode() for t in b.column("text").to_pylist()]
-            spans = []
-            for xs in b.column("_suffix_dedup_spans").to_pylist():
-                apart: list[dict] = []
-                for x in sorted(xs or [], key=lambda x: x["a"]):
-                    if apart and x["a"] <= apart[-1]["b"]:
-                        apart[-1]["b"] = max(apart[-1]["b"], x["b"])
-                    else:
-                        apart.append(x)
-                spans.append(apart)
-            columns = {"text": pa.array(texts, pa.string()), "spans": pa.array(spans, kind)}
-            yield pa.RecordBatch.from_arrays([columns[n] if n in columns else b.column(n) for n in schema.names],
-                                             schema.names)
+    def columns(raw, spans, _):
+        return {"text": pa.array([None if r is None else r.decode() for r in raw], pa.string()),
+                "spans": pa.array(spans, kind)}
 
-    return joined.mapInArrow(run, schema)
+    return each_text(_joined(docs, length, crowd), schema, columns)
 
 
 def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
@@ -372,47 +404,35 @@ def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = 4096) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (whole characters
     only) and ``n_chars``, if there is one, counted anew.  Cases as for
     ``repeats``; a text of which nothing is left is empty."""
-    schema = StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields])
+    schema = docs.schema
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                if spans:
-                    raw = text.encode()
-                    text = kept_bytes(raw, whole_characters(raw, spans)).decode()
-                texts.append(text)
-            columns = {"text": pa.array(texts, pa.string())}
-            if "n_chars" in schema.names:
-                old = b.column("n_chars")
-                columns["n_chars"] = pa.array([n if not s else len(t) for n, s, t in zip(
-                    old.to_pylist(), b.column("spans").to_pylist(), texts)], old.type)
-            yield pa.RecordBatch.from_arrays([columns[n] if n in columns else b.column(n) for n in schema.names],
-                                             schema.names)
-
-    return repeats(docs, length).mapInArrow(run, schema)
+    def columns(raw, spans, b):
+        texts = [None if r is None else kept_bytes(r, whole_characters(r, s)).decode() for r, s in zip(raw, spans)]
+        made = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in schema.names:
+            old = b.column("n_chars")
+            made["n_chars"] = pa.array([n if not s else len(t) for n, s, t in zip(old.to_pylist(), spans, texts)], old.type)
+        return made
+
+    return each_text(_joined(docs, length, crowd), schema, columns)
 
 
 def op7_suffix_array_dedup(spark, sf_dir):
     """What repeated 200-byte strings leave of every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                raw = (text or "").encode()
-                rows.append((len(raw), sum(s["b"] - s["a"] for s in spans), len(spans),
-                             hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
-            n, removed, count, sha = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(count, pa.int64()), pa.array(sha, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return repeats(docs).mapInArrow(
-        run, "doc_id LONG, n_bytes LONG, n_removed LONG, n_spans LONG, kept_sha256 STRING")
+    def columns(raw, spans, _):
+        raw = [r or b"" for r in raw]
+        sha = [hashlib.sha256(kept_bytes(r, s)).hexdigest() for r, s in zip(raw, spans)]
+        return {"n_bytes": pa.array([len(r) for r in raw], pa.int64()),
+                "n_removed": pa.array([sum(x["b"] - x["a"] for x in s) for s in spans], pa.int64()),
+                "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType),
+                         *[StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
+                         StructField("kept_sha256", StringType())])
+    return each_text(_joined(docs, LENGTH, 4096), schema, columns)
