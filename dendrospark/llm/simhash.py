@@ -142,7 +142,8 @@ def links(fps: DataFrame, work: Scratch, radius: int = RADIUS, bucket: int = 64)
     if not 0 <= radius <= 2:
         raise ValueError("Golay keys of this layout cover 0 to 2 differing bits")
     keys = work.put(candidate_keys(fps), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that Spark can split a hot key of the join
+    sizes = work.put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     met = work.put(keys.join(sizes, "key"), "met")
     small = met.where(F.col("n") <= bucket)
     x = small.select("key", F.col("fp").alias("f1"), F.col("rep").alias("a"))

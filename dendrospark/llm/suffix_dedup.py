@@ -215,7 +215,7 @@ def sort_contexts(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
     return contexts.select(bucket, "key", "ctx", "bytes").groupBy("bucket").applyInArrow(run, COVERED)
 
 
-def match_crowded(contexts: DataFrame, length: int) -> DataFrame:
+def match_crowded(contexts: DataFrame, length: int, work: Scratch) -> DataFrame:
     """The same for keys with more contexts than one task should hold: digests
     of all windows are counted in a shuffle."""
     def windows(batches):
@@ -228,7 +228,7 @@ def match_crowded(contexts: DataFrame, length: int) -> DataFrame:
                      pa.array(d[::2]), pa.array(d[1::2])], ["key", "ctx", "i", "h1", "h2"])
 
     w = contexts.select("key", "ctx", "bytes").mapInArrow(windows, "key LONG, ctx LONG, i INT, h1 LONG, h2 LONG")
-    often = w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = work.put(w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows")
     hit = w.join(often, ["h1", "h2"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_set("i")).alias("at"))
 
     def ranges(batches):
@@ -301,12 +301,14 @@ def text_spans(docs: DataFrame, work: Scratch, length: int = LENGTH, crowd: int
     as ranges of bytes that may overlap.  Texts without any are left out."""
     named = _named(docs.select("text")).where(F.octet_length("text") >= length)
     rows = anchor_rows(named, length)
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a table of its own: both sides of the join are then shuffles that Spark can
+    # split where a key is hot
+    often = work.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     met = work.put(rows.join(often, "key"), "met")
     place = F.struct("t1", "t2", "start", "more")
     contexts = met.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
     contexts = work.put(contexts, "contexts")
-    kinds = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = work.put(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     contexts = contexts.join(kinds, "key")
     full = contexts.where("n > 1").select(
         "key", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.more") + length).alias("b"))).alias("spans"))
@@ -314,7 +316,7 @@ def text_spans(docs: DataFrame, work: Scratch, length: int = LENGTH, crowd: int
     fetched = work.put(_contexts(_squeezed(named), wanted, length), "fetched")
     sizes = fetched.agg(F.count(F.lit(1))).first()[0]
     sorted_ = sort_contexts(fetched.where("NOT crowded"), length, blocks_for(sizes, 2048))
-    covered = sorted_.unionByName(match_crowded(fetched.where("crowded"), length)).unionByName(full)
+    covered = sorted_.unionByName(match_crowded(fetched.where("crowded"), length, work)).unionByName(full)
     # a context that occurs several times is covered whole; joined once more,
     # that range takes in the sorted ones
     hit = met.join(covered, ["key", "ctx"]).select("t1", "t2", "start", F.explode("spans").alias("s"))
