@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from dendrospark.llm import langid, packing, simhash, suffix_dedup, toxicity
 from dendrospark.llm.common import fold, scratch, table
 
-#: A document whose n-grams share less than this with every language profile
-#: (of a largest possible 1) is in no language that was learned.
-LEAST_LANGUAGE = 0.1
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score reaches the threshold of their language.
@@ -29,9 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or in none of the languages that the
-    documents outside fold 2 of 4 are marked with."""
-    profiles = langid.learn(docs.where(fold("doc_id", 4) != 2))
-    return langid.identify(docs, profiles, keep_from=LEAST_LANGUAGE)
+    documents outside fold 2 of 4 are marked with: those below the floor of the
+    language they resemble most, which the same documents set."""
+    known = docs.where(fold("doc_id", 4) != 2)
+    profiles = langid.learn(known)
+    return langid.identify(docs, profiles, keep_from=langid.floors(known, profiles))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

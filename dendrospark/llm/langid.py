@@ -85,20 +85,27 @@ def classify(text: str, p: Profiles) -> tuple[str, float]:
     return p.languages[best], float(1 - away[best] / (p.size * len(top)))
 
 
-def learn(docs: DataFrame, size: int = 300, per_language: int = 8192) -> Profiles:
-    """Profiles of the languages in ``lang``, from about ``per_language``
-    documents of each: those with the smallest hash of ``doc_id``.  Only the
-    profiles, ``size`` rows a language, reach the driver.  Rows without a
-    language or a text teach nothing."""
+def _sample(docs: DataFrame, per_language: int) -> DataFrame | None:
+    """``lang, text`` of about ``per_language`` documents of each language:
+    those with the smallest hash of ``doc_id``.  None if no row has both."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return Profiles([], np.zeros(0, np.int64), np.full((1, 0), size, np.int64), size)
+        return None
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n)))
                          for x, n in sorted(counts.items())])
     # the top 53 bits of a hash of the id, as a fraction
     at = F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id"), 11) / F.lit(float(1 << 53))
-    chosen = known.where(at <= share).select("lang", "text")
+    return known.where(at <= share).select("lang", "text")
+
+
+def learn(docs: DataFrame, size: int = 300, per_language: int = 8192) -> Profiles:
+    """Profiles of the languages in ``lang``, from about ``per_language``
+    documents of each.  Only the profiles, ``size`` rows a language, reach the
+    driver.  Rows without a language or a text teach nothing."""
+    chosen = _sample(docs, per_language)
+    if chosen is None:
+        return Profiles([], np.zeros(0, np.int64), np.full((1, 0), size, np.int64), size)
 
     def run(batches):
         found: dict[str, list] = {}
@@ -126,18 +133,34 @@ def learn(docs: DataFrame, size: int = 300, per_language: int = 8192) -> Profile
     return profiles_of([(r["lang"], r["gram"], r["rank"]) for r in top.select("lang", "gram", "rank").collect()], size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep_from: float | None = None) -> DataFrame:
+def floors(docs: DataFrame, profiles: Profiles, per_language: int = 8192) -> dict[str, float]:
+    """Of each language, the score that its own texts stay above: as far below
+    the median as four standard deviations, where the distance from the median
+    to the lowest hundredth is 2.326 of them; a few rows with a wrong mark do
+    not move it.  From the documents that were learned, where mark and
+    judgement agree; a language with none has no entry."""
+    chosen = _sample(docs, per_language)
+    if chosen is None:
+        return {}
+    agreed = identify(chosen, profiles).where("lang = lang_pred")
+    rows = agreed.groupBy("lang").agg(F.percentile("score", [0.01, 0.5]).alias("q")).collect()
+    return {r["lang"]: r["q"][1] - (r["q"][1] - r["q"][0]) * 4 / 2.326 for r in rows}
+
+
+def identify(docs: DataFrame, profiles: Profiles, keep_from: float | dict[str, float] | None = None) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``, judged from
     ``text`` alone; columns of ``docs`` by these names are replaced.
 
     Null, empty or letterless text: ``und``, score 0.  With ``keep_from``, only
-    rows of a known language and at least that score are returned, with the
+    rows of a known language and at least that score (that of the language, if
+    it is a dict; a language without one keeps no row) are returned, with the
     columns of ``docs`` alone.  Repeated rows and null ids are judged like
     others; an empty table gives an empty result.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
     filtering = keep_from is not None
     own = [f for f in docs.schema.fields if filtering or f.name not in ("lang_pred", "score")]
+    least = keep_from if isinstance(keep_from, dict) else dict.fromkeys(profiles.languages, keep_from)
     schema = StructType(own if filtering else [*own, StructField("lang_pred", StringType()),
                                                StructField("score", DoubleType())])
 
@@ -145,7 +168,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep_from: float | None = None
         for b in batches:
             found = [classify(t or "", profiles) for t in b.column("text").to_pylist()]
             if filtering:
-                yield b.filter(pa.array([x != UNKNOWN and s >= keep_from for x, s in found], pa.bool_()))
+                yield b.filter(pa.array([s >= least.get(x, np.inf) for x, s in found], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(f.name) for f in own], pa.array([x for x, _ in found], pa.string()),

@@ -1,5 +1,6 @@
 """Classifiers and the language model: held-out quality, whole texts, cases."""
 
+import base64
 import collections
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dendrospark.llm import class_lm, langid, toxicity
 from dendrospark.llm.common import scratch, table
 
@@ -80,6 +82,31 @@ def test_language_cases(spark, profiles):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+FOREIGN = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+              "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve "
+               "birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu "
+               "järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "letters": " ".join("".join(np.random.default_rng(k).choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for k in range(60)),
+    "base64": base64.b64encode(np.random.default_rng(2).bytes(600)).decode(),
+    "digits": "0123 456 -- 789",
+}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", SF])
+def test_pipeline_drops_foreign_and_junk_texts_alone(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(FOREIGN.values())], CASE_SCHEMA)
+    all_docs = docs.union(planted.select(*docs.columns))
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, all_docs, sf).select("doc_id").collect()}
+    assert [n for i, n in enumerate(FOREIGN) if -1 - i in kept] == []
+    own = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert len(own - kept) <= len(own) / 500
+
+
 # --------------------------------------------------------------------- toxicity
 def test_toxicity_of_held_out_documents(spark):
     got = {r.doc_id: r for r in toxicity.op2_toxicity(spark, SF).collect()}
