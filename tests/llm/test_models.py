@@ -159,6 +159,22 @@ def test_toxicity_cases(spark, net):
     assert {r.predicted for r in toxicity.score(docs, toxicity.learn(docs, one)).selectExpr("int(score >= 0.3) AS predicted").collect()} == {0}
 
 
+def test_threshold_of_the_best_f1_may_lie_below_an_even_chance():
+    rng = np.random.default_rng(3)
+    y = (rng.random(4000) < 0.2).astype(int)
+    z = rng.normal(1.5 * y, 1.0)                     # overlapping scores: the best F1 is far from 1
+    net = toxicity.Network(np.zeros((1, 1)), [], [], np.zeros(0))
+    toxicity._calibrate(net, z, y, np.array(["en"] * 4000), np.ones(4000))
+    score = net.probability(z)
+
+    def f1(at):
+        return 2 * (y * (score >= at)).sum() / (y.sum() + (score >= at).sum())
+
+    assert net.thresholds["en"] < 0.5
+    assert f1(net.thresholds["en"]) == pytest.approx(max(map(f1, score)))
+    assert f1(net.thresholds["en"]) > f1(0.5)
+
+
 # --------------------------------------------------------------- language model
 def test_base_score_and_gain_on_held_out(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
