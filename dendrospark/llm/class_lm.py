@@ -10,9 +10,11 @@ words: emission within the class, mixed with the plain word frequency.  The
 factor c(w) + a is the same in both, so a text's score is a sum over its words'
 counts plus a sum over its class bigrams.
 
-Word counts come from all training texts.  The exchange moves *units*: each of
-the most frequent words by itself, and the other words by their last bytes (so
-that a word that was never seen has a class, too).  Counts of the common words
+Word counts come from all training texts.  The exchange on the driver moves
+*units*: each of the most frequent words by itself, and the other words by their
+last bytes.  Every other word then gets the class of its own that the same gain
+finds best, from its neighbours' counts in a shuffle; the endings' classes are
+left to words that training never saw.  Counts and classes of the common words
 go to the tasks in a table of bounded size; those of all others are joined in a
 shuffle, where no key is frequent.
 """
@@ -25,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,6 +145,10 @@ def vocabulary(counts: DataFrame, common: int, units: int, suffixes: int) -> Voc
                       int(n), int(v))
 
 
+def end_unit(v: Vocabulary) -> int:
+    return v.words.index(END) if END in v.words[:v.n_units] else Encoder(v).unit(END)
+
+
 def encoded_corpus(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """Units of all training texts one after another, many texts to a row."""
     held = docs.sparkSession.sparkContext.broadcast(v)
@@ -235,18 +242,33 @@ class Model(NamedTuple):
     classes: np.ndarray          # of each unit
     mix: np.ndarray              # log10 of the factor beside c(w) + ADD, by class before and class
     end_class: int
+    own: np.ndarray | None = None    # classes of the common words, where they have their own
+
+    def of_places(self, encoder: Encoder) -> np.ndarray:
+        """Classes of the common words by place."""
+        return self.classes[encoder.unit_of] if self.own is None else self.own
+
+
+def mixed(v: Vocabulary, transitions: np.ndarray, mass: np.ndarray, kinds: np.ndarray, share: float) -> np.ndarray:
+    """``Model.mix`` from the counts of class bigrams, of the tokens and of the
+    different words of each class."""
+    prior = (mass + 1) / (mass + 1).sum()
+    smooth = (transitions + 10 * prior) / (transitions.sum(axis=1, keepdims=True) + 10)
+    # each class, like the whole, keeps the mass of one word that was never seen
+    return np.log10(share * smooth / (mass + ADD * (kinds + 1)) + (1 - share) / (v.n + ADD * (v.v + 1)))
 
 
 def learn(docs: DataFrame, work: Scratch, n_classes: int = 64, sweeps: int = 4, share: float = 0.9,
           common: int = 1 << 18, units: int = 8192, suffixes: int = 4096) -> tuple[Model, DataFrame]:
-    """Model and table of counts from all texts of ``docs``.  ``common`` bounds
-    the words that are sent to tasks, ``units`` and ``suffixes`` those that the
-    exchange moves."""
+    """Model of the units and table of counts from all texts of ``docs``.
+    ``common`` bounds the words that are sent to tasks, ``units`` and
+    ``suffixes`` those that the exchange moves; classes_of_words() gives the
+    other words their own class."""
     counts = work.put(count_words(docs), "counts")
     v = vocabulary(counts, common, units, suffixes)
     classes = np.arange(v.units, dtype=np.int64) % n_classes
     transitions = np.zeros((n_classes, n_classes))
-    end = v.words.index(END) if END in v.words[:v.n_units] else Encoder(v).unit(END)
+    end = end_unit(v)
     if v.n:
         corpus = work.put(encoded_corpus(docs, v), "corpus")
         for i in range(sweeps + 1):
@@ -256,28 +278,258 @@ def learn(docs: DataFrame, work: Scratch, n_classes: int = 64, sweeps: int = 4,
         np.add.at(transitions, classes, around[:, :n_classes].astype(float))
     mass = np.bincount(classes, weights=v.unit_counts, minlength=n_classes)
     kinds = np.bincount(classes, weights=v.unit_types, minlength=n_classes)
-    prior = (mass + 1) / (mass + 1).sum()
-    smooth = (transitions + 10 * prior) / (transitions.sum(axis=1, keepdims=True) + 10)
-    # each class, like the whole, keeps the mass of one word that was never seen
-    mix = np.log10(share * smooth / (mass + ADD * (kinds + 1)) + (1 - share) / (v.n + ADD * (v.v + 1)))
-    return Model(v, classes, mix, int(classes[end])), counts
+    return Model(v, classes, mixed(v, transitions, mass, kinds, share), int(classes[end]), None), counts
+
+
+def contexts(docs: DataFrame, model: Model, most: int = 1 << 19) -> DataFrame:
+    """``(word BINARY, code ARRAY<SHORT>, n ARRAY<INT>)``: how often each class
+    follows (code: the class) and precedes (classes + the class) every word
+    that is no unit, in parts of about ``most`` neighbours."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = held.value
+        encoder, c, n_units = Encoder(m.vocabulary), len(m.mix), m.vocabulary.n_units
+        names: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+
+        def flushed():
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            starts = pa.array(np.searchsorted(key, np.arange(len(names) + 1) * 2 * c), pa.int32())
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(names), pa.binary()),
+                 pa.ListArray.from_arrays(starts, pa.array((key % (2 * c)).astype(np.int16))),
+                 pa.ListArray.from_arrays(starts, pa.array(n.astype(np.int32)))], ["word", "code", "n"])
+            names.clear()
+            keys.clear()
+            return out
+
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                words = [END]                                   # a row begins with a text
+                words += (w for t in b.column("text").slice(i, 512).to_pylist() for w in tokens(t))
+                at, units = encoder.encode(words)
+                cls = m.classes[units]
+                other = np.flatnonzero((at < 0) | (at >= n_units))
+                name = np.fromiter((names.setdefault(words[k], len(names)) for k in other.tolist()), np.int64, len(other))
+                follow, precede = other < len(words) - 1, other > 0
+                keys += [name[follow] * 2 * c + cls[other[follow] + 1], name[precede] * 2 * c + c + cls[other[precede] - 1]]
+                if names and sum(map(len, keys)) > most:
+                    yield flushed()
+        if names:
+            yield flushed()
+
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "word BINARY, code ARRAY<SHORT>, n ARRAY<INT>")
+
+
+def best_classes(around: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The class that exchange() would move each word to, by itself, from its
+    class ``own``; ``after`` and ``before`` count the classes that follow and
+    precede each class."""
+    c = len(after)
+    right, left, total = around[:, :c], around[:, c:], after.sum(axis=1)
+    size = right.sum(axis=1)
+    gain = (right @ np.log(after + 0.5).T + left @ np.log(before + 0.5).T
+            - 2 * size[:, None] * np.log(total + 1))
+    gain[np.arange(len(own)), own] = (
+        (right * np.log(after[own] - right + 0.5)).sum(axis=1) + (left * np.log(before[own] - left + 0.5)).sum(axis=1)
+        - 2 * size * np.log(total[own] - size + 1))
+    return np.argmax(gain, axis=1)
+
+
+def assigned(parts: DataFrame, model: Model, after: np.ndarray, before: np.ndarray) -> DataFrame:
+    """``(word BINARY, n LONG, class INT)`` of every word of contexts()."""
+    held = parts.sparkSession.sparkContext.broadcast((model, after, before))
+
+    def run(batches):
+        m, after, before = held.value
+        encoder, c = Encoder(m.vocabulary), len(m.mix)
+        last, sums = None, np.zeros((1, 2 * c))                 # of the word that the batch before ended with
+
+        def row(names, around):
+            own = m.classes[np.array([encoder.unit(w) for w in names], dtype=np.int64)]
+            best = best_classes(around, own, after, before)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(around[:, :c].sum(axis=1).astype(np.int64)),
+                                               pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                b = batch.slice(i, 4096)
+                words = b.column("word").to_pylist()
+                names = [w for w, x in zip(words, [last, *words]) if w != x]
+                first = 0 if last is None else 1                # row 0 is that of the word before
+                group = np.cumsum([w != x for w, x in zip(words, [last, *words])]) + first - 1
+                at = np.repeat(group, pc.list_value_length(b.column("code")).to_numpy()) * 2 * c
+                around = np.bincount(at + b.column("code").flatten().to_numpy(), weights=b.column("n").flatten().to_numpy(),
+                                     minlength=(len(names) + first) * 2 * c).reshape(-1, 2 * c)
+                if first:
+                    names.insert(0, last)
+                    around[0] += sums[0]
+                last, sums = names[-1], around[-1:]
+                if len(names) > 1:
+                    yield row(names[:-1], around[:-1])
+        if last is not None:
+            yield row([last], sums)
+
+    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word BINARY, n LONG, class INT")
+
+
+def open_pairs(flat: list[bytes], at: np.ndarray, cls: np.ndarray, starts: np.ndarray, owner: np.ndarray, owners: int,
+               end_class: int) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, list[int]]]]:
+    """Classes before and of each token, where -1 - k stands for the k-th rare
+    word of the token's owner; and each owner's rare words, with k and times."""
+    rare: list[dict[bytes, list[int]]] = [{} for _ in range(owners)]
+    code = cls.copy()
+    unknown = np.flatnonzero(at < 0)
+    for o, j in zip(owner[unknown].tolist(), unknown.tolist()):
+        k = rare[o].setdefault(flat[j], [len(rare[o]), 0])
+        k[1] += 1
+        code[j] = -1 - k[0]
+    before = np.concatenate(([end_class], code[:-1]))
+    before[starts] = end_class                                  # a text follows an end
+    return before, code, rare
+
+
+def lists(rows: list, kind) -> pa.Array:
+    return pa.array(rows, pa.list_(kind))
+
+
+def cut(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One list of the given length after another."""
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.astype(np.int32)))
+
+
+def with_found(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``found``: place in ``keys``, count and class (-1: none) of the keys that
+    the lookup table holds."""
+    keys = rows.select("row", F.posexplode("keys").alias("k", "word"))
+    found = keys.join(lookup, "word").groupBy("row").agg(
+        F.collect_list(F.struct("k", "n", F.coalesce("class", F.lit(-1)).alias("class"))).alias("found"))
+    return rows.join(found, "row", "left")
+
+
+def found_in(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's keys begin among all; of ``found``, the place among all
+    keys, count and class."""
+    lengths = pc.list_value_length(b.column("keys")).to_numpy()
+    first = np.cumsum(lengths) - lengths
+    parent = np.repeat(first, pc.fill_null(pc.list_value_length(b.column("found")), 0).to_numpy(zero_copy_only=False))
+    k, n, cls = (x.to_numpy().astype(np.int64) for x in b.column("found").flatten().flatten())
+    return first, parent + k, n, cls
+
+
+def resolved(b: pa.RecordBatch, name: str, first: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and class of each entry of a list of classes and rare words."""
+    row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(name)).to_numpy())
+    x = b.column(name).flatten().to_numpy().astype(np.int64)
+    out = x.copy()
+    out[x < 0] = cls[first[row[x < 0]] - 1 - x[x < 0]]
+    return row, out
+
+
+def class_bigrams(docs: DataFrame, model: Model, lookup: DataFrame, work: Scratch) -> np.ndarray:
+    """How often each class follows each, with every word in its own class."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    c = len(model.mix)
+
+    def read(batches):
+        m = held.value
+        encoder, row = Encoder(m.vocabulary), TaskContext.get().partitionId() << 40
+        places, known = m.of_places(encoder), np.zeros(c * c, dtype=np.int64)
+
+        def record(rare, first, second, known):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([row]), lists([list(rare)], pa.binary()), cut(first, np.array([len(first)])),
+                 cut(second, np.array([len(second)])), lists([known], pa.int64())],
+                ["row", "keys", "first", "second", "known"])
+
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                texts = [tokens(t) for t in b.column("text").slice(i, 512).to_pylist()]
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                flat = [w for t in texts for w in t]
+                at, units = encoder.encode(flat)
+                before, code, rare = open_pairs(flat, at, places[at], np.cumsum(n) - n, np.zeros(len(flat), np.int64), 1,
+                                                m.end_class)
+                left = (before < 0) | (code < 0)
+                known += np.bincount(before[~left] * c + code[~left], minlength=c * c)
+                if left.any():
+                    yield record(rare[0], before[left], code[left], [])
+                    row += 1
+        yield record([], np.zeros(0), np.zeros(0), known)
+
+    def add(batches):
+        total = np.zeros(c * c, dtype=np.int64)
+        for b in batches:
+            total += b.column("known").flatten().to_numpy().reshape(-1, c * c).sum(axis=0)
+            first, at, _, found = found_in(b)
+            cls = np.zeros(int(pc.sum(pc.list_value_length(b.column("keys"))).as_py() or 0), dtype=np.int64)
+            cls[at] = found
+            total += np.bincount(resolved(b, "first", first, cls)[1] * c + resolved(b, "second", first, cls)[1], minlength=c * c)
+        yield pa.RecordBatch.from_arrays([lists([total], pa.int64())], ["total"])
+
+    rows = work.put(docs.select(whole_text().alias("text")).mapInArrow(
+        read, "row LONG, keys ARRAY<BINARY>, first ARRAY<INT>, second ARRAY<INT>, known ARRAY<LONG>"), "bigrams")
+    sums = with_found(rows, lookup).mapInArrow(add, "total ARRAY<LONG>")
+    return sum((np.array(r["total"], dtype=float) for r in sums.toLocalIterator()), np.zeros(c * c)).reshape(c, c)
+
+
+def classes_of_words(docs: DataFrame, model: Model, work: Scratch, share: float = 0.9) -> tuple[Model, DataFrame]:
+    """The model with a class for every word of ``docs``, the texts that it was
+    learned from with the same ``work``, and a table ``(word, n, class)`` of the words that are no
+    units.  Under END and an ending, it also has the class with the most tokens
+    of each ending that is no unit."""
+    v, c = model.vocabulary, len(model.mix)
+    spark = docs.sparkSession
+    if not v.n:
+        return model, spark.createDataFrame([], "word BINARY, n LONG, class INT")
+    around = neighbours(work.get("corpus"), model.classes, c, end_unit(v))
+    work.drop("corpus")
+    after, before = np.zeros((c, c)), np.zeros((c, c))
+    np.add.at(after, model.classes, around[:, :c].astype(float))
+    np.add.at(before, model.classes, around[:, c:].astype(float))
+    words = work.put(assigned(contexts(docs, model), model, after, before), "classes")
+
+    least = int(v.counts[-1]) if len(v.counts) else v.n + 1
+    # the common words in the order of the vocabulary: only their classes reach the driver
+    common = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("class").toArrow()
+    own = np.concatenate((model.classes[:v.n_units], common.column("class").to_numpy(),
+                          np.zeros(int(not v.words)))).astype(np.int64)
+    end_class = (int(own[v.words.index(END)]) if END in v.words
+                 else words.where(F.col("word") == F.lit(END)).first()["class"])
+
+    mass = np.bincount(own[:v.n_units], weights=v.counts[:v.n_units], minlength=c)
+    kinds = np.bincount(own[:v.n_units], minlength=c).astype(float)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        mass[r["class"]] += r["n"]
+        kinds[r["class"]] += r["kinds"]
+    ending = F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")
+    tails = (words.groupBy(ending.alias("s"), "class").agg(F.sum("n").alias("n")).groupBy("s")
+             .agg(F.max_by("class", F.struct("n", "class")).alias("class"))
+             .select(F.concat(F.lit(END), "s").alias("word"), F.lit(0).cast("long").alias("n"), "class"))
+    model = model._replace(own=own, end_class=end_class)
+    less = words.where(F.col("n") < least)
+    model = model._replace(mix=mixed(v, class_bigrams(docs, model, less, work), mass, kinds, share))
+    return model, work.put(less.unionByName(tails), "lookup")
 
 
 SCORED = ("row LONG, doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG, log_counts DOUBLE, "
-          "log_mix DOUBLE, rare ARRAY<BINARY>, times ARRAY<INT>")
+          "log_mix DOUBLE, keys ARRAY<BINARY>, times ARRAY<INT>, slot ARRAY<INT>, ending ARRAY<INT>, "
+          "first ARRAY<INT>, second ARRAY<INT>")
 
 
 def score_common(docs: DataFrame, model: Model) -> DataFrame:
-    """What a task knows of each document by itself, and the words whose count
-    it does not know."""
+    """What a task knows of each document by itself; the words whose count it
+    does not know with the class of their ending, and the pairs of classes with
+    such words.  An ending that is no unit is a key too, 0 times, with the word
+    that has it as ``slot``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("log_counts", pa.float64()), ("log_mix", pa.float64()),
-                        ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
     def run(batches):
         m = held.value
         encoder, row = Encoder(m.vocabulary), TaskContext.get().partitionId() << 40
+        places = m.of_places(encoder)
         # one more entry, for the place -1: counted later
         log_count = np.concatenate((np.log10(m.vocabulary.counts + ADD), [0.0]))
         for b in batches:
@@ -288,20 +540,24 @@ def score_common(docs: DataFrame, model: Model) -> DataFrame:
                 starts = np.cumsum(n) - n
                 flat = [w for t in texts for w in t]
                 at, units = encoder.encode(flat)
-                cls = m.classes[units]
-                before = np.concatenate(([m.end_class], cls[:-1]))     # a text follows an end
-                unknown = np.flatnonzero(at < 0)
-                owner = np.searchsorted(starts, unknown, side="right") - 1
-                rare = [Counter() for _ in texts]
-                for k, j in zip(owner.tolist(), unknown.tolist()):
-                    rare[k][flat[j]] += 1
+                before, code, rare = open_pairs(flat, at, places[at], starts, np.repeat(np.arange(len(texts)), n),
+                                                len(texts), m.end_class)
+                left = (before < 0) | (code < 0)
+                pairs = np.add.reduceat(left.astype(np.int64), starts)
+                more = [[w for w in r if w[-SUFFIX:] not in encoder.suffix] for r in rare]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + len(texts))), part.column("doc_id"), part.column("held_out"),
                     pa.array(n), pa.array(np.add.reduceat((at >= 0).astype(np.int64), starts)),
                     pa.array(np.add.reduceat(log_count[at], starts)),
-                    pa.array(np.add.reduceat(m.mix[before, cls], starts)),
-                    pa.array([list(r) for r in rare], pa.list_(pa.binary())),
-                    pa.array([list(r.values()) for r in rare], pa.list_(pa.int32()))], schema=schema)
+                    pa.array(np.add.reduceat(
+                        np.where(left, 0.0, m.mix[np.maximum(before, 0), np.maximum(code, 0)]), starts)),
+                    lists([[*r, *(END + w[-SUFFIX:] for w in x)] for r, x in zip(rare, more)], pa.binary()),
+                    lists([[*(k[1] for k in r.values()), *(0 for _ in x)] for r, x in zip(rare, more)], pa.int32()),
+                    lists([[*range(len(r)), *(r[w][0] for w in x)] for r, x in zip(rare, more)], pa.int32()),
+                    lists([[int(m.classes[encoder.unit(w)]) for w in (*r, *x)] for r, x in zip(rare, more)], pa.int32()),
+                    cut(before[left], pairs), cut(code[left], pairs)],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_mix", "keys", "times",
+                     "slot", "ending", "first", "second"])
                 row += len(texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", whole_text().alias("text")).mapInArrow(
@@ -310,7 +566,9 @@ def score_common(docs: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, work: Scratch) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    perplexity`` of ``(doc_id, held_out, text)``.
+    perplexity`` of ``(doc_id, held_out, text)``.  ``counts`` is the table of
+    learn(), where rare words have the class of their ending, or of
+    classes_of_words().
 
     Null or empty text: the end alone.  Null doc_ids and repeated rows are
     scored like others; an empty table gives an empty result; with nothing to
@@ -319,19 +577,38 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, work: Scratch) -> Da
     v = model.vocabulary
     least = int(v.counts[-1]) if len(v.counts) else 1
     scored = work.put(score_common(docs, model), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     less = counts.where(F.col("n") < least) if len(v.counts) else counts
-    found = rare.join(less, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("logs"))
-    whole = scored.drop("rare", "times").join(found, "row", "left")
-    logs = F.col("log_counts") + F.coalesce("logs", F.lit(0.0))
-    score_ = logs + F.col("log_mix")
+    if "class" not in less.columns:
+        less = less.withColumn("class", F.lit(None).cast("int"))
+    mix = docs.sparkSession.sparkContext.broadcast(model.mix)
+
+    def run(batches):
+        for b in batches:
+            first, at, n, found = found_in(b)
+            times, slot, cls = (b.column(x).flatten().to_numpy().astype(np.int64) for x in ("times", "slot", "ending"))
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("keys")).to_numpy())
+            count, cls = np.zeros(len(cls), dtype=np.int64), cls.copy()
+            count[at] = n
+            whole = times[at] > 0
+            for these in (~whole & (found >= 0), whole & (found >= 0)):     # a word's own class replaces its ending's
+                cls[first[row[at[these]]] + slot[at[these]]] = found[these]
+            owner, before = resolved(b, "first", first, cls)
+            pairs = mix.value[before, resolved(b, "second", first, cls)[1]]
+            sums = [np.bincount(row, weights=times * (count > 0), minlength=b.num_rows).astype(np.int64),
+                    np.bincount(row, weights=times * np.log10(count + ADD), minlength=b.num_rows),
+                    np.bincount(owner, weights=pairs, minlength=b.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), b.column("n_tokens"),
+                 pc.add(b.column("n_known"), pa.array(sums[0])), pc.add(b.column("log_counts"), pa.array(sums[1])),
+                 pc.add(b.column("log_mix"), pa.array(sums[2]))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "log_mix"])
+
+    whole = with_found(scored, less).mapInArrow(
+        run, "doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG, logs DOUBLE, log_mix DOUBLE")
+    score_ = F.col("logs") + F.col("log_mix")
     return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(v.n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(float(np.log10(v.n + ADD * (v.v + 1))))).alias("base_score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(v.n + ADD * (v.v + 1))))).alias("base_score"),
         score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"))
 
 
@@ -339,5 +616,7 @@ def op5_class_lm(spark, sf_dir):
     """Scores of all documents; learned outside fold 0 of 10."""
     work = scratch(spark, "class-lm")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 10) == 0).alias("held_out"))
-    model, counts = learn(docs.where("NOT held_out"), work)
-    return score(docs, model, counts, work)
+    known = docs.where("NOT held_out")
+    model, _ = learn(known, work)
+    model, words = classes_of_words(known, model, work)
+    return score(docs, model, words, work)

@@ -224,6 +224,87 @@ def test_model_is_a_distribution_however_small_the_tables(spark, bounds):
         assert got[d].perplexity == pytest.approx(10 ** (-want / len(own)))
 
 
+@pytest.mark.parametrize("bounds", [{}, {"common": 12, "units": 8, "suffixes": 3}, {"common": 40, "units": 8, "suffixes": 0}])
+def test_every_word_has_the_class_of_the_best_gain(spark, bounds):
+    corpus = [(d, t, d % 10 == 0) for d, t in [*small_corpus(), (120, None), (121, "a1 b2 zzza3 zzzqqqq a1"), (130, "new 9zza1 a1")]]
+    docs = spark.createDataFrame(corpus, "doc_id LONG, text STRING, held_out BOOLEAN").repartition(3)
+    work = scratch(spark, "t")
+    known = docs.where("NOT held_out")
+    start, counts = class_lm.learn(known, work, n_classes=4, sweeps=3, **bounds)
+    model, table_ = class_lm.classes_of_words(known, start, work)
+    c = {bytes(r.word): r.n for r in counts.collect()}
+    v, encoder = model.vocabulary, class_lm.Encoder(model.vocabulary)
+    units = dict(zip(c, encoder.encode(list(c))[1]))
+    stand_in = {w: int(start.classes[u]) for w, u in units.items()}
+    texts = [class_lm.tokens(t or "") for _, t, h in corpus if not h]
+    pairs = [(x, y) for t in texts for x, y in zip([class_lm.END, *t], t)]
+    after, before = np.zeros((4, 4)), np.zeros((4, 4))
+    around = {w: np.zeros(8) for w in c}
+    for x, y in pairs:
+        after[stand_in[x], stand_in[y]] += 1
+        before[stand_in[y], stand_in[x]] += 1
+        around[x][stand_in[y]] += 1
+        around[y][4 + stand_in[x]] += 1
+    want = {}
+    for w in c:
+        if w in v.words[:v.n_units]:
+            want[w] = stand_in[w]
+            continue
+        r, f, own, gain = around[w][:4], around[w][4:], stand_in[w], []
+        for k in range(4):
+            less = k == own
+            gain.append(r @ np.log(after[k] - less * r + 0.5) + f @ np.log(before[k] - less * f + 0.5)
+                        - 2 * r.sum() * np.log(after[k].sum() - less * r.sum() + 1))
+        want[w] = int(np.argmax(gain))
+    got = dict(zip(v.words, model.own.tolist()))
+    assert {w: got[w] for w in v.words} == {w: want[w] for w in v.words}
+    least = int(v.counts[-1]) if len(v.counts) else v.n + 1
+    rows = {bytes(r.word): r for r in table_.collect()}
+    rest = {w: r for w, r in rows.items() if w == class_lm.END or not w.startswith(class_lm.END)}
+    assert {w: (r.n, r["class"]) for w, r in rest.items()} == {w: (n, want[w]) for w, n in c.items() if n < least}
+
+    # the transitions are those of the words' own classes, and the model is a distribution
+    after, mass, kinds = np.zeros((4, 4)), np.zeros(4), np.zeros(4)
+    for x, y in pairs:
+        after[want[x], want[y]] += 1
+    for w, n in c.items():
+        mass[want[w]] += n
+        kinds[want[w]] += 1
+    assert model.mix == pytest.approx(class_lm.mixed(v, after, mass, kinds, 0.9))
+    assert all(0.97 < sum((n + 0.1) * 10 ** model.mix[a, want[w]] for w, n in c.items()) < 1 for a in range(4))
+
+    # a word that was never seen: the class of its ending, that of a unit or else of most of its tokens
+    def class_of(w):
+        if w in want:
+            return want[w]
+        if w[-4:] in encoder.suffix or class_lm.END + w[-4:] not in rows:
+            return int(start.classes[encoder.unit(w)])
+        return rows[class_lm.END + w[-4:]]["class"]
+    scores = {r.doc_id: r for r in class_lm.score(docs, model, table_, work).collect()}
+    for d, t, _ in corpus:
+        own = class_lm.tokens(t or "")
+        cls = [class_of(w) for w in own]
+        logs = sum(np.log10(c.get(w, 0) + 0.1) for w in own)
+        assert scores[d].score == pytest.approx(logs + sum(
+            model.mix[x, y] for x, y in zip([want[class_lm.END], *cls[:-1]], cls)))
+        assert scores[d].n_known == sum(w in c for w in own)
+
+
+def test_rare_words_of_one_ending_part_by_their_neighbours(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"u u {f'left{x}same' if x < 40 else 'lake'} w w {f'right{y}same' if y < 40 else 'rock'}"
+                         for x, y in rng.integers(0, 120, (10, 2)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    work = scratch(spark, "t")
+    model, _ = class_lm.learn(docs, work, n_classes=6, sweeps=3, units=5)
+    model, _ = class_lm.classes_of_words(docs, model, work)
+    names = collections.defaultdict(collections.Counter)
+    for w, k in zip(model.vocabulary.words, model.own):
+        if w.endswith(b"same"):
+            names[w[:1]][int(k)] += 1
+    assert set(names) == {b"l", b"r"} and not set(names[b"l"]) & set(names[b"r"])
+
+
 def test_exchange_raises_the_likelihood_and_finds_the_languages(spark):
     docs = spark.createDataFrame(small_corpus(), "doc_id LONG, text STRING")
     v = class_lm.vocabulary(class_lm.count_words(docs), 1000, 1000, 4)
