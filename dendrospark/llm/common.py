@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,15 @@ def whole_text(col: str = "text"):
 def blocks_for(n: int, rows: int) -> int:
     """How many blocks of about ``rows`` rows hold n rows."""
     return max(1, math.ceil(n / rows))
+
+
+def byte_slices(batch, column: str, limit: int = 8 << 20):
+    """Slices of an Arrow batch whose texts in ``column`` take at most ``limit``
+    bytes together; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        seen = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, seen + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last

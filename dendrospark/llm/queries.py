@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, class_lm, langid, multi_index, packing, sharding, simhash, suffix_dedup, threshold, toxicity
+from . import bpe, class_lm, fim, langid, multi_index, packing, sharding, simhash, suffix_dedup, threshold, toxicity
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -13,6 +13,8 @@ QUERIES = {f.__name__: f for f in (
     sharding.op8_jump_sharding,
     bpe.op9_byte_bpe,
     threshold.op10_threshold_topk,
+    fim.op11_fill_in_middle,
 )}
 
-ORACLE = {"op8_jump_sharding": sharding.ORACLE, "op10_threshold_topk": threshold.ORACLE}
+ORACLE = {"op8_jump_sharding": sharding.ORACLE, "op10_threshold_topk": threshold.ORACLE,
+          "op11_fill_in_middle": fim.ORACLE}
