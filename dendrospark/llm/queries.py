@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import bpe, class_lm, fim, langid, multi_index, packing, sharding, simhash, suffix_dedup, threshold, toxicity
+from . import (bpe, class_lm, fim, langid, multi_index, packing, quality, sharding, simhash, suffix_dedup, threshold,
+               toxicity)
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -14,6 +15,7 @@ QUERIES = {f.__name__: f for f in (
     bpe.op9_byte_bpe,
     threshold.op10_threshold_topk,
     fim.op11_fill_in_middle,
+    quality.op12_neighbour_quality,
 )}
 
 ORACLE = {"op8_jump_sharding": sharding.ORACLE, "op10_threshold_topk": threshold.ORACLE,

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrospark.llm import fim
+from dendrospark.llm import fim, quality
+from dendrospark.llm.common import table
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 TEXTS = [None, "", " ", "a", " a  b\n", "one two three four", "\x1c x\x0b\x0cy \x85 z", "日本語 テスト １2３ \U0001f44d\U0001f3fd q",
@@ -54,3 +57,74 @@ def test_slices_of_long_texts_give_the_same(spark, monkeypatch):
     assert [s.num_rows for s in byte_slices(b, "text", 6)] == [3, 1, 2]
     assert [s.num_rows for s in byte_slices(b.slice(1), "text", 52)] == [4, 1]
     assert list(byte_slices(b.slice(0, 0), "text")) == []
+
+
+# ------------------------------------------------------------- neighbour quality
+def auc(scores, labels):
+    order = sorted(range(len(scores)), key=lambda i: scores[i])
+    ranks, i = {}, 0
+    while i < len(order):
+        j = i
+        while j < len(order) and scores[order[j]] == scores[order[i]]:
+            j += 1
+        for k in order[i:j]:
+            ranks[k] = (i + j + 1) / 2
+        i = j
+    pos = [ranks[i] for i, y in enumerate(labels) if y == 1]
+    n1, n0 = len(pos), len(labels) - len(pos)
+    return (sum(pos) - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
+def test_votes_are_those_of_all_cosines():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aB3! .|é\n"), rng.integers(0, 200))) for _ in range(90)]
+    terms = np.stack([quality.counts(t) for t in texts])
+    y, w = rng.integers(0, 2, 60), rng.random(60) + 0.5
+    model = quality.fit(terms[:60], y, w, size=12, neighbours=7)
+    own = [model.latent(terms[i:i + 1])[0].astype(float) for i in range(90)]
+    for block in (5, 60):
+        near, rows = model.nearest(model.latent(terms[60:]), block)
+        for i in range(30):
+            cos = [sum(a * b for a, b in zip(own[60 + i], v)) for v in own[:60]]
+            want = sorted(range(60), key=lambda j: (-round(cos[j], 6), j))[:7]
+            assert np.allclose(sorted(near[i]), sorted(cos[j] for j in want), atol=2e-6)
+            assert np.allclose(near[i], [cos[j] for j in rows[i]], atol=2e-6) and len(set(rows[i])) == 7
+            votes = [max(near[i][k], 0) ** 8 * w[j] for k, j in enumerate(rows[i])]
+            share = sum(v for v, j in zip(votes, rows[i]) if y[j]) / sum(votes) if sum(votes) else model.prior
+            assert abs(model.score([texts[60 + i]])[0] - share) < 1e-6
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    rows = quality.op12_neighbour_quality(spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert auc([r.score for r in held], [r.quality for r in held]) > 0.985
+    low = [r for r in held if r.quality == 0]
+    assert sum(r.predicted == 0 for r in low) >= 0.95 * len(low)
+    assert sum(r.predicted == 1 and r.quality == 1 for r in held) >= 0.99 * (len(held) - len(low))
+    assert len(rows) == labels.join(docs, "doc_id").count()
+
+
+def test_quality_cases(spark):
+    good, bad = "Das ist ein Satz mit Wörtern. Noch einer folgt dann.", "BUY!! NOW!! BUY!! NOW!! $$$ $$$"
+    rows = [(1, good, 5.0, "s"), (2, bad, None, "s"), (3, None, None, None), (4, "", None, None), (None, good, None, None),
+            (5, bad + " " + "x" * 200_000, None, None), (6, "long words " * 50_000, None, None), (2, bad, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, score DOUBLE, source STRING")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None), (4, 7), (99, 1)], "doc_id LONG, quality INT")
+    model = quality.learn(docs, labels)
+    assert model.labels.tolist().count(0) == 2 and len(model.labels) == 3        # both rows of id 2 vote, as 0
+    out = quality.score(docs, model).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "source", "score"}
+    by = {}
+    for r in out:
+        by.setdefault((r.doc_id, r.text), set()).add(r.score)
+    assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in by.values())
+    assert by[1, good] == by[None, good] and min(by[1, good]) > 0.5 > max(by[2, bad])
+    assert by[3, None] == by[4, ""]
+    nothing = quality.learn(docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
+    only = quality.learn(docs, labels.where("doc_id = 1"))
+    assert {r.score for r in quality.score(docs, only).collect()} == {1.0}
+    assert quality.score(docs.limit(0), model).collect() == []
