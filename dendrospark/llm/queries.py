@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from . import (bpe, class_lm, fim, langid, multi_index, packing, quality, sharding, simhash, suffix_dedup, threshold,
-               toxicity)
+               toxicity, trie)
 
 QUERIES = {f.__name__: f for f in (
     simhash.op1_simhash_near_dedup,
@@ -16,7 +16,8 @@ QUERIES = {f.__name__: f for f in (
     threshold.op10_threshold_topk,
     fim.op11_fill_in_middle,
     quality.op12_neighbour_quality,
+    trie.op13_conversation_trie,
 )}
 
 ORACLE = {"op8_jump_sharding": sharding.ORACLE, "op10_threshold_topk": threshold.ORACLE,
-          "op11_fill_in_middle": fim.ORACLE}
+          "op11_fill_in_middle": fim.ORACLE, "op13_conversation_trie": trie.ORACLE}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrospark.llm import fim, quality
+from dendrospark.llm import fim, quality, trie
 from dendrospark.llm.common import table
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -128,3 +128,88 @@ def test_quality_cases(spark):
     only = quality.learn(docs, labels.where("doc_id = 1"))
     assert {r.score for r in quality.score(docs, only).collect()} == {1.0}
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+# ------------------------------------------------------------- conversation trie
+def plain_trie(rows, family=5, heads=9):
+    """All nodes from dictionaries of whole prefixes."""
+    def key(role, text):
+        role, text = (role or "").encode(), (text or "").encode()
+        return hashlib.sha256(str(len(role)).encode() + b":" + role + text).digest()
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, key(role, text), role or "", text or ""))
+    own = {c: [(r, t) for *_, r, t in sorted(x)] for c, x in own.items()}
+    nodes = {}
+    for c, x in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        base = c - (abs(c) % family) * (1 if c >= 0 else -1)
+        chain = tuple(own.get(base, [])[:h] + x[h:])
+        for d in range(len(chain) + 1):
+            nodes.setdefault(chain[:d], []).append((c, d == len(chain)))
+    children = {p: {q for q in nodes if len(q) == len(p) + 1 and q[:len(p)] == p} for p in nodes}
+    out = []
+    for p, members in nodes.items():
+        under = [q for q in nodes if q[:len(p)] == p]
+        ends = ",".join(map(str, sorted(c for c, last in members if last)))
+        out.append((min(c for c, _ in members), len(p), min(c for c, _ in nodes[p[:-1]]) if p else None, len(members),
+                    len(children[p]), sum(not children[q] for q in under),
+                    sum((len(nodes[q]) - 1) * len(q[-1][1].encode()) for q in under if q),
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def turns_df(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows],
+                                 "conv_id LONG, turn LONG, role STRING, text STRING, path STRING, size INT")
+
+
+def some_turns(seed, convs=60):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in rng.permutation(np.arange(-convs // 4, convs)).tolist():
+        same = rng.random() < 0.35                               # a hot group of copies
+        for t in range(3 if same else rng.integers(0, 7)):
+            rows.append((c, t, "user" if t % 2 == 0 else None, "hello" if same else rng.choice(["a", "é", "", None, "bb"])))
+    rows += [(None, 0, "user", "lost"), (7, None, "system", "first"), (7, 0, "user", "tie"), (7, 0, "user", "tie"),
+             (7, 0, "user", "other"), (1000, 0, "user", "w " * 60_000), (1001, 0, "user", "w " * 60_000),
+             (2 ** 62, 0, "ab", "c"), (2 ** 62 + 1, 0, "a", "bc")]
+    return rows
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 10_000])
+def test_trie_of_any_shards(spark, batch):
+    rows = some_turns(batch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = trie.prefix_trie(turns_df(spark, rows), shard_convs=20)
+        assert got.columns == trie.COLUMNS
+        assert sorted(map(tuple, got.collect()), key=repr) == plain_trie(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_trie_of_long_copied_and_missing_conversations(spark):
+    rows = [(c, t, "user", f"turn {t}") for c in (3, 5, 8, 10) for t in range(0 if c == 3 else 150)] + [(3, 1, None, None)]
+    got = trie.prefix_trie(turns_df(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_trie(rows)
+    assert trie.prefix_trie(turns_df(spark, rows).limit(0)).collect() == []
+    # conversations that lose all their turns are members of the root
+    for c in (5 * i + j for i in range(40) for j in (1, 2, 3, 4)):
+        if zlib.crc32(str(c).encode()) % 9 > 0:
+            got = trie.prefix_trie(turns_df(spark, [(c, 0, "user", "x")])).collect()
+            assert [tuple(r) for r in got] == plain_trie([(c, 0, "user", "x")])
+            assert [(r.depth, r.n_convs, r.n_leaves) for r in got] == [(0, 1, 1)]
+            break
+
+
+def test_median_insertion_balances_the_tree():
+    n = 1023
+    assert sorted(trie.median_order(n)) == list(range(n))
+    tree = trie.Tree()
+    for i in trie.median_order(n):
+        tree.insert([i], [1], np.array([i]))
+    def height(at):
+        return 0 if at < 0 else 1 + max(height(tree.low[at]), height(tree.high[at]))
+    assert height(tree.down[0]) == 10 and tree.members[0] == n
