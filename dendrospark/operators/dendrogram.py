@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
 
 
 def _child_parent(merges: DataFrame) -> DataFrame:
@@ -23,41 +23,48 @@ def _child_parent(merges: DataFrame) -> DataFrame:
 
 
 def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
-            hot_fraction: float = 0.05) -> DataFrame:
+            hot_fraction: float = 0.05, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Topmost ancestor ``(keys..., node, up)`` of every node of a
     ``(keys..., node, up)`` forest.
 
-    As pointers double, many nodes come to point at the same ancestor, so the
-    join on ``up`` grows a hot key (up to every row).  Each step therefore
-    splits it: targets holding more than ``hot_fraction`` of the rows (at
-    most 1/hot_fraction of them, a proven bound) are resolved through a
+    A table that fits the broadcast limit is joined with a broadcast of itself.
+    Beyond it, as pointers double, many nodes come to point at the same
+    ancestor, so the join on ``up`` grows a hot key (up to every row).  Each
+    step therefore splits it: targets holding more than ``hot_fraction`` of the
+    rows (at most 1/hot_fraction of them, a proven bound) are resolved through a
     broadcast of their own few rows; only the rest go through the shuffle
     join."""
     keys = keys or []
     tag = f"jump-{uuid.uuid4().hex[:8]}"
-    p = scratch.put(edges.select(*keys, "node", "up"), f"{tag}-0")
-    rows = p.count()
-    i = 0
+    seen = Observation()
+    p = scratch.put(edges.select(*keys, "node", "up").observe(seen, F.count(F.lit(1)).alias("n")), f"{tag}-0")
+    rows, i = seen.get["n"], 0
     while True:
         q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
-               .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
-               .select(*keys, "up", F.lit(True).alias("hot")))
-        hot_b = F.broadcast(scratch.put(hot.coalesce(1), f"{tag}-hot-{i}"))      # <= 1/hot_fraction rows
-        tagged = p.join(hot_b, [*keys, "up"], "left")
-        hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
-        cold = (tagged.where(F.col("hot").isNull()).drop("hot")
-                .join(q.join(hot_b, [*keys, "up"], "left_anti"), [*keys, "up"], "left"))
-        warm = tagged.where(F.col("hot")).drop("hot").join(hot_q, [*keys, "up"], "left")
-        joined = cold.unionByName(warm)
-        step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"),
-                             F.col("up2").isNotNull().alias("moved"))
+        if fits_broadcast(rows, 24 + 16 * len(keys), broadcast_bytes):
+            # two steps in one job
+            on = p.join(F.broadcast(q), [*keys, "up"], "left").select(*keys, "node", F.coalesce("up2", "up").alias("up"))
+            q = on.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
+            joined = on.join(F.broadcast(q), [*keys, "up"], "left")
+        else:
+            hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
+                   .where(F.col("cnt") > max(1, int(rows * hot_fraction)))
+                   .select(*keys, "up", F.lit(True).alias("hot")))
+            hot_b = F.broadcast(scratch.put(hot.coalesce(1), f"{tag}-hot-{i}"))      # <= 1/hot_fraction rows
+            tagged = p.join(hot_b, [*keys, "up"], "left")
+            hot_q = F.broadcast(q.join(hot_b, [*keys, "up"]).drop("hot"))
+            cold = (tagged.where(F.col("hot").isNull()).drop("hot")
+                    .join(q.join(hot_b, [*keys, "up"], "left_anti"), [*keys, "up"], "left"))
+            warm = tagged.where(F.col("hot")).drop("hot").join(hot_q, [*keys, "up"], "left")
+            joined = cold.unionByName(warm)
         i += 1
-        step = scratch.put(step, f"{tag}-{i}")
+        seen = Observation()
+        step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))
+        step = step.observe(seen, F.count_if("moved").alias("moved"))
+        p = scratch.put(step.select(*keys, "node", "up"), f"{tag}-{i}")
         scratch.drop(f"{tag}-{i - 1}")
         scratch.drop(f"{tag}-hot-{i - 1}")
-        p = step.select(*keys, "node", "up")
-        if step.where("moved").limit(1).count() == 0:
+        if seen.get["moved"] == 0:
             return p
 
 

@@ -19,7 +19,8 @@ from ..functions.vectors import (mean_vectors, other_endpoint, sq_norm,
 from ..operators import indices as V
 from ..operators.centers import centers, compute_cost, group_by_center, predict
 from ..operators.dendrogram import all_ids, cluster_members, cluster_of, cut, is_cluster
-from ..operators.linkage import linkage, linkage_with_assignments, merge_members, midpoints, singletons
+from ..operators.linkage import (linkage, linkage_with_assignments, merge_members, midpoints, single_linkage,
+                                 singletons)
 from ..operators.pairs import (cluster_linkage_distance, cluster_sizes, median_by, merge_pair,
                                nearest_pair, pairwise_distances)
 from ..session import Scratch
@@ -192,6 +193,16 @@ def _linkage_tied(strategy):
     return q
 
 
+def q_linkage_min_points_embeddings(spark, sf):
+    """C1 without a pair table, in blocks of about 128 points."""
+    return _merges_out(single_linkage(emb_points(spark, sf), block_points=128))
+
+
+def q_linkage_min_ranges_tied(spark, sf):
+    """C1 with ties, numbered in ranges of at most 16 tree edges."""
+    return _merges_out(single_linkage(tied_points(spark, sf), block_points=32, range_edges=16))
+
+
 def q_ranked_ids_customer(spark, sf):
     """S2 over a key with gaps."""
     c = _t(spark, sf, "customer").select((F.col("c_custkey") * 3 + 5).alias("key"), "c_acctbal")
@@ -403,6 +414,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linkage_max_tied": _linkage_tied("max"),
     "linkage_avg_tied": _linkage_tied("avg"),
     "linkage_wavg_tied": _linkage_tied("wavg"),
+    "linkage_min_points_embeddings": q_linkage_min_points_embeddings,
+    "linkage_min_ranges_tied": q_linkage_min_ranges_tied,
     "ranked_ids_customer": q_ranked_ids_customer,
     "stored_merges_supplier": q_stored_merges_supplier,
     "stored_assignments_supplier": q_stored_assignments_supplier,
@@ -591,6 +604,8 @@ ORACLE: dict[str, str] = {
     "linkage_max_tied": _linkage_sql(O.TIED_PTS, "tp", "max"),
     "linkage_avg_tied": _linkage_sql(O.TIED_PTS, "tp", "avg"),
     "linkage_wavg_tied": _linkage_sql(O.TIED_PTS, "tp", "wavg"),
+    "linkage_min_points_embeddings": _linkage_sql(O.EMB_PTS, "ep", "min"),
+    "linkage_min_ranges_tied": _linkage_sql(O.TIED_PTS, "tp", "min"),
     "stored_merges_supplier": f"{_SUP_AVG} SELECT cluster, point1, point2 FROM mg",
     "stored_assignments_supplier": f"{_SUP_AVG}, {O.climb('sp', [CUT_K])} SELECT id, cluster FROM lab",
     "linkage_avg_embeddings": _linkage_sql(O.EMB_PTS, "ep", "avg"),
