@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
 
 
-def _child_parent(merges: DataFrame) -> DataFrame:
+def child_parent(merges: DataFrame) -> DataFrame:
     return (merges.select(F.col("point1").alias("node"), F.col("cluster").alias("up"))
             .unionByName(merges.select(F.col("point2").alias("node"), F.col("cluster").alias("up"))))
 
 
 def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
-            hot_fraction: float = 0.05, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+            hot_fraction: float = 0.05, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+            add: str | None = None) -> DataFrame:
     """Topmost ancestor ``(keys..., node, up)`` of every node of a
-    ``(keys..., node, up)`` forest.
+    ``(keys..., node, up)`` forest; ``add`` names a column that is added up
+    along the way to it.
 
     A table that fits the broadcast limit is joined with a broadcast of itself.
     Beyond it, as pointers double, many nodes come to point at the same
@@ -37,14 +39,17 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
     keys = keys or []
     tag = f"jump-{uuid.uuid4().hex[:8]}"
     seen = Observation()
-    p = scratch.put(edges.select(*keys, "node", "up").observe(seen, F.count(F.lit(1)).alias("n")), f"{tag}-0")
+    own = ["node", "up", *([add] if add else [])]
+    more = [F.col(add).alias("more")] if add else []
+    summed = [(F.col(add) + F.coalesce("more", F.lit(0))).alias(add)] if add else []
+    p = scratch.put(edges.select(*keys, *own).observe(seen, F.count(F.lit(1)).alias("n")), f"{tag}-0")
     rows, i = seen.get["n"], 0
     while True:
-        q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
-        if fits_broadcast(rows, 24 + 16 * len(keys), broadcast_bytes):
+        q = p.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), *more)
+        if fits_broadcast(rows, 32 + 16 * len(keys), broadcast_bytes):
             # two steps in one job
-            on = p.join(F.broadcast(q), [*keys, "up"], "left").select(*keys, "node", F.coalesce("up2", "up").alias("up"))
-            q = on.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"))
+            on = p.join(F.broadcast(q), [*keys, "up"], "left").select(*keys, "node", F.coalesce("up2", "up").alias("up"), *summed)
+            q = on.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), *more)
             joined = on.join(F.broadcast(q), [*keys, "up"], "left")
         else:
             hot = (p.groupBy(*keys, "up").agg(F.count(F.lit(1)).alias("cnt"))
@@ -59,16 +64,16 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
             joined = cold.unionByName(warm)
         i += 1
         seen = Observation()
-        step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))
+        step = joined.select(*keys, "node", F.coalesce("up2", "up").alias("up"), *summed, F.col("up2").isNotNull().alias("moved"))
         step = step.observe(seen, F.count_if("moved").alias("moved"))
-        p = scratch.put(step.select(*keys, "node", "up"), f"{tag}-{i}")
+        p = scratch.put(step.select(*keys, *own), f"{tag}-{i}")
         scratch.drop(f"{tag}-{i - 1}")
         scratch.drop(f"{tag}-hot-{i - 1}")
         if seen.get["moved"] == 0:
             return p
 
 
-def _check_level(merges: DataFrame, n: int, k: int) -> None:
+def check_level(merges: DataFrame, n: int, k: int) -> None:
     top = merges.agg(F.max("cluster")).first()[0]
     have = 0 if top is None else int(top) - n
     if k < 1 or n - k > have:
@@ -81,10 +86,10 @@ def cut(merges: DataFrame, n: int, k: int, scratch: Scratch | None = None) -> Da
     """``(id, cluster)`` after the first n-k merges; a point untouched by
     them keeps its own id."""
     spark = merges.sparkSession
-    _check_level(merges, n, k)
+    check_level(merges, n, k)
     scratch = scratch or Scratch(spark, "cut")
     sub = merges.where(F.col("cluster") <= 2 * n - k)
-    roots = root_of(_child_parent(sub), scratch)
+    roots = root_of(child_parent(sub), scratch)
     pts = spark.range(1, n + 1)
     return (pts.join(roots, pts.id == roots.node, "left")
             .select("id", F.coalesce("up", "id").alias("cluster")))
@@ -100,16 +105,19 @@ def cut_levels(merges: DataFrame, n: int, ks: list[int],
     spark = merges.sparkSession
     ks = sorted(set(int(k) for k in ks))
     kmax, kmin = ks[-1], ks[0]
-    _check_level(merges, n, kmin)
+    check_level(merges, n, kmin)
     scratch = scratch or Scratch(spark, "cut-levels")
     base = cut(merges, n, kmax, scratch)
     klist = F.array(*[F.lit(k) for k in ks])
     top = merges.where((F.col("cluster") > 2 * n - kmax) & (F.col("cluster") <= 2 * n - kmin))
-    top_edges = (_child_parent(top.select("cluster", "point1", "point2"))
+    top_edges = (child_parent(top.select("cluster", "point1", "point2"))
                  .withColumn("k", F.explode(klist))
                  .where(F.col("up") <= F.lit(2 * n) - F.col("k")))
     mapping = root_of(top_edges, scratch, keys=["k"])
-    mapping = F.broadcast(mapping.select("k", F.col("node").alias("c0"), F.col("up").alias("top")))
+    mapping = mapping.select("k", F.col("node").alias("c0"), F.col("up").alias("top"))
+    # at most two rows for each level and each merge between the levels
+    if fits_broadcast(2 * (kmax - kmin) * len(ks), 48):
+        mapping = F.broadcast(mapping)
     lab = base.select("id", F.col("cluster").alias("c0")).withColumn("k", F.explode(klist))
     return (lab.join(mapping, ["k", "c0"], "left")
             .select("k", "id", F.coalesce("top", "c0").alias("cluster")))
@@ -117,15 +125,19 @@ def cut_levels(merges: DataFrame, n: int, ks: list[int],
 
 def cluster_members(merges: DataFrame, n: int, cluster: int,
                     scratch: Scratch | None = None) -> DataFrame:
-    """The leaves below ``cluster`` -> ``(cluster, id)``.  A leaf is below
-    c exactly when its topmost ancestor among merges numbered <= c is c."""
+    """The leaves below ``cluster`` -> ``(cluster, id)``: those in its
+    interval of the Euler tour.  ``tree.tour`` and ``tree.members`` answer many
+    questions from one tour."""
+    from .tree import tour
     spark = merges.sparkSession
     if cluster <= n:
         return spark.createDataFrame([(cluster, cluster)], "cluster LONG, id LONG")
-    scratch = scratch or Scratch(spark, "members")
-    roots = root_of(_child_parent(merges.where(F.col("cluster") <= cluster)), scratch)
-    return roots.where((F.col("up") == cluster) & (F.col("node") <= n)).select(
-        F.col("up").alias("cluster"), F.col("node").alias("id"))
+    places = tour(merges, n, scratch or Scratch(spark, "members"))
+    span = places.where(F.col("node") == cluster).select(
+        F.col("node").alias("cluster"), F.col("root").alias("of"), F.col("first").alias("lo"), F.col("size").alias("width"))
+    within = (F.col("root") == F.col("of")) & (F.col("first") >= F.col("lo")) & (F.col("first") < F.col("lo") + F.col("width"))
+    # one row: a range condition on every leaf
+    return places.where(F.col("node") <= n).join(F.broadcast(span), within).select("cluster", F.col("node").alias("id"))
 
 
 def cluster_of(points: DataFrame, base: DataFrame, scratch: Scratch | None = None) -> DataFrame:

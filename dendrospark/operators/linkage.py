@@ -33,17 +33,16 @@ the rest pass through.  Nothing but counts reaches the driver.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vmid
 from ..plans.ranking import global_rank
 from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
 from .pairs import STRATEGIES, check_points, pairwise_distances
 from .spanning import BLOCK_POINTS, RANGE_EDGES, number_tree, spanning_tree, spanning_tree_of_points
+from .tree import contract, members, tour
 
 MERGE_COLS = ["cluster", "point1", "point2", "height", "size"]
 #: Rows of round state to a partition.
@@ -300,54 +299,25 @@ def singletons(spark, n: int) -> DataFrame:
 
 def merge_members(merges: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame:
     """Members of every merge, one row ``(cluster, id)`` for each leaf
-    below it.  Paths double: a step joins the pairs at the largest distance so
-    far with all pairs found, so the steps are the logarithm of the height."""
+    below it: the merge's interval of an Euler tour.  The tour is O(n) rows; only
+    the result has a row for each leaf and merge above it."""
     scratch = scratch or Scratch(merges.sparkSession, "members")
-    tag = f"members-{uuid.uuid4().hex[:8]}"
-    one = (merges.select(F.col("point1").alias("node"), F.col("cluster").alias("up"))
-           .unionByName(merges.select(F.col("point2").alias("node"), F.col("cluster").alias("up"))))
-    paths = scratch.put(one.withColumn("steps", F.lit(1).cast("long")), f"{tag}-1")
-    reach = 1
-    while True:
-        ends = paths.where(F.col("steps") == reach).select("node", F.col("up").alias("mid"))
-        on = paths.select(F.col("node").alias("mid"), "up", F.col("steps").alias("more"))
-        longer = ends.join(on, "mid").select("node", "up", (F.col("more") + reach).alias("steps"))
-        reach *= 2
-        grown = scratch.put(paths.unionByName(longer), f"{tag}-{reach}")
-        scratch.drop(f"{tag}-{reach // 2}")
-        if grown.where(F.col("steps") > reach // 2).limit(1).count() == 0:
-            return grown.where(F.col("node") <= n).select(F.col("up").alias("cluster"), F.col("node").alias("id"))
-        paths = grown
+    return members(tour(merges, n, scratch), merges.select("cluster"), n)
 
 
 def midpoints(merges: DataFrame, points: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Per merge, the unweighted midpoint of its two children's centroids
-    (a leaf's centroid is its vector) -> (cluster, centroid).
-
-    One table of known centroids grows level by level: each pass joins the
-    merges not yet known with the known table on both children, and writes
-    the union once.  Passes = height of the tree."""
-    spark = merges.sparkSession
-    scratch = scratch or Scratch(spark, "midpoints")
-    tag = f"mid-{uuid.uuid4().hex[:8]}"
-    m = merges.select("cluster", "point1", "point2")
-    known = scratch.put(points.select(F.col("id").alias("node"), F.col("features").alias("centroid")),
-                        f"{tag}-0")
-    size = known.count()
-    i = 0
-    while True:
-        todo = m.join(known.select(F.col("node").alias("cluster")), "cluster", "left_anti")
-        k1 = known.select(F.col("node").alias("point1"), F.col("centroid").alias("v1"))
-        k2 = known.select(F.col("node").alias("point2"), F.col("centroid").alias("v2"))
-        ready = todo.join(k1, "point1").join(k2, "point2").select(
-            F.col("cluster").alias("node"), vmid("v1", "v2").alias("centroid"))
-        i += 1
-        nxt = scratch.put(known.unionByName(ready), f"{tag}-{i}")
-        grown = nxt.count()
-        scratch.drop(f"{tag}-{i - 1}")
-        known = nxt
-        if grown == size:
-            break
-        size = grown
-    return known.join(m.select(F.col("cluster").alias("node")), "node", "left_semi").select(
-        F.col("node").alias("cluster"), "centroid")
+    (a leaf's centroid is its vector) -> ``(cluster, centroid)``, by tree
+    contraction: rounds grow with the logarithm of the merges, not the height."""
+    scratch = scratch or Scratch(merges.sparkSession, "midpoints")
+    got, _ = contract(merges, points.select(F.col("id").alias("node"), F.col("features").alias("value")), 0.5, scratch)
+    return got.withColumnRenamed("value", "centroid")
+
+
+def midpoint_centers(merges: DataFrame, points: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame:
+    """C7 as a model: the midpoints of all merges are its centers ``(k, center,
+    cluster, centroid)``, in the order of the merges; k is the level that the
+    table reaches.  ``predict`` and ``LinkageModel`` take them as they are."""
+    level = merges.agg((F.lit(n) - F.count(F.lit(1))).cast("int").alias("k"))          # one row
+    return midpoints(merges, points, scratch).join(F.broadcast(level)).select(
+        "k", (F.col("cluster") - n - 1).cast("int").alias("center"), "cluster", "centroid")

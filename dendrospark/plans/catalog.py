@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from ..functions.vectors import (mean_vectors, other_endpoint, sq_norm,
                                  to_double_or_zero, weighted_sq_euclidean)
 from ..operators import indices as V
-from ..operators.centers import centers, compute_cost, group_by_center, predict
+from ..operators.centers import LinkageModel, centers, compute_cost, group_by_center, predict
 from ..operators.dendrogram import all_ids, cluster_members, cluster_of, cut, is_cluster
-from ..operators.linkage import (linkage, linkage_with_assignments, merge_members, midpoints, single_linkage,
-                                 singletons)
+from ..operators.linkage import (linkage, linkage_with_assignments, merge_members, midpoint_centers, midpoints,
+                                 single_linkage, singletons)
 from ..operators.pairs import (cluster_linkage_distance, cluster_sizes, median_by, merge_pair,
                                nearest_pair, pairwise_distances)
+from ..operators.tree import ancestors, clusters_at
 from ..session import Scratch
-from ..sources.io import (merge_lines, points_from_table, read_merges, scipy_dendrogram, take_features,
-                          write_assignments, write_merges)
+from ..sources.io import (merge_lines, points_from_table, read_merges, read_points, scipy_dendrogram, take_features,
+                          write_assignments, write_merges, write_report)
 from . import oracle_sql as O
-from .pipelines import best_k, bisecting_grid, bisecting_report, evaluate_grid, evaluate_model
+from .pipelines import best_k, bisecting_grid, bisecting_report, build_and_evaluate, evaluate_grid, evaluate_model
 
 REPORT_KS = list(range(2, 9))
 CUT_K = 5
@@ -285,8 +286,39 @@ def q_midpoints_supplier(spark, sf):
     return mp.select("cluster", r6(F.col("centroid")[0]).alias("c0"), r6(F.col("centroid")[1]).alias("c1"))
 
 
+def q_midpoint_predict_supplier(spark, sf):
+    """The midpoints of all merges as a model's centers."""
+    pts, n, m = _sup_model(spark, sf)
+    model = LinkageModel(m, n).with_centers(midpoint_centers(m, pts, n))
+    return model.predict(pts).select("id", "center", r6("d2").alias("d2"))
+
+
+def q_levels_supplier(spark, sf):
+    """D3 and D4 from the ancestor table: every point asks for a level of its own."""
+    pts, n, m = _sup_model(spark, sf)
+    table, levels = ancestors(m, Scratch(spark, "levels"))
+    return clusters_at(pts.select("id", (F.col("id") % 7 + 1).alias("k")), table, levels, n).select("id", "k", "cluster")
+
+
 # ------------------------------------------------------------ model --------
 
+def q_centers_fallback_supplier(spark, sf):
+    """D5 where the level asked for has too few clusters of that size."""
+    pts, n, m = _sup_model(spark, sf)
+    c = centers(pts, m, n, CUT_K, min_size=n // 4, dim=2)
+    return c.select("k", "center", "cluster", "size", r6(F.col("centroid")[0]).alias("c0"), r6(F.col("centroid")[1]).alias("c1"))
+
+
+def q_file_report_supplier(spark, sf):
+    """Points from a file, the report to a file and back."""
+    scratch = Scratch(spark, "files")
+    sup_points(spark, sf).orderBy("id").select(*[F.col("features")[i] for i in (0, 1)]).write.csv(scratch.path("points"))
+    rep = build_and_evaluate(read_points(spark, scratch.path("points")), "avg", REPORT_KS[0], REPORT_KS[-1])
+    write_report(rep, scratch.path("report"))
+    ddl = ", ".join(f"{c} {'INT' if c == 'k' else 'DOUBLE'}" for c in rep.columns)
+    return _report_cols(spark.read.csv(scratch.path("report"), schema=ddl, header=True))
+
+
 def _sup_centers(spark, sf):
     pts, n, m = _sup_model(spark, sf)
     return pts, centers(pts, m, n, CUT_K, dim=2)
@@ -429,6 +461,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_lines_supplier": q_merge_lines_supplier,
     "dendrogram_supplier": q_dendrogram_supplier,
     "midpoints_supplier": q_midpoints_supplier,
+    "midpoint_predict_supplier": q_midpoint_predict_supplier,
+    "levels_supplier": q_levels_supplier,
+    "centers_fallback_supplier": q_centers_fallback_supplier,
+    "file_report_supplier": q_file_report_supplier,
     "centers_supplier": q_centers_supplier,
     "predict_supplier": q_predict_supplier,
     "predict_blocks_supplier": q_predict_blocks_supplier,
@@ -558,6 +594,47 @@ def _grid_sql():
     return " UNION ALL ".join(parts)
 
 
+_MIDPOINTS = (
+        f"{_SUP_AVG}, "
+        "md(step, node, v) AS ("
+        "  SELECT 0, id, f FROM sp"
+        "  UNION ALL"
+        "  SELECT * FROM ("
+        "    WITH known AS (SELECT * FROM md),"
+        "    fresh AS (SELECT mg.cluster AS node,"
+        "                     list_transform(range(1, len(k1.v) + 1), lambda i: (k1.v[i] + k2.v[i]) / 2.0) AS v"
+        "              FROM mg JOIN known k1 ON k1.node = mg.point1 JOIN known k2 ON k2.node = mg.point2"
+        "              WHERE mg.cluster NOT IN (SELECT node FROM known))"
+        "    SELECT (SELECT max(step) FROM known) + 1, node, v FROM known"
+        "    WHERE EXISTS (SELECT 1 FROM fresh)"
+        "    UNION ALL SELECT (SELECT max(step) FROM known) + 1, node, v FROM fresh"
+        "  )"
+        "), fin AS (SELECT node, v FROM md WHERE step = (SELECT max(step) FROM md)) ")
+
+
+def _fallback_sql(k, part):
+    """Level by level: too few clusters of the size asked for, so one level down
+    with a size that shrinks by the largest cluster's share."""
+    return (f"{_SUP_AVG}, allk AS (SELECT unnest(range(1, n + 1)) AS k FROM nn), "
+            "par AS (SELECT point1 AS node, cluster AS up FROM mg UNION ALL SELECT point2, cluster FROM mg), "
+            "cl(k, id, node) AS (SELECT allk.k, sp.id, sp.id FROM sp, allk UNION ALL "
+            "SELECT cl.k, cl.id, par.up FROM cl JOIN par ON par.node = cl.node, nn WHERE par.up <= 2 * nn.n - cl.k), "
+            "lab AS (SELECT k, id, max(node) AS cluster FROM cl GROUP BY k, id), "
+            "sz AS (SELECT k, cluster, count(*) AS m FROM lab GROUP BY k, cluster), "
+            "lv AS (SELECT k, max(m) AS largest, list(m) AS ms FROM sz GROUP BY k), "
+            f"st(k, ms, ok) AS (SELECT lv.k, nn.n // {part}, len(list_filter(lv.ms, lambda x: x >= nn.n // {part})) >= {k} "
+            f"FROM lv, nn WHERE lv.k = {k} UNION ALL "
+            "SELECT nx.k, CAST(floor(st.ms / nn.n * lv.largest + 0.5) AS BIGINT), "
+            f"len(list_filter(nx.ms, lambda x: x >= floor(st.ms / nn.n * lv.largest + 0.5))) >= {k} "
+            "FROM st JOIN lv ON lv.k = st.k JOIN lv nx ON nx.k = st.k + 1, nn WHERE NOT st.ok AND st.k < nn.n - 5), "
+            f"top AS (SELECT sz.k, sz.cluster, sz.m FROM sz JOIN st ON st.ok AND st.k = sz.k AND sz.m >= st.ms "
+            f"ORDER BY m DESC, cluster LIMIT {k}) "
+            "SELECT CAST(top.k AS INTEGER) AS k, CAST(row_number() OVER (ORDER BY top.cluster) - 1 AS INTEGER) AS center, top.cluster, "
+            "any_value(top.m) AS size, round(avg(sp.f[1]), 6) AS c0, round(avg(sp.f[2]), 6) AS c1 "
+            "FROM top JOIN lab ON lab.k = top.k AND lab.cluster = top.cluster JOIN sp ON sp.id = lab.id "
+            "GROUP BY top.k, top.cluster")
+
+
 ORACLE: dict[str, str] = {
     "pairwise_supplier": _PAIR_SUP,
     "pairwise_embeddings": _PAIR_EMB,
@@ -635,23 +712,14 @@ ORACLE: dict[str, str] = {
                              "CAST(point1 AS VARCHAR), CAST(point2 AS VARCHAR)) AS line FROM mg"),
     "dendrogram_supplier": (f"{_SUP_AVG} SELECT point1 - 1 AS p1, point2 - 1 AS p2, round(height, 6) AS dist, "
                             "size AS count FROM mg"),
-    "midpoints_supplier": (
-        f"{_SUP_AVG}, "
-        "md(step, node, v) AS ("
-        "  SELECT 0, id, f FROM sp"
-        "  UNION ALL"
-        "  SELECT * FROM ("
-        "    WITH known AS (SELECT * FROM md),"
-        "    fresh AS (SELECT mg.cluster AS node,"
-        "                     list_transform(range(1, len(k1.v) + 1), lambda i: (k1.v[i] + k2.v[i]) / 2.0) AS v"
-        "              FROM mg JOIN known k1 ON k1.node = mg.point1 JOIN known k2 ON k2.node = mg.point2"
-        "              WHERE mg.cluster NOT IN (SELECT node FROM known))"
-        "    SELECT (SELECT max(step) FROM known) + 1, node, v FROM known"
-        "    WHERE EXISTS (SELECT 1 FROM fresh)"
-        "    UNION ALL SELECT (SELECT max(step) FROM known) + 1, node, v FROM fresh"
-        "  )"
-        "), fin AS (SELECT node, v FROM md WHERE step = (SELECT max(step) FROM md)) "
-        "SELECT node AS cluster, round(v[1], 6) AS c0, round(v[2], 6) AS c1 FROM fin, nn WHERE node > nn.n"),
+    "midpoints_supplier": f"{_MIDPOINTS} SELECT node AS cluster, round(v[1], 6) AS c0, round(v[2], 6) AS c1 FROM fin, nn WHERE node > nn.n",
+    "midpoint_predict_supplier": (
+        f"{_MIDPOINTS}, cen AS (SELECT 1 AS k, CAST(node - nn.n - 1 AS INTEGER) AS center, v AS c FROM fin, nn WHERE node > nn.n), "
+        f"{O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr"),
+    "levels_supplier": (f"{_SUP_AVG}, {O.climb('sp', range(1, 8))} "
+                        "SELECT id, CAST(k AS BIGINT) AS k, cluster FROM lab WHERE k = id % 7 + 1"),
+    "centers_fallback_supplier": _fallback_sql(CUT_K, 4),
+    "file_report_supplier": _report_sql(O.SUP_PTS, "sp", REPORT_KS, _SUP_AVG) + _REPORT_SEL,
     "centers_supplier": (f"{_SUP_CENTERS} SELECT center, cluster, size, round(c[1], 6) AS c0, "
                          "round(c[2], 6) AS c1 FROM cen"),
     "predict_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr",
