@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, ensure_checkpoint_dir
 
-#: Sort key that stands for a null id while components are built.
-NO_ID = (1 << 63) - 1
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import NO_ID, scratch, table, whole_text
+from .common import scratch, table, whole_text
 from .components import components
 
 #: Generator polynomial of the [23, 12, 7] code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -179,13 +179,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS, bucket
     """
     work = scratch(docs.sparkSession, "simhash")
     prints = work.put(fingerprints(docs, size), "prints")
-    reps = work.put(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "reps")
-    linked = components(links(reps, work, radius, bucket), work)
-    named = (reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("fp", F.coalesce("root", "rep").alias("root")))
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.nullif("root", F.lit(NO_ID)).alias("component_id"))
+    # the distinct fingerprints are the nodes: an id may be null or stand for several texts
+    reps = work.put(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
+    linked = components(links(reps.select("fp", F.col("fp").alias("rep")), work, radius, bucket), work)
+    named = work.put(reps.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+                     .select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark, sf_dir):

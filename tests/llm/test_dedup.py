@@ -122,6 +122,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(pairs) > 20
 
 
+def test_ids_that_are_null_or_repeat_link_no_texts(spark):
+    a, b = "one two three four five six", "completely different words stand here now"
+    for other in (None, 7):
+        rows = [(5, a), (other, a), (900, b), (other, b)]
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()
+        of = {r.fingerprint: r.component_id for r in got}
+        want = {simhash.fingerprint(a): 5, simhash.fingerprint(b): 900 if other is None else 7}
+        assert of == {f"{f:016x}": c for f, c in want.items()} and len(got) == 4
+
+
 def test_near_duplicates_empty_and_without_ids(spark):
     empty = spark.createDataFrame([], "doc_id LONG, text STRING")
     assert simhash.near_duplicates(empty).count() == 0
