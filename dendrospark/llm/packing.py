@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import byte_slices, table, whole_text
 
 #: Capacities of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
@@ -67,7 +67,7 @@ class Packer:
         self.queues: list[deque[Item]] = [deque() for _ in range(self.n_classes)]
         #: demand of the first item of each class; a class without one never fits
         self.first = np.full((self.n_classes, 3), np.iinfo(np.int64).max // 2, dtype=np.int64)
-        self.waiting = 0
+        self.waiting = self.tokens = 0
 
     def _class(self, x: Item) -> int:
         if x.length == 0:
@@ -89,6 +89,7 @@ class Packer:
         if len(self.queues[c]) == 1:
             self.first[c] = (x.length, 1, x.loss)
         self.waiting += 1
+        self.tokens += x.length
         return full
 
     def _pop(self, c: int) -> Item:
@@ -99,6 +100,7 @@ class Packer:
         else:
             self.first[c] = np.iinfo(np.int64).max // 2
         self.waiting -= 1
+        self.tokens -= x.length
         return x
 
     def sequence(self) -> list[Item]:
@@ -128,6 +130,17 @@ class Packer:
                 self.add(rest)
             out.append(x)
             left -= (x.length, 1, x.loss)
+        total = int(self.caps[0] - left[0])
+        if self.cut and self.waiting and total & (total - 1):
+            # closed by another limit than tokens: a power of two is not padded
+            excess = total - (1 << total.bit_length() - 1) if total < self.caps[0] else 0
+            while excess:
+                x = out.pop()
+                if x.length > excess:
+                    head, x = x.cut(x.length - excess)
+                    out.append(head)
+                excess -= x.length
+                self.add(x)
         return out
 
     def last(self) -> Iterator[list[Item]]:
@@ -175,21 +188,22 @@ class WordEncoder:
     letters, a Latin word and the signs behind it are looked up separately, the
     word straight in the BPE model.  Any other word goes through the whole
     tokenizer.  The words kept in mind are bounded by ``keep``; then they are
-    forgotten."""
+    forgotten.  ``spec`` is the text of the tokenizer file, ``plain`` whether it
+    does so (read from it if not given)."""
 
-    def __init__(self, path: str, end: int, keep: int = 1 << 19):
+    def __init__(self, spec: str, end: int, keep: int = 1 << 16, plain: bool | None = None):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
         self.end = np.array([end], dtype="<u4").tobytes()
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         self.letters = _byte_letters()
-        self.plain = self._splits_plain_words(json.loads(self.tokenizer.to_str()))
+        self.plain = self.splits_plain_words(json.loads(spec)) if plain is None else plain
 
     @staticmethod
-    def _splits_plain_words(spec: dict) -> bool:
+    def splits_plain_words(spec: dict) -> bool:
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
@@ -233,21 +247,31 @@ PIECES = ("doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int = MAX_TOKENS,
-                   segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, window: int = 4096) -> DataFrame:
+                   segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, window: int = 4096,
+                   window_tokens: int = 1 << 21) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, loss_tokens``.
 
     A document's ids are those of the tokenizer file without special tokens,
     then ``end``.  All ids of a plain document bear loss but the first, which
-    nothing precedes.  A task packs windows of ``window`` documents; what a
-    window leaves unfilled waits for the next.  ``sequence_id`` is the task's
+    nothing precedes.  A task packs windows of ``window`` pieces or
+    ``window_tokens`` tokens; what a window leaves unfilled waits for the next.
+    A sequence that the segment or loss limit closes, and the last ones, end at
+    powers of two, which are not padded.  The driver reads the tokenizer file
+    and broadcasts it.  ``sequence_id`` is the task's
     partition in the high and a counter in the low 32 bits.
 
     Null or empty text: the end id alone.  Null doc_ids and repeated rows are
     packed like others; other columns are ignored; an empty table gives none.
     """
+    with open(tokenizer, encoding="utf-8") as file:
+        text = file.read()
+    plain = WordEncoder.splits_plain_words(json.loads(text))
+    spec = docs.sparkSession.sparkContext.broadcast(text)          # a vocabulary file
+
     def run(batches):
-        encoder, packer = WordEncoder(tokenizer, end), Packer(tokens, segments, loss)
+        pa.default_memory_pool().release_unused()                  # what earlier work in this process left
+        encoder, packer = WordEncoder(spec.value, end, plain=plain), Packer(tokens, segments, loss)
         task = TaskContext.get().partitionId() << 32
         kept: dict[int, tuple] = {}        # documents with ids still waiting: (doc_id, ids, ids left)
         number = count = 0
@@ -272,8 +296,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
                 [f.split()[0] for f in PIECES.split(", ")])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in (s.slice(i, 256) for s in byte_slices(b, "text", 1 << 20) for i in range(0, s.num_rows, 256)):
                 ids_of = encoder.encode(part.column("text").to_pylist())
                 ready = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), ids_of):
@@ -281,7 +304,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
                     kept[number] = (doc, ids, n)
                     ready += packer.add(Item(number, 0, n, n - 1))
                     number += 1
-                while packer.waiting > window:
+                while packer.waiting > window or packer.tokens > window_tokens:
                     ready.append(packer.sequence())
                 yield rows(ready)
         yield rows(packer.last())

@@ -59,15 +59,30 @@ def test_documents_are_packed_whole_with_little_padding(spark):
 
 def test_other_tokenizers_take_the_general_path():
     from tokenizers import Tokenizer
-    path = P.path("byte_bpe_50k.json")
-    assert not packing.WordEncoder(path, 2).plain
-    own = packing.WordEncoder(P.path("word_bpe_49k.json"), 2, keep=3)
+    def spec(name):
+        with open(P.path(name), encoding="utf-8") as file:
+            return file.read()
+    assert not packing.WordEncoder(spec("byte_bpe_50k.json"), 2).plain
+    own = packing.WordEncoder(spec("word_bpe_49k.json"), 2, keep=3)
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = [t or "" for t in TEXTS] + [f"x{chr(c)}Y. {chr(c)}!" for c in range(32, 0x2000)]
     want = [np.array([*e.ids, 2], dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
 
 
+@pytest.mark.parametrize("loss", [4096, 500])
+def test_short_texts_are_packed_without_padding(spark, loss):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'two words' AS text")
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), loss=loss).collect()
+    seqs = {}
+    for r in rows:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    kept = [sum(r.length for r in s) for s in seqs.values()]
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    assert all(len(s) <= 256 and sum(r.loss_tokens for r in s) <= loss for s in seqs.values())
+    assert sum(n if n & (n - 1) == 0 else 4096 for n in kept) < 1.02 * sum(kept)
+
+
 def test_three_limits_hold_and_bins_are_few(spark):
     rng = np.random.default_rng(11)
     n = rng.integers(0, 900, 3000)
@@ -91,6 +106,20 @@ def test_an_example_that_fits_nowhere_is_an_error():
     assert all(sum(x.loss for x in s) <= 10 for s in whole)
 
 
+def test_decoding_of_null_empty_and_unknown_ids(spark):
+    ranks = {b"a": 0, b"\xff": 1, b"bc": 5}
+    rows = [(1, [0, 5, 1], "x"), (2, [], None), (3, None, "y"), (3, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id LONG, ids ARRAY<INT>, bytes STRING")
+    got = bpe.decode(df, ranks)
+    assert got.columns == ["doc_id", "ids", "bytes"]
+    assert sorted((r.doc_id, bytes(r.bytes) if r.bytes is not None else None) for r in got.collect()) == [
+        (1, b"abc\xff"), (2, b""), (3, None), (3, None)]
+    assert bpe.decode(df.limit(0), ranks).collect() == []
+    for ids in ([9], [3], [-1], [None]):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            bpe.decode(spark.createDataFrame([(1, ids)], "doc_id LONG, ids ARRAY<INT>"), ranks).collect()
+
+
 # --------------------------------------------------------------------- sharding
 def jump(key, n):
     b, j, key = -1, 0, key & (1 << 64) - 1
