@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +150,19 @@ def split_words(docs: DataFrame, pattern: str, buckets: int, of_documents: bool)
 
 
 # -------------------------------------------------------------------- encoding
+#: The encoder of this process, by the run that it was built for.
+_BUILT: dict[str, object] = {}
+
+
+def _encoder(run: str, vocabulary, pattern: str):
+    """The encoder of a broadcast vocabulary, built once in a worker process."""
+    if run not in _BUILT:
+        import tiktoken
+        _BUILT.clear()
+        _BUILT[run] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
+    return _BUILT[run]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``(doc_id, ids ARRAY<INT>)`` of every whole text; each match of
     ``pattern`` is encoded on its own, without special tokens.  ``docs`` is
@@ -160,12 +175,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(ranks)     # as large as the vocabulary
-    buckets = blocks_for(docs.count(), 1024)
+    buckets, name = blocks_for(docs.count(), 1024), uuid.uuid4().hex
 
     def once(key, rows):
         """All batches' words of one bucket: ids of each row's words."""
-        import tiktoken
-        bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
+        bpe = _encoder(name, vocabulary, pattern)
         known: dict[bytes, bytes] = {}
         out = []
         for lengths, body in zip(rows.column("lengths").to_pylist(), rows.column("body").to_pylist()):
@@ -222,11 +236,21 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     token_bytes = coded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
 
     def run(batches):
-        get = token_bytes.value.__getitem__
+        by_id = token_bytes.value
+        tokens = pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.large_binary())
         for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):
-            raw = [None if x is None else b"".join(map(get, x)) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in own], pa.array(raw, pa.binary())],
-                                             schema.names)
+            ids = b.column("ids")
+            flat = ids.flatten()
+            if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(tokens)):
+                raise ValueError("an id lies outside the vocabulary")
+            met = tokens.take(flat)
+            if met.null_count:
+                raise ValueError("an id lies outside the vocabulary")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int64()), met)
+            raw = pc.if_else(pc.is_valid(ids), pc.binary_join(lists, pa.scalar(b"", pa.large_binary())),
+                             pa.scalar(None, pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in own], raw.cast(pa.binary())], schema.names)
 
     return coded.mapInArrow(run, schema)
 
