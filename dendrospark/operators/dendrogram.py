@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
 
 
-def child_parent(merges: DataFrame) -> DataFrame:
-    return (merges.select(F.col("point1").alias("node"), F.col("cluster").alias("up"))
-            .unionByName(merges.select(F.col("point2").alias("node"), F.col("cluster").alias("up"))))
+def child_parent(merges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    keys = keys or []
+    return (merges.select(*keys, F.col("point1").alias("node"), F.col("cluster").alias("up"))
+            .unionByName(merges.select(*keys, F.col("point2").alias("node"), F.col("cluster").alias("up"))))
 
 
 def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
@@ -73,31 +74,38 @@ def root_of(edges: DataFrame, scratch: Scratch, keys: list[str] | None = None,
             return p
 
 
-def check_level(merges: DataFrame, n: int, k: int) -> None:
-    top = merges.agg(F.max("cluster")).first()[0]
-    have = 0 if top is None else int(top) - n
+def check_level(merges: DataFrame, n: int, k: int, model: str | None = None, models: list | None = None) -> None:
+    tops = merges.groupBy(*([model] if model else [])).agg(F.max("cluster").alias("top"))
+    found = tops.agg(F.min("top").alias("top"), F.count("top").alias("models")).first()
+    have = 0 if found["models"] < len(models or [0]) else int(found["top"]) - n
     if k < 1 or n - k > have:
         raise ValueError(
             f"cannot cut at k={k}: the merge table holds {have} merges of {n} points "
             f"(lowest reachable k is {n - have})")
 
 
-def cut(merges: DataFrame, n: int, k: int, scratch: Scratch | None = None) -> DataFrame:
-    """``(id, cluster)`` after the first n-k merges; a point untouched by
-    them keeps its own id."""
+def cut(merges: DataFrame, n: int, k: int, scratch: Scratch | None = None, model: str | None = None,
+        models: list | None = None) -> DataFrame:
+    """``([model,] id, cluster)`` after the first n-k merges; a point untouched
+    by them keeps its own id.  ``model`` names a column that tells the merge
+    tables of ``models``, all of n points, apart: they are cut together."""
     spark = merges.sparkSession
-    check_level(merges, n, k)
+    check_level(merges, n, k, model, models)
     scratch = scratch or Scratch(spark, "cut")
+    keys = [model] if model else []
     sub = merges.where(F.col("cluster") <= 2 * n - k)
-    roots = root_of(child_parent(sub), scratch)
+    roots = root_of(child_parent(sub, keys), scratch, keys).withColumnRenamed("node", "id")
     pts = spark.range(1, n + 1)
-    return (pts.join(roots, pts.id == roots.node, "left")
-            .select("id", F.coalesce("up", "id").alias("cluster")))
+    if model:
+        kind = merges.schema[model].dataType
+        pts = pts.withColumn(model, F.explode(F.array(*[F.lit(m).cast(kind) for m in models])))
+    return (pts.join(roots, [*keys, "id"], "left")
+            .select(*keys, "id", F.coalesce("up", "id").alias("cluster")))
 
 
-def cut_levels(merges: DataFrame, n: int, ks: list[int],
-               scratch: Scratch | None = None) -> DataFrame:
-    """D4 for many K at once -> ``(k, id, cluster)``.
+def cut_levels(merges: DataFrame, n: int, ks: list[int], scratch: Scratch | None = None,
+               model: str | None = None, models: list | None = None) -> DataFrame:
+    """D4 for many K, and models as in ``cut``, at once -> ``([model,] k, id, cluster)``.
 
     One pointer-doubling cut at the largest K; every smaller K differs from
     it only by the last k_max - k merges, a table bounded by the K range,
@@ -105,22 +113,23 @@ def cut_levels(merges: DataFrame, n: int, ks: list[int],
     spark = merges.sparkSession
     ks = sorted(set(int(k) for k in ks))
     kmax, kmin = ks[-1], ks[0]
-    check_level(merges, n, kmin)
+    check_level(merges, n, kmin, model, models)
     scratch = scratch or Scratch(spark, "cut-levels")
-    base = cut(merges, n, kmax, scratch)
+    keys = [model] if model else []
+    base = cut(merges, n, kmax, scratch, model, models)
     klist = F.array(*[F.lit(k) for k in ks])
     top = merges.where((F.col("cluster") > 2 * n - kmax) & (F.col("cluster") <= 2 * n - kmin))
-    top_edges = (child_parent(top.select("cluster", "point1", "point2"))
+    top_edges = (child_parent(top, keys)
                  .withColumn("k", F.explode(klist))
                  .where(F.col("up") <= F.lit(2 * n) - F.col("k")))
-    mapping = root_of(top_edges, scratch, keys=["k"])
-    mapping = mapping.select("k", F.col("node").alias("c0"), F.col("up").alias("top"))
-    # at most two rows for each level and each merge between the levels
-    if fits_broadcast(2 * (kmax - kmin) * len(ks), 48):
+    mapping = root_of(top_edges, scratch, keys=[*keys, "k"])
+    mapping = mapping.select(*keys, "k", F.col("node").alias("c0"), F.col("up").alias("top"))
+    # at most two rows for each model, level and merge between the levels
+    if fits_broadcast(2 * (kmax - kmin) * len(ks) * len(models or [0]), 48):
         mapping = F.broadcast(mapping)
-    lab = base.select("id", F.col("cluster").alias("c0")).withColumn("k", F.explode(klist))
-    return (lab.join(mapping, ["k", "c0"], "left")
-            .select("k", "id", F.coalesce("top", "c0").alias("cluster")))
+    lab = base.select(*keys, "id", F.col("cluster").alias("c0")).withColumn("k", F.explode(klist))
+    return (lab.join(mapping, [*keys, "k", "c0"], "left")
+            .select(*keys, "k", "id", F.coalesce("top", "c0").alias("cluster")))
 
 
 def cluster_members(merges: DataFrame, n: int, cluster: int,

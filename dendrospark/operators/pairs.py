@@ -8,11 +8,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sq_euclidean
-from ..session import DEFAULT_BROADCAST_BYTES
+from ..session import DEFAULT_BROADCAST_BYTES, Scratch, fits_broadcast
 
 STRATEGIES = ("min", "max", "avg", "wavg")
 
@@ -151,7 +151,77 @@ def cluster_sizes(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def median_by(df: DataFrame, keys: list[str], col: str, out: str = "median") -> DataFrame:
+#: Where a group's values are cut in each round of median_by().
+_CUTS = [i / 16 for i in range(1, 8)] + [0.5 - 1 / 256, 0.5, 0.5 + 1 / 256] + [i / 16 for i in range(9, 16)]
+
+
+def median_by(df: DataFrame, keys: list[str], col: str, out: str = "median", small: int = 1024) -> DataFrame:
     """Exact median per group (mean of the two middle values for even
-    counts)."""
-    return df.groupBy(*keys).agg(F.median(col).alias(out))
+    counts).  Null values are left out, NaN is the largest value; a group
+    without a value has a null median.
+
+    Groups of at most ``small`` values are sorted in one row each.  If any is
+    larger, all are narrowed in rounds: a sketch of bounded size gives each group
+    seventeen of its values as cuts, one aggregate counts the values between and
+    at the cuts, and only the values of the interval that holds the lower middle
+    one go on, at most about a sixteenth.  Values equal to a cut are an answer,
+    however often they repeat.  No task ever holds a group."""
+    work = Scratch(df.sparkSession, "median")
+    rows = df.select(F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(col).cast("double").alias("x"))
+    sizes = work.put(rows.groupBy("g").agg(F.count("x").alias("n")), "sizes")
+    named = [F.col("g")[k].alias(k) for k in keys]
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= small:
+        xs = rows.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        n = F.size("xs")
+        middle = (F.get("xs", F.floor((n - 1) / 2).cast("int")) + F.get("xs", F.floor(n / 2).cast("int"))) / 2
+        return xs.select(*named, F.when(n > 0, middle).alias(out))
+
+    low = _lower_middles(rows, sizes, small, work)
+    around = rows.join(_maybe_broadcast(low, 64), "g").groupBy("g").agg(
+        F.first("low").alias("low"), F.count("x").alias("n"), F.count_if(F.col("x") <= F.col("low")).alias("upto"),
+        F.min(F.when(F.col("x") > F.col("low"), F.col("x"))).alias("next"))
+    # values up to the lower middle one reach the upper middle one, or the next value is it
+    median = F.when((F.col("n") % 2 == 1) | (2 * F.col("upto") > F.col("n")), F.col("low")).otherwise(
+        (F.col("low") + F.col("next")) / 2)
+    # a struct of nulls equals another: groups under a null key meet
+    return sizes.join(around.select("g", median.alias(out)), "g", "left").select(*named, out)
+
+
+def _maybe_broadcast(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df.count(), bytes_per_row) else df
+
+
+def _lower_middles(rows: DataFrame, sizes: DataFrame, small: int, work: Scratch) -> DataFrame:
+    """``(g, low)``: the value of rank (n - 1) div 2 of each group, counted from 0."""
+    found = []
+    rows = rows.where("x IS NOT NULL")
+    left = sizes.where("n > 0").select("g", "n", F.floor((F.col("n") - 1) / 2).alias("t"))
+    i = 0
+    while True:
+        most = left.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        if most <= small:
+            xs = rows.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+            found.append(xs.join(left, "g").select("g", F.get("xs", F.col("t").cast("int")).alias("low")))
+            break
+        cuts = rows.groupBy("g").agg(F.percentile_approx("x", _CUTS, 10000).alias("cuts"))
+        cuts = work.put(cuts, f"cuts-{i}")
+        above = reduce(Column.__add__, [F.when(F.col("x") > F.col("cuts")[c], 1).otherwise(0) for c in range(len(_CUTS))])
+        upto = reduce(Column.__add__, [F.when(F.col("x") >= F.col("cuts")[c], 1).otherwise(0) for c in range(len(_CUTS))])
+        # grows with x; the values equal to a cut have a number of their own
+        at = rows.join(_maybe_broadcast(cuts, 8 * len(_CUTS) + 64), "g").select(
+            "g", "x", (above + upto).alias("part"), (above != upto).alias("cut"))
+        parts = at.groupBy("g", "part", "cut").agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("low"))
+        upto_part = Window.partitionBy("g").orderBy("part")     # at most 35 rows
+        parts = parts.withColumn("end", F.sum("m").over(upto_part)).join(left.select("g", "t"), "g")
+        held = parts.where((F.col("t") < F.col("end")) & (F.col("t") >= F.col("end") - F.col("m")))
+        held = work.put(held.select("g", "part", "cut", "low", F.col("m").alias("n"),
+                                    (F.col("t") - F.col("end") + F.col("m")).alias("t")), f"held-{i}")
+        found.append(held.where("cut").select("g", "low"))
+        left = held.where("NOT cut")
+        rows = work.put(at.where("NOT cut").join(_maybe_broadcast(left.select("g", "part"), 64), ["g", "part"])
+                        .select("g", "x"), f"rows-{i}")
+        left = left.select("g", "n", "t")
+        i += 1
+    return work.put(reduce(DataFrame.unionByName, found), "low")

@@ -416,6 +416,15 @@ def q_bisecting_grid_embeddings(spark, sf):
     return g.select("dataset", "nv", *_report_cols(g).columns)
 
 
+def q_median_price_by_flag(spark, sf):
+    rows = _t(spark, sf, "lineitem")
+    return median_by(rows, ["l_returnflag"], "l_extendedprice").select("l_returnflag", r6("median").alias("median"))
+
+
+def q_median_quantity(spark, sf):
+    return median_by(_t(spark, sf, "lineitem"), [], "l_quantity").select(r6("median").alias("median"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairwise_supplier": q_pairwise_supplier,
     "pairwise_embeddings": q_pairwise_embeddings,
@@ -433,6 +442,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_prefix": q_feature_prefix,
     "to_double": q_to_double,
     "median_acctbal": q_median_acctbal,
+    "median_price_by_flag": q_median_price_by_flag,
+    "median_quantity": q_median_quantity,
     "label_centroids": q_label_centroids,
     "label_sizes": q_label_sizes,
     "label_linkage_min": _label_linkage("min"),
@@ -666,6 +677,9 @@ ORACLE: dict[str, str] = {
                   "ELSE CAST(split_part(s_name, '#', 2) AS DOUBLE) END AS num FROM supplier"),
     "median_acctbal": ("SELECT c_nationkey, round(median(c_acctbal), 6) AS median FROM customer "
                        "GROUP BY c_nationkey"),
+    "median_price_by_flag": ("SELECT l_returnflag, round(median(l_extendedprice), 6) AS median FROM lineitem "
+                             "GROUP BY l_returnflag"),
+    "median_quantity": "SELECT round(median(l_quantity), 6) AS median FROM lineitem",
     "label_centroids": (f"WITH {O.EMB_PTS}, {O.long_points('ep')} SELECT CAST(e.label AS BIGINT) AS cluster, "
                         "CAST(pl.pos - 1 AS BIGINT) AS pos, "
                         "round(avg(pl.x), 6) AS value FROM ep e JOIN pl ON pl.id = e.id GROUP BY 1, 2"),

@@ -56,6 +56,40 @@ def test_median_even_and_odd(spark):
     assert got == {0: 3.0, 1: 3.0}
 
 
+def test_median_by_narrowing_equals_sorting(spark):
+    import math
+
+    import numpy as np
+    rng = np.random.default_rng(5)
+    nan = float("nan")
+    groups = {"wide": (10.0 ** rng.uniform(-300, 300, 3001)) * rng.choice([-1, 1], 3001),
+              "even": rng.normal(size=4000),
+              "few values": rng.integers(0, 4, 5000).astype(float),
+              # two of three rows are one value, just below or at the middle
+              "hot below": np.concatenate((np.zeros(1500), rng.uniform(1, 2, 1502))),
+              "hot at": np.concatenate((np.zeros(2000), rng.uniform(1, 2, 1000))),
+              "two halves": np.concatenate((np.full(1000, -1.0), np.full(1000, 3.0))),
+              "small": np.array([4.0, 1.0]), "one": np.array([7.0]), None: rng.normal(size=2000)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    rows += [("null only", None), ("even", None), ("nan", 1.0), ("nan", nan), ("nan", nan)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(g, None if x is None else float(x)) for g, x in rows], "g STRING, x DOUBLE").repartition(5)
+    for small in (16, 10 ** 6):
+        got = {r["g"]: r["m"] for r in median_by(df, ["g"], "x", "m", small=small).collect()}
+        assert set(got) == {*groups, "null only", "nan"}
+        assert got.pop("null only") is None and math.isnan(got.pop("nan"))
+        assert got == pytest.approx({g: float(np.median(xs)) for g, xs in groups.items()}, rel=1e-12)
+
+
+def test_median_of_one_group_and_of_none(spark):
+    df = spark.range(1, 20001).selectExpr("CAST(id % 9999 AS DOUBLE) AS x")
+    want = sorted(i % 9999 for i in range(1, 20001))
+    assert median_by(df, [], "x").first()["median"] == (want[9999] + want[10000]) / 2
+    assert median_by(df.where("false").withColumn("g", F.lit(1)), ["g"], "x").count() == 0
+    plan = median_by(df, [], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "collect_list" not in plan
+
+
 def test_pairs_both_methods_agree(spark):
     import numpy as np
     rng = np.random.default_rng(3)
