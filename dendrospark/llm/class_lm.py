@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import fold, scratch, table, whole_text
+from .common import byte_slices, fold, scratch, table, whole_text
 
 #: The end of a text, a token that no word equals.
 END = b"\n"
@@ -119,8 +120,7 @@ class Encoder:
         return self.suffix.get(word[-SUFFIX:], self.rest)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         units = self.unit_of[at]
         for i in np.flatnonzero(at < 0).tolist():
             units[i] = self.unit(words[i])
@@ -128,6 +128,8 @@ class Encoder:
 
 
 def vocabulary(counts: DataFrame, common: int, units: int, suffixes: int) -> Vocabulary:
+    if units + suffixes + 1 > 1 << 16:
+        raise ValueError(f"{units} words and {suffixes} endings: a unit's number has 16 bits")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = frequent_from(counts, common)
     rows = sorted(((r["n"], bytes(r["word"])) for r in counts.where(F.col("n") >= least).collect()),
@@ -149,19 +151,61 @@ def end_unit(v: Vocabulary) -> int:
     return v.words.index(END) if END in v.words[:v.n_units] else Encoder(v).unit(END)
 
 
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One run of numbers after another, each as bytes."""
+    starts = np.concatenate(([0], np.cumsum(lengths))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths),
+                                 [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def numbers(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What binaries() was given."""
+    offset = np.dtype(np.int64 if pa.types.is_large_binary(col.type) else np.int32)
+    _, starts, data = col.buffers()
+    ends = np.frombuffer(starts, offset, len(col) + 1, col.offset * offset.itemsize).astype(np.int64)
+    kind = np.dtype(kind)
+    return (np.frombuffer(data, kind, (ends[-1] - ends[0]) // kind.itemsize, ends[0]).astype(np.int64),
+            np.diff(ends) // kind.itemsize)
+
+
 def encoded_corpus(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Units of all training texts one after another, many texts to a row."""
+    """``(doc_id, held_out, at, units, rare)``: each text cut into tokens once,
+    for everything that follows.  ``at``: each token's place among the common
+    words, or -1 - k for the text's k-th rare word; ``units``: each token's
+    unit; ``rare``: the rare words, each once."""
     held = docs.sparkSession.sparkContext.broadcast(v)
+    held_out = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
 
     def run(batches):
         encoder = Encoder(held.value)
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                words = [w for t in b.column("text").slice(i, 512).to_pylist() for w in tokens(t)]
-                units = encoder.encode(words)[1].astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.array([units.tobytes()], pa.binary())], ["units"])
-
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "units BINARY")
+        for batch in batches:
+            for b in byte_slices(batch, "text", 1 << 21):
+                texts = [tokens(t) for t in b.column("text").to_pylist()]
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                flat = [w for t in texts for w in t]
+                at, units = encoder.encode(flat)
+                rare: list[dict[bytes, int]] = [{} for _ in texts]
+                unknown = np.flatnonzero(at < 0)
+                owner = np.searchsorted(np.cumsum(n), unknown, "right")
+                at[unknown] = [-1 - rare[o].setdefault(flat[j], len(rare[o]))
+                               for o, j in zip(owner.tolist(), unknown.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("held_out"), binaries(at.astype("<i4"), n),
+                     binaries(units.astype("<u2"), n), lists([list(r) for r in rare], pa.binary())],
+                    ["doc_id", "held_out", "at", "units", "rare"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
+                       whole_text().alias("text")).mapInArrow(
+        run, "doc_id LONG, held_out BOOLEAN, at BINARY, units BINARY, rare ARRAY<BINARY>")
+
+
+def rare_words(b: pa.RecordBatch, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which tokens are rare words, and each one's place among all rows' rare
+    words, one row's after another."""
+    held = pc.list_value_length(b.column("rare")).to_numpy().astype(np.int64)
+    unknown = np.flatnonzero(at < 0)
+    owner = np.searchsorted(np.cumsum(n), unknown, "right")
+    return unknown, (np.cumsum(held) - held)[owner] - 1 - at[unknown], b.column("rare").flatten()
 
 
 def neighbours(corpus: DataFrame, classes: np.ndarray, n_classes: int, end: int, rows: int = 1024) -> np.ndarray:
@@ -175,10 +219,10 @@ def neighbours(corpus: DataFrame, classes: np.ndarray, n_classes: int, end: int,
     def run(batches):
         cls = held.value
         total = np.zeros((2, units * n_classes), dtype=np.int64)
-        for b in batches:
-            for raw in b.column("units").to_pylist():
-                u = np.frombuffer(raw, dtype="<u2").astype(np.int64)
-                before = np.concatenate(([end], u[:-1]))       # a row begins with a text
+        for batch in batches:
+            for b in byte_slices(batch, "units", 1 << 21):
+                u = numbers(b.column("units"), "<u2")[0]
+                before = np.concatenate(([end], u[:-1]))       # a slice begins with a text
                 total[0] += np.bincount(before * n_classes + cls[u], minlength=units * n_classes)
                 total[1] += np.bincount(u * n_classes + cls[before], minlength=units * n_classes)
         both = np.concatenate((total[0].reshape(units, -1), total[1].reshape(units, -1)), axis=1)
@@ -198,7 +242,7 @@ def neighbours(corpus: DataFrame, classes: np.ndarray, n_classes: int, end: int,
 
     schema = "block INT, counts BINARY"
     parts = max(2, spark.sparkContext.defaultParallelism)
-    done = corpus.coalesce(parts).mapInArrow(run, schema).repartition(parts, "block").mapInArrow(add, schema)
+    done = corpus.select("units").coalesce(parts).mapInArrow(run, schema).repartition(parts, "block").mapInArrow(add, schema)
     out = np.zeros((units, 2 * n_classes), dtype=np.int64)
     for r in done.collect():
         x = np.frombuffer(bytes(r["counts"]), dtype=np.int64).reshape(-1, 2 * n_classes)
@@ -281,45 +325,52 @@ def learn(docs: DataFrame, work: Scratch, n_classes: int = 64, sweeps: int = 4,
     return Model(v, classes, mixed(v, transitions, mass, kinds, share), int(classes[end]), None), counts
 
 
-def contexts(docs: DataFrame, model: Model, most: int = 1 << 19) -> DataFrame:
+def contexts(corpus: DataFrame, model: Model, most: int = 1 << 21) -> DataFrame:
     """``(word BINARY, code ARRAY<SHORT>, n ARRAY<INT>)``: how often each class
     follows (code: the class) and precedes (classes + the class) every word
     that is no unit, in parts of about ``most`` neighbours."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = corpus.sparkSession.sparkContext.broadcast((model.vocabulary.words, model.vocabulary.n_units, model.classes,
+                                                       2 * len(model.mix)))
 
     def run(batches):
-        m = held.value
-        encoder, c, n_units = Encoder(m.vocabulary), len(m.mix), m.vocabulary.n_units
-        names: dict[bytes, int] = {}
+        common, n_units, classes, c2 = held.value
+        names: dict[bytes, int] = {}                            # rare words, numbered after the common ones
         keys: list[np.ndarray] = []
 
         def flushed():
             key, n = np.unique(np.concatenate(keys), return_counts=True)
-            starts = pa.array(np.searchsorted(key, np.arange(len(names) + 1) * 2 * c), pa.int32())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(names), pa.binary()),
-                 pa.ListArray.from_arrays(starts, pa.array((key % (2 * c)).astype(np.int16))),
-                 pa.ListArray.from_arrays(starts, pa.array(n.astype(np.int32)))], ["word", "code", "n"])
+            first = np.flatnonzero(np.diff(key // c2, prepend=-1))
+            rare = list(names)
+            words = [common[k] if k < len(common) else rare[k - len(common)] for k in (key[first] // c2).tolist()]
+            starts = pa.array(np.append(first, len(key)), pa.int32())
             names.clear()
             keys.clear()
-            return out
-
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                words = [END]                                   # a row begins with a text
-                words += (w for t in b.column("text").slice(i, 512).to_pylist() for w in tokens(t))
-                at, units = encoder.encode(words)
-                cls = m.classes[units]
-                other = np.flatnonzero((at < 0) | (at >= n_units))
-                name = np.fromiter((names.setdefault(words[k], len(names)) for k in other.tolist()), np.int64, len(other))
-                follow, precede = other < len(words) - 1, other > 0
-                keys += [name[follow] * 2 * c + cls[other[follow] + 1], name[precede] * 2 * c + c + cls[other[precede] - 1]]
-                if names and sum(map(len, keys)) > most:
-                    yield flushed()
-        if names:
-            yield flushed()
+            for i in range(0, len(words), 1 << 16):
+                at = starts.slice(i, min(1 << 16, len(words) - i) + 1)
+                lo, hi = at[0].as_py(), at[-1].as_py()
+                at = pc.subtract(at, pa.scalar(lo, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words[i:i + (1 << 16)], pa.binary()),
+                     pa.ListArray.from_arrays(at, pa.array((key[lo:hi] % c2).astype(np.int16))),
+                     pa.ListArray.from_arrays(at, pa.array(n[lo:hi].astype(np.int32)))], ["word", "code", "n"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "word BINARY, code ARRAY<SHORT>, n ARRAY<INT>")
+        for batch in batches:
+            for b in byte_slices(batch, "at", 1 << 21):
+                at, n = numbers(b.column("at"), "<i4")
+                cls = classes[numbers(b.column("units"), "<u2")[0]]
+                unknown, place, rare = rare_words(b, at, n)
+                rare = rare.dictionary_encode()
+                known = np.array([names.setdefault(w, len(names)) for w in rare.dictionary.to_pylist()], dtype=np.int64)
+                at[unknown] = len(common) + known[rare.indices.to_numpy().astype(np.int64)[place]]
+                other = np.flatnonzero(at >= n_units)
+                # the slice's last token, an end, also stands before its first
+                keys += [at[other] * c2 + np.roll(cls, -1)[other], at[other] * c2 + c2 // 2 + np.roll(cls, 1)[other]]
+                if sum(map(len, keys)) > most:
+                    yield from flushed()
+        if keys:
+            yield from flushed()
+
+    return corpus.select("at", "units", "rare").mapInArrow(run, "word BINARY, code ARRAY<SHORT>, n ARRAY<INT>")
 
 
 def best_classes(around: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -374,22 +425,6 @@ def assigned(parts: DataFrame, model: Model, after: np.ndarray, before: np.ndarr
     return parts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word BINARY, n LONG, class INT")
 
 
-def open_pairs(flat: list[bytes], at: np.ndarray, cls: np.ndarray, starts: np.ndarray, owner: np.ndarray, owners: int,
-               end_class: int) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, list[int]]]]:
-    """Classes before and of each token, where -1 - k stands for the k-th rare
-    word of the token's owner; and each owner's rare words, with k and times."""
-    rare: list[dict[bytes, list[int]]] = [{} for _ in range(owners)]
-    code = cls.copy()
-    unknown = np.flatnonzero(at < 0)
-    for o, j in zip(owner[unknown].tolist(), unknown.tolist()):
-        k = rare[o].setdefault(flat[j], [len(rare[o]), 0])
-        k[1] += 1
-        code[j] = -1 - k[0]
-    before = np.concatenate(([end_class], code[:-1]))
-    before[starts] = end_class                                  # a text follows an end
-    return before, code, rare
-
-
 def lists(rows: list, kind) -> pa.Array:
     return pa.array(rows, pa.list_(kind))
 
@@ -428,34 +463,34 @@ def resolved(b: pa.RecordBatch, name: str, first: np.ndarray, cls: np.ndarray) -
     return row, out
 
 
-def class_bigrams(docs: DataFrame, model: Model, lookup: DataFrame, work: Scratch) -> np.ndarray:
+def class_bigrams(corpus: DataFrame, model: Model, lookup: DataFrame, work: Scratch) -> np.ndarray:
     """How often each class follows each, with every word in its own class."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     c = len(model.mix)
+    held = corpus.sparkSession.sparkContext.broadcast((model.own, model.end_class))
 
     def read(batches):
-        m = held.value
-        encoder, row = Encoder(m.vocabulary), TaskContext.get().partitionId() << 40
-        places, known = m.of_places(encoder), np.zeros(c * c, dtype=np.int64)
+        places, end = held.value
+        row, known = TaskContext.get().partitionId() << 40, np.zeros(c * c, dtype=np.int64)
 
         def record(rare, first, second, known):
             return pa.RecordBatch.from_arrays(
-                [pa.array([row]), lists([list(rare)], pa.binary()), cut(first, np.array([len(first)])),
+                [pa.array([row]), lists([rare], pa.binary()), cut(first, np.array([len(first)])),
                  cut(second, np.array([len(second)])), lists([known], pa.int64())],
                 ["row", "keys", "first", "second", "known"])
 
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                texts = [tokens(t) for t in b.column("text").slice(i, 512).to_pylist()]
-                n = np.fromiter(map(len, texts), np.int64, len(texts))
-                flat = [w for t in texts for w in t]
-                at, units = encoder.encode(flat)
-                before, code, rare = open_pairs(flat, at, places[at], np.cumsum(n) - n, np.zeros(len(flat), np.int64), 1,
-                                                m.end_class)
+        for batch in batches:
+            for b in byte_slices(batch, "at", 1 << 20):
+                at, n = numbers(b.column("at"), "<i4")
+                unknown, place, rare = rare_words(b, at, n)
+                rare = rare.dictionary_encode()
+                code = places[np.maximum(at, 0)]
+                code[unknown] = -1 - rare.indices.to_numpy().astype(np.int64)[place]
+                before = np.concatenate(([end], code[:-1]))
+                before[np.cumsum(n) - n] = end                  # a text follows an end
                 left = (before < 0) | (code < 0)
                 known += np.bincount(before[~left] * c + code[~left], minlength=c * c)
                 if left.any():
-                    yield record(rare[0], before[left], code[left], [])
+                    yield record(rare.dictionary.to_pylist(), before[left], code[left], [])
                     row += 1
         yield record([], np.zeros(0), np.zeros(0), known)
 
@@ -469,7 +504,7 @@ def class_bigrams(docs: DataFrame, model: Model, lookup: DataFrame, work: Scratc
             total += np.bincount(resolved(b, "first", first, cls)[1] * c + resolved(b, "second", first, cls)[1], minlength=c * c)
         yield pa.RecordBatch.from_arrays([lists([total], pa.int64())], ["total"])
 
-    rows = work.put(docs.select(whole_text().alias("text")).mapInArrow(
+    rows = work.put(corpus.select("at", "rare").mapInArrow(
         read, "row LONG, keys ARRAY<BINARY>, first ARRAY<INT>, second ARRAY<INT>, known ARRAY<LONG>"), "bigrams")
     sums = with_found(rows, lookup).mapInArrow(add, "total ARRAY<LONG>")
     return sum((np.array(r["total"], dtype=float) for r in sums.toLocalIterator()), np.zeros(c * c)).reshape(c, c)
@@ -484,12 +519,12 @@ def classes_of_words(docs: DataFrame, model: Model, work: Scratch, share: float
     spark = docs.sparkSession
     if not v.n:
         return model, spark.createDataFrame([], "word BINARY, n LONG, class INT")
-    around = neighbours(work.get("corpus"), model.classes, c, end_unit(v))
-    work.drop("corpus")
+    corpus = work.get("corpus")
+    around = neighbours(corpus, model.classes, c, end_unit(v))
     after, before = np.zeros((c, c)), np.zeros((c, c))
     np.add.at(after, model.classes, around[:, :c].astype(float))
     np.add.at(before, model.classes, around[:, c:].astype(float))
-    words = work.put(assigned(contexts(docs, model), model, after, before), "classes")
+    words = work.put(assigned(contexts(corpus, model), model, after, before), "classes")
 
     least = int(v.counts[-1]) if len(v.counts) else v.n + 1
     # the common words in the order of the vocabulary: only their classes reach the driver
@@ -510,7 +545,7 @@ def classes_of_words(docs: DataFrame, model: Model, work: Scratch, share: float
              .select(F.concat(F.lit(END), "s").alias("word"), F.lit(0).cast("long").alias("n"), "class"))
     model = model._replace(own=own, end_class=end_class)
     less = words.where(F.col("n") < least)
-    model = model._replace(mix=mixed(v, class_bigrams(docs, model, less, work), mass, kinds, share))
+    model = model._replace(mix=mixed(v, class_bigrams(corpus, model, less, work), mass, kinds, share))
     return model, work.put(less.unionByName(tails), "lookup")
 
 
@@ -519,49 +554,50 @@ SCORED = ("row LONG, doc_id LONG, held_out BOOLEAN, n_tokens LONG, n_known LONG,
           "first ARRAY<INT>, second ARRAY<INT>")
 
 
-def score_common(docs: DataFrame, model: Model) -> DataFrame:
-    """What a task knows of each document by itself; the words whose count it
-    does not know with the class of their ending, and the pairs of classes with
-    such words.  An ending that is no unit is a key too, 0 times, with the word
-    that has it as ``slot``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_common(corpus: DataFrame, model: Model) -> DataFrame:
+    """What a task knows of each document of encoded_corpus() by itself; the
+    words whose count it does not know with the class of their ending, and the
+    pairs of classes with such words.  An ending that is no unit is a key too,
+    0 times, with the word that has it as ``slot``."""
+    held = corpus.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         encoder, row = Encoder(m.vocabulary), TaskContext.get().partitionId() << 40
         places = m.of_places(encoder)
-        # one more entry, for the place -1: counted later
-        log_count = np.concatenate((np.log10(m.vocabulary.counts + ADD), [0.0]))
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                texts = [tokens(t) for t in part.column("text").to_pylist()]
-                n = np.fromiter(map(len, texts), np.int64, len(texts))
+        log_count = np.log10(np.append(m.vocabulary.counts, 0) + ADD)
+        for batch in batches:
+            for b in byte_slices(batch, "at", 1 << 20):
+                at, n = numbers(b.column("at"), "<i4")
                 starts = np.cumsum(n) - n
-                flat = [w for t in texts for w in t]
-                at, units = encoder.encode(flat)
-                before, code, rare = open_pairs(flat, at, places[at], starts, np.repeat(np.arange(len(texts)), n),
-                                                len(texts), m.end_class)
-                left = (before < 0) | (code < 0)
+                unknown, place, words = rare_words(b, at, n)
+                times = np.bincount(place, minlength=len(words)).tolist()
+                known = at >= 0
+                code = np.where(known, places[np.maximum(at, 0)], at)
+                before = np.concatenate(([m.end_class], code[:-1]))
+                before[starts] = m.end_class                    # a text follows an end
+                left = (before < 0) | ~known
                 pairs = np.add.reduceat(left.astype(np.int64), starts)
-                more = [[w for w in r if w[-SUFFIX:] not in encoder.suffix] for r in rare]
+                rare = b.column("rare").to_pylist()
+                more = [[(k, w) for k, w in enumerate(r) if w[-SUFFIX:] not in encoder.suffix] for r in rare]
+                at_first = np.cumsum([0, *map(len, rare)]).tolist()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + len(texts))), part.column("doc_id"), part.column("held_out"),
-                    pa.array(n), pa.array(np.add.reduceat((at >= 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log_count[at], starts)),
+                    pa.array(np.arange(row, row + len(n))), b.column("doc_id"), b.column("held_out"),
+                    pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(np.where(known, log_count[np.maximum(at, 0)], 0.0), starts)),
                     pa.array(np.add.reduceat(
                         np.where(left, 0.0, m.mix[np.maximum(before, 0), np.maximum(code, 0)]), starts)),
-                    lists([[*r, *(END + w[-SUFFIX:] for w in x)] for r, x in zip(rare, more)], pa.binary()),
-                    lists([[*(k[1] for k in r.values()), *(0 for _ in x)] for r, x in zip(rare, more)], pa.int32()),
-                    lists([[*range(len(r)), *(r[w][0] for w in x)] for r, x in zip(rare, more)], pa.int32()),
-                    lists([[int(m.classes[encoder.unit(w)]) for w in (*r, *x)] for r, x in zip(rare, more)], pa.int32()),
+                    lists([[*r, *(END + w[-SUFFIX:] for _, w in x)] for r, x in zip(rare, more)], pa.binary()),
+                    lists([[*times[i:j], *(0 for _ in x)] for i, j, x in zip(at_first, at_first[1:], more)], pa.int32()),
+                    lists([[*range(len(r)), *(k for k, _ in x)] for r, x in zip(rare, more)], pa.int32()),
+                    lists([[int(m.classes[encoder.unit(w)]) for w in (*r, *(w for _, w in x))]
+                           for r, x in zip(rare, more)], pa.int32()),
                     cut(before[left], pairs), cut(code[left], pairs)],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_mix", "keys", "times",
                      "slot", "ending", "first", "second"])
-                row += len(texts)
+                row += len(n)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", whole_text().alias("text")).mapInArrow(
-        run, SCORED)
+    return corpus.select("doc_id", "held_out", "at", "rare").mapInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, work: Scratch) -> DataFrame:
@@ -574,13 +610,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, work: Scratch) -> Da
     scored like others; an empty table gives an empty result; with nothing to
     learn from, every token is unknown.
     """
+    return score_encoded(work.put(encoded_corpus(docs, model.vocabulary), "to-score"), model, counts, work)
+
+
+def score_encoded(corpus: DataFrame, model: Model, counts: DataFrame, work: Scratch) -> DataFrame:
+    """score() of encoded_corpus()."""
     v = model.vocabulary
     least = int(v.counts[-1]) if len(v.counts) else 1
-    scored = work.put(score_common(docs, model), "scored")
+    scored = work.put(score_common(corpus, model), "scored")
     less = counts.where(F.col("n") < least) if len(v.counts) else counts
     if "class" not in less.columns:
         less = less.withColumn("class", F.lit(None).cast("int"))
-    mix = docs.sparkSession.sparkContext.broadcast(model.mix)
+    mix = corpus.sparkSession.sparkContext.broadcast(model.mix)
 
     def run(batches):
         for b in batches:
@@ -619,4 +660,7 @@ def op5_class_lm(spark, sf_dir):
     known = docs.where("NOT held_out")
     model, _ = learn(known, work)
     model, words = classes_of_words(known, model, work)
-    return score(docs, model, words, work)
+    texts = work.put(encoded_corpus(docs.where("held_out"), model.vocabulary), "held-out")
+    if model.vocabulary.n:
+        texts = texts.unionByName(work.get("corpus"))
+    return score_encoded(texts, model, words, work)
