@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import (mean_vectors, other_endpoint, sq_norm,
                                  to_double_or_zero, weighted_sq_euclidean)
 from ..operators import indices as V
+from ..operators.bounded import dunn_min_max_bounded
 from ..operators.centers import LinkageModel, centers, compute_cost, group_by_center, predict
 from ..operators.dendrogram import all_ids, cluster_members, cluster_of, cut, is_cluster
 from ..operators.linkage import (linkage, linkage_with_assignments, merge_members, midpoint_centers, midpoints,
@@ -341,6 +342,12 @@ def q_predict_blocks_supplier(spark, sf):
     return predict(pts, c, broadcast_bytes=64).select("id", "center", r6("d2").alias("d2"))
 
 
+def q_predict_balls_supplier(spark, sf):
+    """The metric index, whatever the number of centers."""
+    pts, c = _sup_centers(spark, sf)
+    return predict(pts, c, index_from=1).select("id", "center", r6("d2").alias("d2"))
+
+
 def q_cost_supplier(spark, sf):
     pts, c = _sup_centers(spark, sf)
     return compute_cost(predict(pts, c)).select(r6("cost").alias("cost"))
@@ -479,6 +486,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "centers_supplier": q_centers_supplier,
     "predict_supplier": q_predict_supplier,
     "predict_blocks_supplier": q_predict_blocks_supplier,
+    "predict_balls_supplier": q_predict_balls_supplier,
     "cost_supplier": q_cost_supplier,
     "group_by_center_supplier": q_group_by_center_supplier,
     "silhouette_labels": q_silhouette_labels,
@@ -486,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dunn_labels": _ratio_q(lambda d: V.dunn(d, dim=64), "dunn"),
     "dunn_average_labels": _ratio_q(lambda d: V.dunn_average(d, dim=64), "dunn_average"),
     "dunn_min_max_labels": _ratio_q(lambda d: V.dunn_min_max(d), "dunn_min_max"),
+    "dunn_min_max_bounded_labels": _ratio_q(dunn_min_max_bounded, "dunn_min_max"),
     "dunn_centroids_labels": _ratio_q(lambda d: V.dunn_centroids(d, dim=64), "dunn_centroids"),
     "bd_indices_labels": q_bd_labels,
     "report_supplier": q_report_supplier,
@@ -737,6 +746,7 @@ ORACLE: dict[str, str] = {
     "centers_supplier": (f"{_SUP_CENTERS} SELECT center, cluster, size, round(c[1], 6) AS c0, "
                          "round(c[2], 6) AS c1 FROM cen"),
     "predict_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr",
+    "predict_balls_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT id, center, round(d2, 6) AS d2 FROM pr",
     "predict_blocks_supplier": (f"{_SUP_CENTERS}, {O.predict_sql('sp')} "
                                 "SELECT id, center, round(d2, 6) AS d2 FROM pr"),
     "cost_supplier": f"{_SUP_CENTERS}, {O.predict_sql('sp')} SELECT round(sum(d2), 6) AS cost FROM pr",
@@ -749,6 +759,7 @@ ORACLE: dict[str, str] = {
     "dunn_labels": _ratio_sql("dn", "dunn"),
     "dunn_average_labels": _ratio_sql("dav", "dunn_average"),
     "dunn_min_max_labels": _ratio_sql("mm", "dunn_min_max"),
+    "dunn_min_max_bounded_labels": _ratio_sql("mm", "dunn_min_max"),
     "dunn_centroids_labels": _ratio_sql("dc", "dunn_centroids"),
     "bd_indices_labels": (
         f"WITH {O.EMB_PTS}, {O.long_points('ep')}, "
