@@ -37,7 +37,7 @@ def test_nearest_center_measures_few_of_a_thousand(spark):
     balls = F.broadcast(center_balls(cent, ["k"], 4))
     got = {r.id: r.b for r in pts.crossJoin(balls).select("id", nearest_in_balls("features", F.col("balls"), 4).alias("b")).collect()}
     want = ((X[:, None] - C[None]) ** 2).sum(2).argmin(1)
-    assert [got[i + 1].center for i in range(len(X))] == want.tolist()
+    assert [got[i + 1].won.center for i in range(len(X))] == want.tolist()
     assert np.mean([b.evaluated for b in got.values()]) < len(C) / 4
 
 
