@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dendrospark.operators.bounded import dunn_min_max_bounded, extreme_pairs
 from dendrospark.operators.center_index import center_balls, nearest_in_balls
-from dendrospark.operators.centers import predict
+from dendrospark.operators.centers import predict, predict_all
 from tests.conftest import labelled_df, pts_df
 
 
@@ -60,6 +60,18 @@ def test_one_center_and_points_on_centers(spark):
     assert got[2].center == 0                                               # all infinitely far: the lowest
 
 
+def test_models_of_several_datasets_and_levels(spark):
+    rng = np.random.default_rng(5)
+    pts = spark.createDataFrame([(m, i, rng.normal(size=3).tolist()) for m in "ab" for i in range(40)],
+                                "model STRING, id LONG, features ARRAY<DOUBLE>").cache()
+    cent = spark.createDataFrame([(m, k, i, rng.normal(size=3).tolist()) for m in "ab" for k in (3, 17) for i in range(k)],
+                                 "model STRING, k INT, center INT, centroid ARRAY<DOUBLE>").cache()
+    plain, index = ({(r.model, r.id): r.best for r in predict_all(pts, cent, model="model", index_from=at).collect()}
+                    for at in (10**9, 1))
+    assert index == plain and len(index) == 80
+    assert all([b.k for b in best] == [3, 17] for best in index.values())
+
+
 # ------------------------------------------------------------ V4
 def test_bounds_leave_out_most_pairs_of_separated_groups(spark):
     X, labels = groups(2, 12, 60, 3)
