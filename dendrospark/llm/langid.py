@@ -85,27 +85,15 @@ def classify(text: str, p: Profiles) -> tuple[str, float]:
     return p.languages[best], float(1 - away[best] / (p.size * len(top)))
 
 
-def _sample(docs: DataFrame, per_language: int) -> DataFrame | None:
-    """``lang, text`` of about ``per_language`` documents of each language:
-    those with the smallest hash of ``doc_id``.  None if no row has both."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n)))
-                         for x, n in sorted(counts.items())])
-    # the top 53 bits of a hash of the id, as a fraction
-    at = F.shiftrightunsigned(F.xxhash64(F.lit("profile"), "doc_id"), 11) / F.lit(float(1 << 53))
-    return known.where(at <= share).select("lang", "text")
-
-
-def learn(docs: DataFrame, size: int = 300, per_language: int = 8192) -> Profiles:
-    """Profiles of the languages in ``lang``, from about ``per_language``
-    documents of each.  Only the profiles, ``size`` rows a language, reach the
-    driver.  Rows without a language or a text teach nothing."""
-    chosen = _sample(docs, per_language)
-    if chosen is None:
-        return Profiles([], np.zeros(0, np.int64), np.full((1, 0), size, np.int64), size)
+def _marked(docs: DataFrame) -> DataFrame:
+    """``lang, text`` of all documents that have both."""
+    return docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+
+
+def learn(docs: DataFrame, size: int = 300) -> Profiles:
+    """Profiles of the languages in ``lang``, from the n-grams of all documents
+    of each.  Only the profiles, ``size`` rows a language, reach the driver.
+    Rows without a language or a text teach nothing."""
 
     def run(batches):
         found: dict[str, list] = {}
@@ -126,24 +114,23 @@ def learn(docs: DataFrame, size: int = 300, per_language: int = 8192) -> Profile
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(g)), pa.array(g), pa.array(n)],
                                              ["lang", "gram", "n"])
 
-    totals = chosen.mapInArrow(run, "lang STRING, gram LONG, n LONG").groupBy("lang", "gram").agg(
+    totals = _marked(docs).mapInArrow(run, "lang STRING, gram LONG, n LONG").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
     return profiles_of([(r["lang"], r["gram"], r["rank"]) for r in top.select("lang", "gram", "rank").collect()], size)
 
 
-def floors(docs: DataFrame, profiles: Profiles, per_language: int = 8192) -> dict[str, float]:
+def floors(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
     """Of each language, the score that its own texts stay above: as far below
     the median as four standard deviations, where the distance from the median
     to the lowest hundredth is 2.326 of them; a few rows with a wrong mark do
-    not move it.  From the documents that were learned, where mark and
-    judgement agree; a language with none has no entry."""
-    chosen = _sample(docs, per_language)
-    if chosen is None:
-        return {}
-    agreed = identify(chosen, profiles).where("lang = lang_pred")
-    rows = agreed.groupBy("lang").agg(F.percentile("score", [0.01, 0.5]).alias("q")).collect()
+    not move it.  From all documents that were learned, where mark and
+    judgement agree; a language with none has no entry.  Scores count to six
+    decimals, so no aggregate holds more than a million of them."""
+    agreed = identify(_marked(docs), profiles).where("lang = lang_pred")
+    counts = agreed.groupBy("lang", F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("lang").agg(F.percentile("score", [0.01, 0.5], F.col("n")).alias("q")).collect()
     return {r["lang"]: r["q"][1] - (r["q"][1] - r["q"][0]) * 4 / 2.326 for r in rows}
 
 
