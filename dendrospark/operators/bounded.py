@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sq_euclidean
 from ..session import DEFAULT_BROADCAST_BYTES, Scratch
 from .center_index import rounding
+from .cluster_search import SLICE, squares
 from .indices import _pairs_of_clusters
 from .pairs import check_points
 from .spanning import ball_blocks
@@ -24,16 +27,40 @@ from .spanning import ball_blocks
 FIRST_PASS = 32
 
 
-def _measured(points: DataFrame, pairs: DataFrame, dim: int) -> tuple[float | None, float | None]:
+def _measured(points: DataFrame, pairs: DataFrame, dim: int, n: int) -> tuple[float | None, float | None]:
     """Least squared distance of points of different clusters, and the largest
-    within one, over the given pairs of balls ``(a, b)``; a pair of balls is the
-    join's key, so no key holds more than two balls."""
-    side = lambda own, i: points.join(pairs.select("a", "b"), points["blk"] == F.col(own)).select(
-        "a", "b", F.col("id").alias(f"id{i}"), F.col("cluster").alias(f"c{i}"), F.col("features").alias(f"f{i}"))
-    j = side("a", 1).join(side("b", 2), ["a", "b"]).where(F.col("id1") != F.col("id2"))
-    j = j.select((F.col("c1") == F.col("c2")).alias("same"), sq_euclidean("f1", "f2", dim=dim).alias("d2"))
-    r = j.agg(F.min(F.when(~F.col("same"), F.col("d2"))).alias("inter"),
-              F.max(F.when(F.col("same"), F.col("d2"))).alias("intra")).first()
+    within one, over the given pairs of balls ``(a, b)``.  Balls are hashed into
+    groups; two groups of balls meet in a task with the pairs of their balls, so a
+    point travels once for each group and not for each pair of balls."""
+    groups = max(1, -(-n // max(256, min(16384, n // 16))))
+    group = lambda ball: F.pmod(F.xxhash64(ball), F.lit(groups)).cast("int")
+    wanted = pairs.select("a", "b", F.least(group("a"), group("b")).alias("bi"), F.greatest(group("a"), group("b")).alias("bj"))
+    rows = points.select("id", F.col("cluster").cast("long").alias("cluster"), "features", "blk", group("blk").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        "id", "cluster", "features", "blk", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    met = wanted.select("bi", "bj").distinct()               # at most groups ** 2 / 2 rows
+    rows = rows.join(F.broadcast(met), ["bi", "bj"], "left_semi")
+
+    def measure(asked: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("blk")
+        balls, ids, clusters = (held[c].to_numpy() for c in ("blk", "id", "cluster"))
+        x = held["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        inter, intra = np.inf, -np.inf
+        for a, b in zip(asked["a"].to_numpy(), asked["b"].to_numpy()):
+            (i, k), (j, m) = ((np.searchsorted(balls, e, "left"), np.searchsorted(balls, e, "right")) for e in (a, b))
+            step = max(1, SLICE // max(1, m - j))
+            for at in range(i, k, step):
+                own = slice(at, min(at + step, k))
+                d2 = squares(x[own], x[j:m])
+                same = clusters[own, None] == clusters[None, j:m]
+                other = ids[own, None] != ids[None, j:m]
+                inter = min(inter, d2.min(where=~same & other, initial=np.inf))
+                intra = max(intra, d2.max(where=same & other, initial=-np.inf))
+        return pa.table({"inter": pa.array([inter if inter < np.inf else None], pa.float64()),
+                         "intra": pa.array([intra if intra >= 0 else None], pa.float64())})
+
+    found = wanted.groupBy("bi", "bj").cogroup(rows.groupBy("bi", "bj")).applyInArrow(measure, "inter DOUBLE, intra DOUBLE")
+    r = found.agg(F.min("inter").alias("inter"), F.max("intra").alias("intra")).first()
     return r["inter"], r["intra"]
 
 
@@ -86,7 +113,7 @@ def extreme_pairs(assigned: DataFrame, cluster: str = "cluster", block_points: i
     promising = pairs.where("across").orderBy("least", "a", "b").limit(FIRST_PASS).unionByName(
         pairs.where("within").orderBy(F.desc("most"), "a", "b").limit(FIRST_PASS)).select("a", "b", "work").distinct()
     promising = scratch.put(promising, "promising")
-    inter, found = _measured(placed, promising, dim)
+    inter, found = _measured(placed, promising, dim, n)
     intra = found if intra is None else max(intra, found or 0.0)
 
     slack = 1 + rounding(dim)
@@ -95,7 +122,7 @@ def extreme_pairs(assigned: DataFrame, cluster: str = "cluster", block_points: i
     left = pairs.where((F.col("across") & closer) | (F.col("within") & farther)).join(
         promising.select("a", "b"), ["a", "b"], "left_anti")
     left = scratch.put(left.select("a", "b", "work"), "left")
-    nearer, wider = _measured(placed, left, dim)
+    nearer, wider = _measured(placed, left, dim, n)
     work = left.unionByName(promising).agg(F.sum("work")).first()[0] or 0
     least = [d for d in (inter, nearer) if d is not None]
     most = [d for d in (intra, wider) if d is not None]
