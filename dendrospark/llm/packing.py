@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -187,8 +189,8 @@ class WordEncoder:
     If the file lower-cases, splits letters from signs and maps bytes to
     letters, a Latin word and the signs behind it are looked up separately, the
     word straight in the BPE model.  Any other word goes through the whole
-    tokenizer.  The words kept in mind are bounded by ``keep``; then they are
-    forgotten.  ``spec`` is the text of the tokenizer file, ``plain`` whether it
+    tokenizer.  At most ``keep`` words are kept in mind, in two halves: when the
+    newer half is full, words that it has not met are forgotten.  ``spec`` is the text of the tokenizer file, ``plain`` whether it
     does so (read from it if not given)."""
 
     def __init__(self, spec: str, end: int, keep: int = 1 << 16, plain: bool | None = None):
@@ -198,6 +200,7 @@ class WordEncoder:
         self.end = np.array([end], dtype="<u4").tobytes()
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         self.letters = _byte_letters()
         self.plain = self.splits_plain_words(json.loads(spec)) if plain is None else plain
@@ -212,9 +215,18 @@ class WordEncoder:
                 and spec["model"]["type"] == "BPE")
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, coded: bytes) -> bytes:
+        if self.plain and coded.isalpha():          # ASCII letters alone
+            core = coded.lower().decode()
+            a = self.parts.get(core)
+            if a is None:
+                ids = [t.id for t in self.model.tokenize(core)]
+                a = self.parts[core] = struct.pack(f"<{len(ids)}I", *ids)
+            return a
+        word = coded.decode()
         plain = PLAIN.fullmatch(word) if self.plain else None
         if plain is None:
             return self._whole(word)
@@ -222,26 +234,34 @@ class WordEncoder:
         a, b = self.parts.get(core), self.parts.get(signs)
         if a is None:
             spelt = core if core.isascii() else "".join([self.letters[c] for c in core.encode()])
-            a = self.parts[core] = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            a = self.parts[core] = struct.pack(f"<{len(ids)}I", *ids)
         if b is None:
             b = self.parts[signs] = self._whole(signs)
         return a + b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        out, known = [], self.known
+        out, known, older = [], self.known, self.older
         for t in texts:
             words = t.encode().split()
             for w in set(words).difference(known):
-                known[w] = self._word(w.decode())
+                ids = older.get(w)
+                known[w] = self._word(w) if ids is None else ids
             out.append(b"".join([known[w] for w in words]) + self.end)
-            if len(known) > self.keep:
-                known.clear()
+            if 2 * len(known) > self.keep:
+                self.older, self.known = older, known = known, {}
             if len(self.parts) > self.keep:
                 self.parts = {"": b""}
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(spec: str, end: int, plain: bool) -> WordEncoder:
+    """The encoder of a worker process, which serves one task after another."""
+    return WordEncoder(spec, end, plain=plain)
+
+
 PIECES = ("doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, "
           "offset LONG, loss_tokens LONG")
 
@@ -271,7 +291,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
 
     def run(batches):
         pa.default_memory_pool().release_unused()                  # what earlier work in this process left
-        encoder, packer = WordEncoder(spec.value, end, plain=plain), Packer(tokens, segments, loss)
+        encoder, packer = _encoder(spec.value, end, plain), Packer(tokens, segments, loss)
         task = TaskContext.get().partitionId() << 32
         kept: dict[int, tuple] = {}        # documents with ids still waiting: (doc_id, ids, ids left)
         number = count = 0
