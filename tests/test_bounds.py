@@ -101,3 +101,14 @@ def test_small_and_empty_cases(spark):
     loose = dunn_min_max_bounded(spark.createDataFrame(
         [(1, [0.0], 1), (2, [5.0], None), (3, [1.0], 2)], "id LONG, features ARRAY<DOUBLE>, cluster LONG")).first()
     assert (loose.inter, loose.intra) == (1.0, None)
+
+
+def test_equal_centers_are_measured_once(spark):
+    """The lowest of equal centers wins, so it alone is in the index."""
+    cent = spark.range(400).selectExpr("0 AS k", "int(399 - id) AS center", "array(double(id % 7), 0D) AS centroid")
+    balls = center_balls(cent, ["k"], 2)
+    members = balls.selectExpr("explode(balls) AS b").selectExpr("explode(b.members) AS m").select("m.center").collect()
+    assert sorted(r.center for r in members) == list(range(7))
+    pts = pts_df(spark, [[x, 1.0] for x in range(7)])
+    got = predict(pts, cent, index_from=1).select("features", "center").collect()
+    assert all(r.center == min(c for c in range(400) if (399 - c) % 7 == r.features[0]) for r in got)
