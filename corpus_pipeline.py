@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dendrospark.llm import langid, packing, simhash, suffix_dedup, toxicity
 from dendrospark.llm.common import fold, scratch, table
+from dendrospark.session import fits_broadcast
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first.  Rows that repeat an id and text count as one."""
     made = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    work = scratch(spark, "near-copies")
     found = simhash.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), 3, 2)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = named.join(first, "_id", "left_semi").withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.expr("doc_id = component_id")).alias("first"))
+    gone = work.put(ids.where("NOT first").select("_id"), "gone")
+    keys = ["_id", F.xxhash64("text").alias("_text")]
+    twice = work.put(named.select(*keys).groupBy("_id", "_text").count().where("count > 1").select("_id", "_text"), "twice")
+    gone, twice = (F.broadcast(x) if fits_broadcast(x.count(), 64) else x for x in (gone, twice))
+    # texts stay where they are, but those of rows that repeat
+    kept = named.select(*docs.columns, *keys).join(gone, "_id", "left_anti")
+    once = kept.join(twice, ["_id", "_text"], "left_anti")
+    again = kept.join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

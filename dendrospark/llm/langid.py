@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table, whole_text
+from .common import byte_slices, fold, release_memory, table, whole_text
 
 UNKNOWN = "und"
 SPACE = 32
@@ -103,11 +103,12 @@ def learn(docs: DataFrame, size: int = 300) -> Profiles:
             u, at = np.unique(g, return_inverse=True)
             return u, np.bincount(at, weights=n).astype(np.int64)
 
-        for b in batches:
-            for language, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+        release_memory()
+        for part in (x for b in batches for x in byte_slices(b, "text", 1 << 20)):
+            for language, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 parts = found.setdefault(language, [])
                 parts.append(np.unique(grams(text), return_counts=True))
-                if len(parts) > 1000:
+                if len(parts) > 200:
                     found[language] = [merged(language)]
         for language in found:
             g, n = merged(language)
@@ -152,7 +153,8 @@ def identify(docs: DataFrame, profiles: Profiles, keep_from: float | dict[str, f
                                                StructField("score", DoubleType())])
 
     def run(batches):
-        for b in batches:
+        release_memory()
+        for b in (x for whole in batches for x in byte_slices(whole, "text", 1 << 20)):
             found = [classify(t or "", profiles) for t in b.column("text").to_pylist()]
             if filtering:
                 yield b.filter(pa.array([s >= least.get(x, np.inf) for x, s in found], pa.bool_()))

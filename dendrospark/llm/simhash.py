@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import scratch, table, whole_text
+from .common import byte_slices, release_memory, scratch, table, whole_text
 from .components import components
 
 #: Generator polynomial of the [23, 12, 7] code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -66,10 +66,12 @@ def fingerprint(text: str, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp LONG)`` of every document."""
     def run(batches):
+        release_memory()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            fps = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            for part in byte_slices(b, "text", 1 << 20):
+                texts = part.column("text").to_pylist()
+                fps = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id LONG, fp LONG")

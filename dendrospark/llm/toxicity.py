@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fits_broadcast
-from .common import blocks_for, byte_slices, fold, scratch, table, whole_text
+from .common import blocks_for, byte_slices, fold, release_memory, scratch, table, whole_text
 
 WORDS = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
@@ -320,7 +320,7 @@ def _marked(docs: DataFrame, labels: DataFrame, folds: int, per_shard: int) -> t
     kept = ["shard", "at", "fold", "toxic", "lang"]
 
     def cut(batches):
-        pa.default_memory_pool().release_unused()                  # what earlier work in this process left
+        release_memory()
         for b in batches:
             for part in byte_slices(b, "text"):
                 words = [np.fromiter((zlib.crc32(w.encode()) for w in WORDS.findall(t.lower())), "<u4").tobytes()
