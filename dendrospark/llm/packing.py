@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table, whole_text
+from .common import WORKER_CACHES, byte_slices, table, whole_text
 
 #: Capacities of a sequence: tokens, segments, loss-bearing tokens.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
@@ -189,11 +189,12 @@ class WordEncoder:
     If the file lower-cases, splits letters from signs and maps bytes to
     letters, a Latin word and the signs behind it are looked up separately, the
     word straight in the BPE model.  Any other word goes through the whole
-    tokenizer.  At most ``keep`` words are kept in mind, in two halves: when the
-    newer half is full, words that it has not met are forgotten.  ``spec`` is the text of the tokenizer file, ``plain`` whether it
+    tokenizer.  At most ``keep`` words, and as many parts of words, are kept in mind,
+    in two halves: when the newer half is full, words that it has not met are
+    forgotten.  ``spec`` is the text of the tokenizer file, ``plain`` whether it
     does so (read from it if not given)."""
 
-    def __init__(self, spec: str, end: int, keep: int = 1 << 16, plain: bool | None = None):
+    def __init__(self, spec: str, end: int, keep: int = 1 << 18, plain: bool | None = None):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
@@ -202,6 +203,7 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.older_parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.plain = self.splits_plain_words(json.loads(spec)) if plain is None else plain
 
@@ -218,14 +220,20 @@ class WordEncoder:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _core(self, core: str, spelt: str) -> bytes:
+        """Ids of a lower-case word, spelt in byte letters, straight from the model."""
+        got = self.older_parts.get(core)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(spelt)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self.parts[core] = got
+        return got
+
     def _word(self, coded: bytes) -> bytes:
         if self.plain and coded.isalpha():          # ASCII letters alone
             core = coded.lower().decode()
             a = self.parts.get(core)
-            if a is None:
-                ids = [t.id for t in self.model.tokenize(core)]
-                a = self.parts[core] = struct.pack(f"<{len(ids)}I", *ids)
-            return a
+            return self._core(core, core) if a is None else a
         word = coded.decode()
         plain = PLAIN.fullmatch(word) if self.plain else None
         if plain is None:
@@ -233,11 +241,10 @@ class WordEncoder:
         core, signs = plain[1].lower(), plain[2]
         a, b = self.parts.get(core), self.parts.get(signs)
         if a is None:
-            spelt = core if core.isascii() else "".join([self.letters[c] for c in core.encode()])
-            ids = [t.id for t in self.model.tokenize(spelt)]
-            a = self.parts[core] = struct.pack(f"<{len(ids)}I", *ids)
+            a = self._core(core, core if core.isascii() else "".join([self.letters[c] for c in core.encode()]))
         if b is None:
-            b = self.parts[signs] = self._whole(signs)
+            b = self.older_parts.get(signs)
+            b = self.parts[signs] = self._whole(signs) if b is None else b
         return a + b
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -251,8 +258,8 @@ class WordEncoder:
             out.append(b"".join([known[w] for w in words]) + self.end)
             if 2 * len(known) > self.keep:
                 self.older, self.known = older, known = known, {}
-            if len(self.parts) > self.keep:
-                self.parts = {"": b""}
+            if 2 * len(self.parts) > self.keep:
+                self.older_parts, self.parts = self.parts, {"": b""}
         return out
 
 
@@ -262,6 +269,8 @@ def _encoder(spec: str, end: int, plain: bool) -> WordEncoder:
     return WordEncoder(spec, end, plain=plain)
 
 
+WORKER_CACHES.append(_encoder)
+
 PIECES = ("doc_id LONG, start LONG, length LONG, ids_crc32 LONG, doc_tokens LONG, sequence_id LONG, "
           "offset LONG, loss_tokens LONG")
 
