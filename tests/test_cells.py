@@ -32,3 +32,13 @@ def test_single_linkage_in_cells(spark, monkeypatch):
     monkeypatch.setattr("dendrospark.operators.cells.SIDE", 10)
     v = _points()
     _same(L.single_linkage(pts_df(spark, v), block_points=8).orderBy("cluster").collect(), greedy_linkage(v, "min"))
+
+
+def test_a_hundred_thousand_edges_are_numbered_at_once(spark, monkeypatch, tmp_path):
+    """No level of halving below ``RANGE_EDGES``; it was 4096."""
+    from dendrospark.session import Scratch
+    monkeypatch.setattr(S, "forest_roots", _refuse)
+    n = 100_000
+    tree = spark.range(1, n).selectExpr("id AS p", "id + 1 AS q", "CAST(id AS DOUBLE) AS d")
+    got = S.number_tree(tree, n, Scratch(spark, "chain"))
+    assert got.selectExpr("count(*)", "max(size)", "sum(CAST(size = cluster - 100000 + 1 AS INT))").first()[:] == (n - 1, n, n - 1)
