@@ -1,6 +1,7 @@
 """Linkage in many dimensions, and of prefixes, without a table of all pairs."""
 
 import numpy as np
+import pytest
 
 from dendrospark.operators import linkage as L
 from dendrospark.operators import spanning as S
@@ -27,6 +28,26 @@ def _refuse(*a, **k):
     raise AssertionError("copied for each ball")
 
 
+@pytest.mark.parametrize("strategy", ["avg", "wavg"])
+def test_cells_equal_greedy(spark, monkeypatch, strategy):
+    """Points of many dimensions are not copied for every ball that a bound does not exclude."""
+    monkeypatch.setattr(L, "merge_down", _refuse)
+    monkeypatch.setattr("dendrospark.operators.cells.SIDE", 10)
+    v = _points()
+    _same(L.linkage_of_points(pts_df(spark, v), strategy, table_clusters=12).orderBy("cluster").collect(),
+          greedy_linkage(v, strategy))
+
+
+def test_prefixes_have_no_table_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIR_TABLE_POINTS", 10)
+    monkeypatch.setattr(L, "pairwise_distances", _refuse)
+    monkeypatch.setattr(L._prefixes_of_points, "__defaults__", (8,))
+    v = _points()
+    rows = L.linkage_by_prefix(pts_df(spark, v), [3, 7], "avg").orderBy("nv", "cluster").collect()
+    for nv in (3, 7):
+        _same((r for r in rows if r["nv"] == nv), greedy_linkage(v[:, :nv], "avg"))
+
+
 def test_single_linkage_in_cells(spark, monkeypatch):
     monkeypatch.setattr(S, "nearest_foreign", _refuse)
     monkeypatch.setattr("dendrospark.operators.cells.SIDE", 10)
