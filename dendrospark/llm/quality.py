@@ -93,7 +93,8 @@ class Voters:
     def nearest(self, vectors: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and rows of the nearest labelled vectors of each vector:
         exact products with one block of labelled vectors after the other; equal
-        cosines (to six decimals) go to the earlier row."""
+        cosines (to six decimals) go to the earlier row.  Those of the nearest are
+        added up in double precision, so the rows measured together do not matter."""
         n = len(vectors)
         best = np.zeros((n, 0), dtype=np.int64)
         for first in range(0, len(self.vectors), block):
@@ -104,7 +105,10 @@ class Voters:
                 best = np.partition(best, best.shape[1] - self.neighbours, axis=1)[:, -self.neighbours:]
         best = -np.sort(-best, axis=1)
         rows = -best & 0xFFFFFFFF
-        return (best + rows >> 32) / 1e6, rows
+        near = np.empty(rows.shape)
+        for k in range(rows.shape[1]):
+            near[:, k] = (vectors.astype(float) * self.vectors[rows[:, k]]).sum(axis=1)
+        return near, rows
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Share of label 1 in the neighbours' weighted vote."""
